@@ -1,10 +1,12 @@
 """The queries of this subpackage and, where SQL can express one, its oracle."""
 
-from . import sentencepieces, url_filter
+from . import licenses, quality, sentencepieces, url_filter
 
 QUERIES = {
+    "op1_quality_classifier": quality.op1_quality_classifier,
     "op5_sentencepiece": sentencepieces.op5_sentencepiece,
     "op6_url_filter": url_filter.op6_url_filter,
+    "op10_license_scan": licenses.op10_license_scan,
 }
 
 ORACLE = {"op6_url_filter": url_filter.OP6_SQL}
