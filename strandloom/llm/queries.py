@@ -1,11 +1,13 @@
 """The queries of this subpackage and, where SQL can express one, its oracle."""
 
-from . import licenses, quality, sentencepieces, url_filter
+from . import licenses, quality, sentencepieces, suffix_array, suffix_trees, url_filter
 
 QUERIES = {
     "op1_quality_classifier": quality.op1_quality_classifier,
+    "op3_substring_dedup": suffix_trees.op3_substring_dedup,
     "op5_sentencepiece": sentencepieces.op5_sentencepiece,
     "op6_url_filter": url_filter.op6_url_filter,
+    "op7_suffix_array_dedup": suffix_array.op7_suffix_array_dedup,
     "op10_license_scan": licenses.op10_license_scan,
 }
 
