@@ -68,31 +68,35 @@ def likeness(a: str, b: str, size: int = SIZE) -> Column:
     )
 
 
-def with_next(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Adds `next_<c>` for each of `columns`: that of the next row by descending doc_id (then text), of the last row: the first's.
+def with_next(docs: DataFrame) -> DataFrame:
+    """doc_id, _text, _sketch and those of the next row (next__text, next__sketch) by descending doc_id, then text; of the last row: the first's.
 
     Rows are put in order within stretches of ids; the first row of each stretch
     follows the last of the one before. Only the numbers of the stretches are
     sorted in one place, one for STRETCH ids. Null ids come last.
     """
-    df = df.withColumn("_stretch", F.coalesce(F.floor(F.col("doc_id") / STRETCH), F.lit(-(2**62))))
+    df = docs.withColumn("_stretch", F.coalesce(F.floor(F.col("doc_id") / STRETCH), F.lit(-(2**62))))
     own = Window.partitionBy("_stretch").orderBy(F.desc_nulls_last("doc_id"), F.asc_nulls_last("_text"))
-    df = df.withColumn("_k", F.row_number().over(own)).withColumn("_next", F.lead(F.struct(*columns)).over(own))
-    heads = df.filter("_k = 1").select("_stretch", F.struct(*columns).alias("_head"))
-    every = Window.orderBy(F.desc("_stretch"))
-    names = heads.select("_stretch")
-    top = names.agg(F.max("_stretch").alias("_top"))
-    follows = names.withColumn("_after", F.lead("_stretch").over(every)).crossJoin(F.broadcast(top)).select("_stretch", F.coalesce("_after", "_top").alias("_after"))
+    heads = df.withColumn("_k", F.row_number().over(own)).filter("_k = 1").select("_stretch", "_text")
+    heads = with_sketch(heads, "_text", "_sketch").select("_stretch", F.struct("_text", "_sketch").alias("_head"))
+    names = df.select("_stretch").distinct()
+    top = names.agg(F.max("_stretch").alias("_top"))  # one row
+    follows = names.withColumn("_after", F.lead("_stretch").over(Window.orderBy(F.desc("_stretch")))).crossJoin(F.broadcast(top))
+    follows = follows.select("_stretch", F.coalesce("_after", "_top").alias("_after"))
     after = follows.join(heads.withColumnRenamed("_stretch", "_after"), "_after").select("_stretch", "_head")
-    df = df.join(after, "_stretch")
     got = F.coalesce("_next", "_head")
-    return df.select(*[c for c in df.columns if c not in ("_stretch", "_k", "_next", "_head")], *[got[c].alias(f"next_{c}") for c in columns])
+    return (
+        with_sketch(df, "_text", "_sketch")
+        .withColumn("_next", F.lead(F.struct("_text", "_sketch")).over(own))
+        .join(after, "_stretch")
+        .select("doc_id", "_text", "_sketch", got["_text"].alias("next__text"), got["_sketch"].alias("next__sketch"))
+    )
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text (its second half replaced by the next text's first)."""
     df = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text"))
-    df = with_next(with_sketch(df, "_text", "_sketch"), ["_text", "_sketch"])
+    df = with_next(df)
     df = df.withColumn("n_chars", F.length("_text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     df = df.withColumn("_edited", F.concat(F.substring("_text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next__text", F.lit(1), half))).drop("_text", "next__text")
