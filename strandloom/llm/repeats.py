@@ -10,7 +10,8 @@ alone, so equal windows have their anchors at the same offset, and one in about
 2. Anchors whose run of symbols occurs once are dropped (counts are summed
    before the shuffle; the list of repeated runs is a written table, so that the
    join with it can be split where one run is very frequent).
-3. `contexts`: the symbols that an anchor's windows span. Equal contexts are one
+   Of equal texts one goes on; all windows of the others are known to be repeated.
+3. The context of an anchor are the symbols that its windows span. Equal contexts are one
    class, merged within each task before they are dealt out.
 4. Classes are dealt into groups of bounded size by the anchor's symbols, that
    is by a prefix of k symbols; for a run of symbols with more than `HOT`
@@ -19,8 +20,8 @@ alone, so equal windows have their anchors at the same offset, and one in about
 5. Each class's verdict goes back to its occurrences and from there to the
    documents, whose texts crossed the shuffle compressed, once.
 
-Equality is always that of the symbols themselves, never of hashes alone; hashes
-only choose anchors and deal out work.
+Equality of windows is that of the symbols themselves; hashes choose anchors, deal
+out work, name classes (128 bits) and tell equal whole texts (128 bits).
 """
 
 from __future__ import annotations
@@ -116,17 +117,29 @@ def anchors(docs: DataFrame, kind: Kind) -> DataFrame:
 
 
 def compressed(docs: DataFrame) -> DataFrame:
-    """_doc, _row (all columns but text) and _z, the text."""
+    """_doc, _row (all columns but text), _th (a hash of the text) and _z, the text."""
     others = [c for c in docs.columns if c != "text"]
-    given = docs.select(id_key().alias("_doc"), F.struct(*[F.col(f"`{c}`") for c in others]).alias("_row"), F.col("text").cast("binary").alias("_text"))
+    given = docs.select(id_key().alias("_doc"), F.struct(*[F.col(f"`{c}`") for c in others]).alias("_row"), F.xxhash64("text").alias("_th"), F.col("text").cast("binary").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3, write_checksum=False)
         for batch in batches:
-            z = pa.array([None if (t := x.as_py()) is None else pack.compress(t) for x in batch.column(2)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), z], names=["_doc", "_row", "_z"])
+            z = pa.array([None if (t := x.as_py()) is None else pack.compress(t) for x in batch.column(3)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], z], names=["_doc", "_row", "_th", "_z"])
 
-    return given.mapInArrow(run, f"_doc long, _row {given.schema['_row'].dataType.simpleString()}, _z binary")
+    return given.mapInArrow(run, f"_doc long, _row {given.schema['_row'].dataType.simpleString()}, _th long, _z binary")
+
+
+def copies(docs: DataFrame) -> DataFrame:
+    """_doc with _same, the hashes of its texts that other documents have too, and _later, those that a smaller id has.
+
+    Texts are held equal by 128 bits of hash. Every window of such a text occurs
+    elsewhere, so it needs no search, and one copy stands for all in it.
+    """
+    ids = docs.select(id_key().alias("_doc"), F.xxhash64("text").alias("_th"), F.xxhash64(F.lit(1), "text").alias("_th2"))
+    several = written(ids.groupBy("_th", "_th2").agg(F.min("_doc").alias("_low"), F.max("_doc").alias("_high")).filter("_low < _high"), "copies")
+    found = ids.join(several, ["_th", "_th2"])
+    return found.groupBy("_doc").agg(F.collect_set("_th").alias("_same"), F.collect_set(F.when(F.col("_doc") > F.col("_low"), F.col("_th"))).alias("_later"))
 
 
 def _opened(z: pa.Scalar, unpack: zstandard.ZstdDecompressor) -> bytes:
@@ -177,9 +190,10 @@ def _class_hash(so: int, eo: int, context: bytes) -> int:
 
 
 def classes(marked: DataFrame, kind: Kind, groups: int) -> DataFrame:
-    """A row per class of equal contexts and task: its group, its first occurrence, whether there is another."""
+    """Per group and batch, compressed: classes of equal contexts, their first occurrence, whether there is another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3, write_checksum=False)
         for batch in batches:
             own: dict[tuple, list] = {}
             for g, doc, a, so, eo, context, hot in _occurrences(batch, kind):
@@ -191,23 +205,41 @@ def classes(marked: DataFrame, kind: Kind, groups: int) -> DataFrame:
                     had[2] = True
                     if (doc, a) < (had[0], had[1]):
                         had[0], had[1] = doc, a
-            if own:
-                hashes = [_class_hash(so, eo, c) for _, so, eo, c in own]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([((h if v[3] else k[0]) % (1 << 64)) % groups for (k, v), h in zip(own.items(), hashes)], pa.int64()),
-                        pa.array([k[0] for k in own], pa.int64()),
-                        pa.array(hashes, pa.int64()),
-                        pa.array([k[1] << 8 | k[2] for k in own], pa.int32()),
-                        pa.array([k[3] for k in own], pa.binary()),
-                        pa.array([v[0] for v in own.values()], pa.int64()),
-                        pa.array([v[1] for v in own.values()], pa.int32()),
-                        pa.array([v[2] for v in own.values()], pa.bool_()),
-                    ],
-                    names=["_group", "_gram", "_class", "_span", "_context", "_first_doc", "_first_at", "_again"],
-                )
-
-    return marked.mapInArrow(run, "_group long, _gram long, _class long, _span int, _context binary, _first_doc long, _first_at int, _again boolean")
+            dealt: dict[int, list] = {}
+            for (g, so, eo, context), (doc, a, again, hot) in own.items():
+                h = (_class_hash(so, eo, context) if hot else g) % (1 << 64) % groups
+                dealt.setdefault(h, []).append((g, so << 8 | eo, doc, a, again, context))
+            if dealt:
+                blobs = [pack.compress(_blob(rows)) for rows in dealt.values()]
+                yield pa.RecordBatch.from_arrays([pa.array(list(dealt), pa.int64()), pa.array(blobs, pa.binary())], names=["_group", "_blob"])
+
+    return marked.mapInArrow(run, "_group long, _blob binary")
+
+
+_BLOB = (("gram", np.int64), ("span", np.uint16), ("doc", np.int64), ("at", np.int64), ("again", np.bool_), ("length", np.int64))
+
+
+def _blob(rows: list[tuple]) -> bytes:
+    *columns, contexts = zip(*rows)
+    columns.append([len(c) for c in contexts])
+    return b"".join([np.int64(len(rows)).tobytes(), *(np.array(c, t).tobytes() for c, (_, t) in zip(columns, _BLOB)), *contexts])
+
+
+def _rows(blobs: list[bytes]) -> tuple[dict[str, np.ndarray], list[bytes]]:
+    """The columns of all blobs of a group, and the contexts."""
+    unpack = zstandard.ZstdDecompressor()
+    parts: dict[str, list] = {name: [] for name, _ in _BLOB}
+    contexts: list[bytes] = []
+    for z in blobs:
+        data = unpack.decompress(z)
+        n, at = int(np.frombuffer(data, np.int64, 1)[0]), 8
+        for name, t in _BLOB:
+            parts[name].append(np.frombuffer(data, t, n, at))
+            at += n * np.dtype(t).itemsize
+        for length in parts["length"][-1].tolist():
+            contexts.append(data[at : at + length])
+            at += length
+    return {name: np.concatenate(x) for name, x in parts.items()}, contexts
 
 
 def occurrences(marked: DataFrame, kind: Kind) -> DataFrame:
@@ -272,19 +304,18 @@ def verdicts(dealt: DataFrame, kind: Kind) -> DataFrame:
     """Of each class: which of its windows occur elsewhere (before, with keep_first), its first occurrence, whether there is another."""
 
     def run(group: pa.Table) -> pa.Table:
-        contexts = group.column("_context").to_pylist()
+        given, contexts = _rows(group.column("_blob").to_pylist())
         ids: dict[bytes, int] = {}
         content = np.array([ids.setdefault(c, len(ids)) for c in contexts], np.int64)
-        gram, hashed, span = (group.column(c).to_numpy() for c in ("_gram", "_class", "_span"))
-        doc, at, again = (group.column(c).to_numpy() for c in ("_first_doc", "_first_at", "_again"))
+        gram, span, doc, at, again = (given[c] for c in ("gram", "span", "doc", "at", "again"))
         order = np.lexsort((at, doc, content, span, gram))
-        gram, hashed, span, doc, at, again, content = (x[order] for x in (gram, hashed, span, doc, at, again, content))
+        gram, span, doc, at, again, content = (x[order] for x in (gram, span, doc, at, again, content))
         new = np.ones(len(order), bool)
         new[1:] = (gram[1:] != gram[:-1]) | (span[1:] != span[:-1]) | (content[1:] != content[:-1])
         first = np.flatnonzero(new)
         run_of = np.cumsum(new) - 1
         again = np.logical_or.reduceat(again | (doc != doc[first][run_of]) | (at != at[first][run_of]), first)
-        gram, hashed, span, doc, at = (x[first] for x in (gram, hashed, span, doc, at))
+        gram, span, doc, at = (x[first] for x in (gram, span, doc, at))
         so, eo = span.astype(np.int64) >> 8, span.astype(np.int64) & 255
         flags = np.zeros((len(first), -(-(kind.window - kind.gram + 1) // 8) * 8), bool)
         _, of, size = np.unique(gram, return_inverse=True, return_counts=True)
@@ -305,7 +336,7 @@ def verdicts(dealt: DataFrame, kind: Kind) -> DataFrame:
         return pa.table(
             {
                 "_gram": gram[told],
-                "_class": hashed[told],
+                "_class": pa.array([_class_hash(int(so[i]), int(eo[i]), contexts[order[first[i]]]) for i in told], pa.int64()),
                 "_mask": pa.array([m.tobytes() for m in masks], pa.binary()),
                 "_first_doc": doc[told],
                 "_first_at": at[told].astype(np.int64),
@@ -317,15 +348,15 @@ def verdicts(dealt: DataFrame, kind: Kind) -> DataFrame:
 
 
 def repeated(docs: DataFrame, kind: Kind) -> DataFrame:
-    """_doc, _row, _z of every row and _found: its anchors (packed) with the mask of their repeated windows, null for all."""
+    """_doc, _row, _z of every row; _found: its anchors (packed) with the mask of their repeated windows, null for all; _copied: all windows are repeated."""
     n = F.count(F.lit(1)).alias("_n")
     counts = written(anchors(docs, kind).groupBy("_gram").agg(n).filter("_n > 1"), "grams")
     total = counts.agg(F.sum("_n")).first()[0] or 0
     groups = max(1, -(-total // GROUP))
     packed = F.when(F.col("_n") > HOT, F.col("_packed") + F.lit(_HOT_BIT)).otherwise(F.col("_packed"))
     per_doc = anchors(docs, kind).join(counts, "_gram").groupBy("_doc").agg(F.collect_list(packed).alias("_marked"))
-    texts = compressed(docs)
-    marked = texts.join(per_doc, "_doc")
+    texts = compressed(docs).join(copies(docs), "_doc", "left")
+    marked = texts.join(per_doc, "_doc").filter(~F.coalesce(F.array_contains("_later", F.col("_th")), F.lit(False)))
     told = verdicts(classes(marked, kind, groups), kind)
     if kind.keep_first:
         whole = (F.col("_doc") != F.col("_first_doc")) | (F.shiftright("_packed", 16) != F.col("_first_at"))
@@ -338,11 +369,14 @@ def repeated(docs: DataFrame, kind: Kind) -> DataFrame:
         .groupBy("_doc")
         .agg(F.collect_list(F.struct("_packed", "_mask")).alias("_found"))
     )
-    return texts.join(found, "_doc", "left")
+    copied = F.coalesce(F.array_contains("_later" if kind.keep_first else "_same", F.col("_th")), F.lit(False))
+    return texts.join(found, "_doc", "left").withColumn("_copied", copied)
 
 
-def covered(n: int, found: pa.Scalar, kind: Kind) -> np.ndarray | None:
+def covered(n: int, found: pa.Scalar, copied: bool, kind: Kind) -> np.ndarray | None:
     """Which of n symbols lie in a repeated window; None for none."""
+    if copied:
+        return np.ones(n, bool) if n >= kind.window else None
     if not found.is_valid or not len(found.values):
         return None
     packed = found.values.field("_packed").to_numpy()
@@ -364,17 +398,17 @@ def covered(n: int, found: pa.Scalar, kind: Kind) -> np.ndarray | None:
 
 def without_repeats(docs: DataFrame, kind: Kind, make: Callable[[bytes, np.ndarray | None], tuple], fields: str, types: list[pa.DataType]) -> DataFrame:
     """`_row` and what `make` gives for each text (words joined by one space, or bytes) and its covered symbols."""
-    found = repeated(docs, kind).select("_row", "_z", "_found")
+    found = repeated(docs, kind).select("_row", "_z", "_found", "_copied")
     row_type = found.schema["_row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             out = []
-            for z, f in zip(batch.column("_z"), batch.column("_found")):
+            for z, f, c in zip(batch.column("_z"), batch.column("_found"), batch.column("_copied")):
                 text = _opened(z, unpack)
                 symbols = text.split() if kind.words else text
-                out.append(make(symbols, covered(len(symbols), f, kind)))
+                out.append(make(symbols, covered(len(symbols), f, c.as_py(), kind)))
             columns = list(zip(*out)) if out else [[]] * len(types)
             yield pa.RecordBatch.from_arrays([batch.column("_row"), *(pa.array(c, t) for c, t in zip(columns, types))], names=["_row", *(f.split()[0] for f in fields.split(", "))])
 
