@@ -180,33 +180,32 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> np.ndarra
     return w
 
 
-def score(docs: DataFrame, w: np.ndarray, keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` and `score` of every row. The weights are at most 2**BITS + 1 numbers of 4 bytes."""
-    keep = ["doc_id"] if keep is None else keep
+def score(docs: DataFrame, w: np.ndarray) -> DataFrame:
+    """`_row`, all columns of a row, and its `score`. The weights are at most 2**BITS + 1 numbers of 4 bytes."""
     shared = docs.sparkSession.sparkContext.broadcast(w)
+    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         streams, own = Streams(), shared.value.astype(np.float64)
         for batch in batches:
             scores = np.empty(batch.num_rows)
-            for i, t in enumerate(batch.column(batch.num_columns - 1)):
+            for i, t in enumerate(batch.column(0).field("text")):
                 slots, values = streams.vector(t.as_py())
                 scores[i] = own[slots] @ values + own[-1]
             scores = 1 / (1 + np.exp(-np.clip(scores, -35, 35)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores)], names=[*batch.schema.names[:-1], "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], names=["_row", "score"])
 
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, F.col("text").alias("_scored_text")).mapInArrow(run, f"{fields}, score double")
+    return given.mapInArrow(run, f"_row {given.schema['_row'].dataType.simpleString()}, score double")
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     w = fit(docs, table(spark, sf_dir, "labels"))
-    return score(docs, w).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    out = score(docs, w).select("_row.doc_id", "score")
+    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are not rejected, with their columns."""
-    names = docs.columns
     w = fit(docs, labels)
-    return score(docs, w, names).filter(F.col("score") >= THRESHOLD).select(*names)
+    return score(docs, w).filter(F.col("score") >= THRESHOLD).select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
