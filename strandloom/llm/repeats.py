@@ -148,13 +148,12 @@ def _opened(z: pa.Scalar, unpack: zstandard.ZstdDecompressor) -> bytes:
 
 
 def _occurrences(batch: pa.RecordBatch, kind: Kind) -> Iterator[tuple]:
-    """(gram, doc, anchor, anchor - first, anchor - last, context) of the marked anchors of a batch."""
+    """(gram, doc, anchor, anchor - first, anchor - last, context, hot, hash of the text) of the marked anchors of a batch."""
     unpack = zstandard.ZstdDecompressor()
     powers = np.array([pow(_STEP, kind.gram - 1 - i, 2**64) for i in range(kind.gram)], np.uint64)
     steps = np.arange(kind.gram)
-    docs = batch.column("_doc").to_pylist()
-    lists = batch.column("_marked")
-    for doc, marked, z in zip(docs, lists, batch.column("_z")):
+    docs, hashes = batch.column("_doc").to_pylist(), batch.column("_th").to_pylist()
+    for doc, th, marked, z in zip(docs, hashes, batch.column("_marked"), batch.column("_z")):
         text = _opened(z, unpack)
         packed = np.unique(marked.values.to_numpy())
         hot, packed = (packed & _HOT_BIT) != 0, packed & ~_HOT_BIT
@@ -175,10 +174,10 @@ def _occurrences(batch: pa.RecordBatch, kind: Kind) -> Iterator[tuple]:
             if h:  # the prefix is the whole window
                 for r in range(p, q + 1):
                     context = text[starts[r] : ends[r + kind.window - 1]] if kind.words else text[r : r + kind.window]
-                    yield g, doc, a, a - r, a - r, context, True
+                    yield g, doc, a, a - r, a - r, context, True, th
             else:
                 context = text[starts[p] : ends[q + kind.window - 1]] if kind.words else text[p : q + kind.window]
-                yield g, doc, a, a - p, a - q, context, False
+                yield g, doc, a, a - p, a - q, context, False, th
 
 
 def _signed(x: int) -> int:
@@ -196,7 +195,7 @@ def classes(marked: DataFrame, kind: Kind, groups: int) -> DataFrame:
         pack = zstandard.ZstdCompressor(level=3, write_checksum=False)
         for batch in batches:
             own: dict[tuple, list] = {}
-            for g, doc, a, so, eo, context, hot in _occurrences(batch, kind):
+            for g, doc, a, so, eo, context, hot, _ in _occurrences(batch, kind):
                 key = (g, so, eo, context)
                 had = own.get(key)
                 if had is None:
@@ -245,11 +244,12 @@ def _rows(blobs: list[bytes]) -> tuple[dict[str, np.ndarray], list[bytes]]:
 def occurrences(marked: DataFrame, kind: Kind) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(g, _class_hash(so, eo, c), doc, a << 16 | so << 8 | eo) for g, doc, a, so, eo, c, _ in _occurrences(batch, kind)]
+            rows = [(g, _class_hash(so, eo, c), doc, a << 16 | so << 8 | eo, th >> 32) for g, doc, a, so, eo, c, _, th in _occurrences(batch, kind)]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], names=["_gram", "_class", "_doc", "_packed"])
+                kinds = [pa.int64()] * 4 + [pa.int32()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=["_gram", "_class", "_doc", "_packed", "_t"])
 
-    return marked.mapInArrow(run, "_gram long, _class long, _doc long, _packed long")
+    return marked.mapInArrow(run, "_gram long, _class long, _doc long, _packed long, _t int")
 
 
 def refine(node: np.ndarray, digit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -365,27 +365,28 @@ def repeated(docs: DataFrame, kind: Kind) -> DataFrame:
     found = (
         occurrences(marked, kind)
         .join(told, ["_gram", "_class"])
-        .select("_doc", "_packed", F.when(whole, F.lit(None)).otherwise(F.col("_mask")).alias("_mask"))
+        .select("_doc", "_packed", "_t", F.when(whole, F.lit(None)).otherwise(F.col("_mask")).alias("_mask"))
         .groupBy("_doc")
-        .agg(F.collect_list(F.struct("_packed", "_mask")).alias("_found"))
+        .agg(F.collect_list(F.struct("_packed", "_t", "_mask")).alias("_found"))
     )
     copied = F.coalesce(F.array_contains("_later" if kind.keep_first else "_same", F.col("_th")), F.lit(False))
     return texts.join(found, "_doc", "left").withColumn("_copied", copied)
 
 
-def covered(n: int, found: pa.Scalar, copied: bool, kind: Kind) -> np.ndarray | None:
-    """Which of n symbols lie in a repeated window; None for none."""
+def covered(n: int, th: int, found: pa.Scalar, copied: bool, kind: Kind) -> np.ndarray | None:
+    """Which of the n symbols of a text with the hash th lie in a repeated window; None for none."""
     if copied:
         return np.ones(n, bool) if n >= kind.window else None
     if not found.is_valid or not len(found.values):
         return None
     packed = found.values.field("_packed").to_numpy()
+    own = found.values.field("_t").to_numpy() == th >> 32  # a repeated doc_id can stand for other texts too
     step = np.zeros(n + 1, np.int32)
     at, so, eo = packed >> 16, packed >> 8 & 255, packed & 255
     first, last = at - so, at - eo
     masks = found.values.field("_mask").to_pylist()
     whole = np.array([m is None for m in masks])
-    fits = (first >= 0) & (last + kind.window <= n)
+    fits = own & (first >= 0) & (last + kind.window <= n)
     np.add.at(step, first[whole & fits], 1)
     np.add.at(step, last[whole & fits] + kind.window, -1)
     for i in np.flatnonzero(~whole & fits):
@@ -398,17 +399,17 @@ def covered(n: int, found: pa.Scalar, copied: bool, kind: Kind) -> np.ndarray |
 
 def without_repeats(docs: DataFrame, kind: Kind, make: Callable[[bytes, np.ndarray | None], tuple], fields: str, types: list[pa.DataType]) -> DataFrame:
     """`_row` and what `make` gives for each text (words joined by one space, or bytes) and its covered symbols."""
-    found = repeated(docs, kind).select("_row", "_z", "_found", "_copied")
+    found = repeated(docs, kind).select("_row", "_th", "_z", "_found", "_copied")
     row_type = found.schema["_row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             out = []
-            for z, f, c in zip(batch.column("_z"), batch.column("_found"), batch.column("_copied")):
+            for th, z, f, c in zip(batch.column("_th").to_pylist(), batch.column("_z"), batch.column("_found"), batch.column("_copied")):
                 text = _opened(z, unpack)
                 symbols = text.split() if kind.words else text
-                out.append(make(symbols, covered(len(symbols), f, c.as_py(), kind)))
+                out.append(make(symbols, covered(len(symbols), th, f, c.as_py(), kind)))
             columns = list(zip(*out)) if out else [[]] * len(types)
             yield pa.RecordBatch.from_arrays([batch.column("_row"), *(pa.array(c, t) for c, t in zip(columns, types))], names=["_row", *(f.split()[0] for f in fields.split(", "))])
 
