@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can express one, its oracle."""
 
-from . import fingerprints, jaccard_join, licenses, neighbours, packing, quality, sentencepieces, suffix_array, suffix_trees, url_filter
+from . import fingerprints, jaccard_join, licenses, neighbours, oracles, packing, quality, sentencepieces, suffix_array, suffix_trees, url_filter
 
 QUERIES = {
     "op1_quality_classifier": quality.op1_quality_classifier,
@@ -15,4 +15,4 @@ QUERIES = {
     "op10_license_scan": licenses.op10_license_scan,
 }
 
-ORACLE = {"op6_url_filter": url_filter.OP6_SQL}
+ORACLE = oracles.ORACLE
