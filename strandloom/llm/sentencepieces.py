@@ -2,11 +2,13 @@
 
 A text's white space is made visible and one mark is put before it; the text
 falls into chunks (marks and what follows up to the next mark), over which no
-piece of the vocabulary reaches. In each chunk an agenda of adjacent symbol
+piece of the vocabulary reaches. In each an agenda of adjacent symbol
 pairs gives up the pair with the best score, the leftmost of equals, until no
 pair is a piece; what is no piece in the end falls back to its bytes.
 
-Every chunk that enters a worker's cache is encoded by the sentencepiece
+Chunks are cut further where no piece reaches over, as between a letter and a
+full stop; what is merged is kept, as most parts come again. Every chunk with a
+part that is new to a worker is encoded by the sentencepiece
 library too, a batch of chunks at a time, and so is one whole text of each
 Arrow batch (the longest), with its decoding. The library's answer stands;
 `n_corrected` counts the chunks of a document where the two differed.
@@ -31,7 +33,7 @@ MARK = "▁"
 
 
 class MergeTokenizer:
-    def __init__(self, path: str, most_cached: int = 400_000):
+    def __init__(self, path: str, most_cached: int = 800_000):
         import sentencepiece
 
         self.library = sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -50,7 +52,11 @@ class MergeTokenizer:
         self.pieces = pieces
         self._pairs()
         self.comma = [f"{i}," for i in range(n)]
-        self.cache = Generations(most_cached, self.entry)
+        self.barrier = self._barriers()
+        self.parts_made = 0
+        self.odd: dict[str, str] = {}
+        self.parts = Generations(most_cached, self.part)
+        self.cache = Generations(most_cached * 5 // 8, self.entry)
         self.fresh: list[tuple[str, str]] = []
         self.wrong: set[str] = set()
 
@@ -65,6 +71,7 @@ class MergeTokenizer:
         by_score = sorted(self.ids, key=lambda p: self.rank[p])
         self.char = {s: i for s, i in number.items() if len(s) == 1}
         self.made = [number[p] for p in by_score]
+        self.never = len(by_score)
         self.pairs = {number[p[:c]] << 24 | number[p[c:]]: k for k, p in enumerate(by_score) for c in range(1, len(p)) if p[:c] in number and p[c:] in number}
         ranks = [self.rank[p] for p in by_score]
         if any(a == b for a, b in zip(ranks, ranks[1:]) if a < 1e8):
@@ -74,6 +81,21 @@ class MergeTokenizer:
         char, pairs, made = self.char, self.pairs, self.made
         symbols = [char.get(c, -2) for c in chunk]
         n = len(symbols)
+        if n <= 24:  # a flat agenda: the rank of the pair that begins at each symbol
+            never = self.never
+            agenda = [pairs.get(a << 24 | b, never) for a, b in zip(symbols, symbols[1:])]
+            agenda.append(never)
+            chars = list(chunk) if -2 in symbols or max(symbols) >= len(self.pieces) else None
+            while (best := min(agenda)) < never:
+                i = agenda.index(best)
+                symbols[i] = joined = made[best]
+                del symbols[i + 1], agenda[i + 1]
+                if chars:
+                    del chars[i + 1]
+                agenda[i] = pairs.get(joined << 24 | symbols[i + 1], never) if i + 1 < len(symbols) else never
+                if i:
+                    agenda[i - 1] = pairs.get(symbols[i - 1] << 24 | joined, never)
+            return self._with_bytes(symbols, chars) if chars else symbols
         agenda = [r << 32 | i for i in range(n - 1) if (r := pairs.get(symbols[i] << 24 | symbols[i + 1])) is not None]
         heapq.heapify(agenda)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
@@ -94,13 +116,17 @@ class MergeTokenizer:
             h = before[i]
             if h >= 0 and (r := pairs.get(symbols[h] << 24 | joined)) is not None:
                 push(agenda, r << 32 | h)
+        return self._with_bytes(symbols, chunk)
+
+    def _with_bytes(self, symbols: list[int], chars) -> list[int]:
+        """Ids: a symbol that is no piece is one character, and falls back to its bytes."""
         out = []
         top = len(self.pieces)
-        for i, s in enumerate(symbols):
+        for s, c in zip(symbols, chars):
             if 0 <= s < top:
                 out.append(s)
             elif s != -1:
-                out.extend([self.byte_ids[b] for b in chunk[i].encode()])
+                out.extend([self.byte_ids[b] for b in c.encode()])
         return out
 
     def _spelled(self, ids: list[int]) -> str:
@@ -125,14 +151,40 @@ class MergeTokenizer:
         s = self._spelled(ids)
         return s[1:] if s[:1] == " " else s
 
-    def entry(self, body: str) -> tuple[str, int, str]:
-        """Of the chunk with one mark and this body: ids joined by commas with one after, their number, the text."""
-        made = self._entry(self.chunk_ids(MARK + body))
-        self.fresh.append((body, made[0]))
-        return made
-
-    def _entry(self, ids: list[int]) -> tuple[str, int, str]:
-        return "".join([self.comma[i] for i in ids]), len(ids), self._spelled(ids)
+    def _barriers(self) -> re.Pattern:
+        """Places within a chunk that no piece reaches over: between a Latin letter and a sign that no piece puts
+        after one, and around a line's end if no piece holds it."""
+        pairs = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        letters = [chr(c) for c in range(0x250) if chr(c).isalpha()]
+        signs = [chr(c) for c in range(0x80) if not chr(c).isalnum() and not any(x + chr(c) in pairs for x in letters)]
+        places = []
+        if signs:
+            places.append(f"(?<=[{''.join(letters)}])(?=[{re.escape(''.join(signs))}])")
+        if not any("\n" in p for p in self.ids):
+            places += ["(?<=\n)", "(?=\n)"]
+        return re.compile("|".join(places) or "(?!)")
+
+    def part(self, part: str) -> tuple[str, str]:
+        """Ids of a part of a chunk, each with a comma after it, and the part's text."""
+        self.parts_made += 1
+        ids = self.chunk_ids(part)
+        return "".join([self.comma[i] for i in ids]), self._spelled(ids)
+
+    def entry(self, body: str) -> str:
+        """Of the chunk with one mark and this body: ids with a comma after each. What they decode to is noted in
+        `odd` if that is not the body after a space."""
+        made, get = self.parts_made, self.parts.__getitem__
+        parts = self.barrier.split(MARK + body)
+        if len(parts) == 1:
+            line, text = get(parts[0])
+        else:
+            lines, texts = zip(*[get(x) for x in parts if x])
+            line, text = "".join(lines), "".join(texts)
+        if text[1:] != body:
+            self.odd[body] = text[1:]
+        if self.parts_made != made:
+            self.fresh.append((body, line))
+        return line
 
     def bodies(self, text: str) -> list[str]:
         """Chunks of a text without the mark that each begins with."""
@@ -148,13 +200,18 @@ class MergeTokenizer:
         if not text:
             return 0, "", "", 0
         bodies = self.bodies(text)
-        at = len(self.fresh)
-        lines, counts, texts = zip(*map(self.cache.__getitem__, bodies))
-        if len(self.fresh) - at > 20_000 or len(self.fresh) > 50_000:
+        if len(self.odd) > 100_000:
+            self.odd = {b: self.odd[b] for b in self.odd if b in self.wrong}
+            self.cache.clear()
+            self.cache.older = {}
+        line = "".join(map(self.cache.__getitem__, bodies))
+        if len(self.fresh) > 20_000:
             self.check()
-        if self.wrong and not self.wrong.isdisjoint(bodies):
-            lines, counts, texts = zip(*map(self.cache.__getitem__, bodies))
-        return sum(counts), "".join(lines)[:-1], "".join(texts)[1:], sum(b in self.wrong for b in bodies) if self.wrong else 0
+        wrong = 0
+        if self.wrong and (wrong := sum(b in self.wrong for b in bodies)):
+            line = "".join(map(self.cache.__getitem__, bodies))
+        texts = bodies if not self.odd or self.odd.keys().isdisjoint(bodies) else [self.odd.get(b, b) for b in bodies]
+        return line.count(","), line[:-1], " ".join(texts), wrong
 
     def check(self) -> bool:
         """What the cache got since the last check, against the library; True if all was right."""
@@ -163,7 +220,8 @@ class MergeTokenizer:
         for (body, line), ids in zip(fresh, self.library.encode([b.replace(MARK, " ") for b, _ in fresh], num_threads=1)):
             if line != "".join([self.comma[i] for i in ids]):
                 self.wrong.add(body)
-                self.cache[body] = self._entry(ids)
+                self.cache[body] = "".join([self.comma[i] for i in ids])
+                self.odd[body] = self._spelled(ids)[1:]
                 fine = False
         return fine
 
