@@ -8,15 +8,15 @@ Jaccard distance is a metric, and the join works in that space, exactly:
    one). Regions with one point only are dropped. The order puts shingles that
    are frequent in a bounded sample of documents last; that choice moves work,
    never results.
-3. The least point of a region is its pivot. Distances to the pivot are measured;
-   those within the radius are linked to it, and links make components.
-4. A region whose points are still in several components is joined recursively:
-   two of its points can only be linked if their distances to the pivot differ by
-   at most the radius (triangle inequality), so points sorted by that distance
-   meet in windows, nearest to the pivot first; the window also reaches over the
-   boundary between those near to the pivot and those far from it. Sizes and
-   places of the shared shingle narrow the windows further. Pairs of one
-   component need no measure.
+3. In some regions of each point, chosen by hash, the most central point is the pivot.
+   Distances to it are measured; points within the radius are linked to it, and
+   links make components. Every point lies in the Voronoi cell of the nearest
+   pivot that it was measured against. A cell whose points are still in several
+   components is joined within: points meet in windows of distances to the pivot
+   (triangle inequality), and what they have in common is counted exactly; only
+   links that join components come out. Large cells are split into pairs of blocks.
+4. Over the cells' boundaries, points of different cells and components that share
+   a region are paired if sizes, places and shared prefixes allow a link.
 5. The remaining pairs are measured; all links give the final components.
 
 Regions by nearest pivot alone cannot work here: nearly all documents are at
@@ -90,39 +90,47 @@ def frequent_shingles(docs: DataFrame, size: int = SHINGLE) -> np.ndarray:
     return np.sort(rows.column(0).to_numpy().view(np.uint64))
 
 
-def prefix_of(own: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
-    """The first shingles in the global order: a set and another with the similarity share one of them."""
-    need = -(-percent * len(own) // 100)
-    length = len(own) - need + 1
+def prefix_length(n, percent: int):
+    return n + 1 - -(-percent * n // 100)
+
+
+def prefix_of(own: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """The first shingles in the global order, of which a set shares one with any other that is similar enough, and
+    the place in that order (33 bits) at which they end."""
+    length = prefix_length(len(own), percent)
+    early = len(own)
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
         late = frequent[at] == own
         if late.any():
             own = np.concatenate([own[~late], own[late]])
-    return own[:length]
+            early = len(own) - int(late.sum())
+    return own[:length], int(length > early) << 32 | int(own[length - 1]) >> 32
 
 
 def points(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, _doc, n_shingles, node (null for an empty set) and prefix of every row."""
+    """doc_id, _doc, n_shingles, node (null for an empty set), prefix and its end of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, size))  # at most MOST_FREQUENT numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = shared.value
         for batch in batches:
             sets = shingle_sets(*text_bytes(batch.column(2)), size)
+            prefixes = [prefix_of(s, frequent, percent) if len(s) else (None, None) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     batch.column(1),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([name_of(s) if len(s) else None for s in sets], pa.int64()),
-                    pa.array([prefix_of(s, frequent, percent).view(np.int64) if len(s) else None for s in sets], pa.list_(pa.int64())),
+                    pa.array([None if p is None else p.view(np.int64) for p, _ in prefixes], pa.list_(pa.int64())),
+                    pa.array([e for _, e in prefixes], pa.int64()),
                 ],
-                names=["doc_id", "_doc", "n_shingles", "node", "prefix"],
+                names=["doc_id", "_doc", "n_shingles", "node", "prefix", "end"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", id_key().alias("_doc"), F.col("text").alias("_text")).mapInArrow(run, f"doc_id {kind}, _doc long, n_shingles long, node long, prefix array<long>")
+    return docs.select("doc_id", id_key().alias("_doc"), F.col("text").alias("_text")).mapInArrow(run, f"doc_id {kind}, _doc long, n_shingles long, node long, prefix array<long>, end long")
 
 
 def entries(found: DataFrame) -> DataFrame:
@@ -201,81 +209,212 @@ def measured(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     return with_texts.mapInArrow(run, "a long, b long, common long, total long")
 
 
-def crossing_pairs(frame: pd.DataFrame, percent: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of a region's points in different components that the pivot's distances, sizes and places allow.
+#: Points of a region beyond which it is split into blocks, and points of a batch of regions.
+BLOCK, BATCH = 20_000, 50_000
+#: Points of a region up to which all regions with the same least point are dealt to one batch.
+ONE_BATCH = 512
+#: Shingles of a Voronoi cell beyond which it is split into blocks.
+CELL = 2_000_000
+#: Of a point with more shingles than this, about a fifth of so many regions are used to find pivots; else all.
+FIRST = 48
+_NEARBY = 32
+
 
-    frame: node, n, place, component, near and far (bounds of the distance to the
-    pivot). Points are taken in order of `near`; a point meets those whose
-    distance can differ from its own by at most the radius.
+def _allowed(i: np.ndarray, j: np.ndarray, c: dict[str, np.ndarray], percent: int) -> np.ndarray:
+    """Whether two points of a region may be linked, by what is known of each.
+
+    Sizes; the place of the shared shingle (only what follows it, and what is
+    shared before it, can be in common); the whole prefix: of the two, the one
+    whose prefix ends first can have in common no more than its shared shingles
+    and what follows its prefix (`most`). Points of one cell meet there.
+    """
+    n, m = c["n"][i], c["n"][j]
+    need = -(-percent * (n + m) // (100 + percent))
+    most = np.where(c["end"][i] < c["end"][j], c["most"][i], np.where(c["end"][i] > c["end"][j], c["most"][j], np.maximum(c["most"][i], c["most"][j])))
+    return (
+        (c["component"][i] != c["component"][j])
+        & (c["home"][i] != c["home"][j])
+        & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+        & (np.minimum(n - c["place"][i], m - c["place"][j]) >= need)
+        & (most >= need)
+    )
+
+
+def crossing_pairs(region: np.ndarray, c: dict[str, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of points of one region and two components that may be linked; c holds node, n, place, end, most,
+    component and the nearest pivot (home).
+
+    Small regions are compared as they lie side by side; in a large one each
+    point outside its largest component (every pair has one such end) meets all
+    of the others.
+    """
+    order = np.argsort(region, kind="stable")
+    region, c = region[order], {k: v[order] for k, v in c.items()}
+    first = np.flatnonzero(np.concatenate([[True], region[1:] != region[:-1]])) if len(region) else np.zeros(0, np.int64)
+    size = np.diff(np.append(first, len(region)))
+    mixed = np.repeat(np.maximum.reduceat(c["component"], first) != np.minimum.reduceat(c["component"], first), size) if len(first) else np.zeros(0, bool)
+    region, c = region[mixed], {k: v[mixed] for k, v in c.items()}
+    first = np.flatnonzero(np.concatenate([[True], region[1:] != region[:-1]])) if len(region) else np.zeros(0, np.int64)
+    size = np.diff(np.append(first, len(region)))
+    small = np.repeat(size <= _NEARBY, size)
+    found = []
+    for d in range(1, int(size[size <= _NEARBY].max(initial=1))):
+        i = np.flatnonzero(small[:-d] & (region[d:] == region[:-d]))
+        i = i[_allowed(i, i + d, c, percent)]
+        found.append((i, i + d))
+    for low, count in zip(first[size > _NEARBY].tolist(), size[size > _NEARBY].tolist()):
+        j = np.arange(low, low + count)
+        _, of, sizes = np.unique(c["component"][j], return_inverse=True, return_counts=True)
+        largest = int(np.argmax(sizes))
+        for i in np.flatnonzero(of != largest).tolist():
+            i_all = np.full(count, low + i)
+            keep = ((of == largest) | (j > low + i)) & _allowed(i_all, j, c, percent)
+            found.append((i_all[keep], j[keep]))
+    left, right = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*found) if found else ((), ())))
+    a, b = c["node"][left], c["node"][right]
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def cell_links(node: np.ndarray, component: np.ndarray, distance: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that join the components of one Voronoi cell's points, found exactly.
+
+    Points outside the cell's largest component are taken one by one; what they
+    have in common with those whose distance to the pivot differs by at most the
+    radius is counted through postings of shingles. A point that is linked joins
+    the other's component, so each component is linked once.
     """
-    radius = (100 - percent) / 100 + 1e-9
-    frame = frame.sort_values(["near", "node"])
-    node, n, place, component, near, far = (frame[c].to_numpy() for c in ("node", "n", "place", "component", "near", "far"))
-    _, of, size = np.unique(component, return_inverse=True, return_counts=True)
+    radius = (100 - percent) / 100 + 1e-6
+    order = np.argsort(distance, kind="stable")  # a window of distances is a range
+    node, distance = node[order], distance[order]
+    n = np.array([len(sets[i]) for i in order], np.int64)
+    _, component, size = np.unique(component[order], return_inverse=True, return_counts=True)
+    label = np.arange(len(size))
+    owner = np.repeat(np.arange(len(node)), n)
+    values = np.concatenate([sets[i] for i in order])
+    by_value = np.argsort(values, kind="stable")
+    owner, values = owner[by_value], values[by_value]
+    number = np.cumsum(np.concatenate([[True], values[1:] != values[:-1]])) - 1
+    start = np.searchsorted(number, np.arange(number[-1] + 2))
+    back = np.empty(len(values), np.int64)
+    back[by_value] = number  # in the order of points: the number of each shingle
+    begin = np.concatenate([[0], np.cumsum(n)])
+    out: list[tuple[int, int]] = []
     largest = int(np.argmax(size))
-    out = []
-    reach = np.maximum.accumulate(far)
-    for i in np.flatnonzero(of != largest):  # every crossing pair has an end outside the largest component
-        low = int(np.searchsorted(reach, near[i] - radius, "left"))
-        high = int(np.searchsorted(near, far[i] + radius, "right"))
-        j = np.arange(low, high)
-        j = j[(of[j] != of[i]) & (far[j] >= near[i] - radius) & ((of[j] == largest) | (j > i))]
-        need = -(-percent * (n[j] + n[i]) // (100 + percent))
-        j = j[(100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i])) & (np.minimum(n[j] - place[j], n[i] - place[i]) >= need)]
-        if len(j):
-            out.append((np.minimum(node[i], node[j]), np.maximum(node[i], node[j])))
+    for u in np.flatnonzero(component != largest).tolist():
+        mine = back[begin[u] : begin[u + 1]]
+        mine = mine[start[mine + 1] - start[mine] > 1]
+        if not len(mine):
+            continue
+        low, high = int(np.searchsorted(distance, distance[u] - radius, "left")), int(np.searchsorted(distance, distance[u] + radius, "right"))
+        length = start[mine + 1] - start[mine]
+        at = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length) + np.repeat(start[mine], length)
+        common = np.bincount(owner[at], minlength=len(node))[low:high]
+        linked = np.flatnonzero(100 * common >= percent * (n[u] + n[low:high] - common)) + low
+        for v in linked[label[component[linked]] != label[component[u]]].tolist():
+            x, y = label[component[u]], label[component[v]]
+            if x != y:
+                label[label == max(x, y)] = min(x, y)
+                out.append((int(min(node[u], node[v])), int(max(node[u], node[v]))))
     return out
 
 
+def in_cells(of_point: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) within the Voronoi cells whose points are in several components. A cell with more than
+    CELL shingles is split into pairs of blocks."""
+    cells = of_point.groupBy("home").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.ceil(F.sum("n") / CELL).cast("int").alias("blocks"))
+    cells = written(cells.filter("_low < _high").select("home", "blocks"), "cells")
+    rows = (
+        of_point.join(cells, "home")
+        .join(texts, "node")
+        .withColumn("_own", F.pmod(F.xxhash64("node"), F.col("blocks")))
+        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("home", F.least("_own", "_other").alias("_x"), F.greatest("_own", "_other").alias("_y"), "node", "component", "distance", "_z")
+    )
+
+    def run(cell: pa.Table) -> pa.Table:
+        unpack = zstandard.ZstdDecompressor()
+        sets = [own for z in cell.column("_z") for own in _sets(z, unpack, size)]
+        node, component, distance = (cell.column(c).to_numpy() for c in ("node", "component", "distance"))
+        links = cell_links(node, component, distance, sets, percent) if len(np.unique(component)) > 1 else []
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    return rows.groupBy("home", "_x", "_y").applyInArrow(run, "a long, b long")
+
+
 def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row; `_doc` stands for doc_id without nulls."""
     found = written(points(docs, size, percent), "points")
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = entries(found).repartition(parts, "key")
-    regions = dealt.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("_last")).filter("pivot < _last").select("key", "pivot")
-    members = written(dealt.join(regions, "key").select("key", "node", "pivot", F.shiftright("packed", 32).alias("n"), F.col("packed").bitwiseAND(0xFFFFFFFF).alias("place")), "regions")
-    nodes = members.select("node").distinct()
-    chosen = found.filter("node is not null").groupBy("node").agg(F.min("_doc").alias("_doc")).join(nodes, "node")
-    texts = written(texts_of(docs, chosen, size), "texts")
-
-    # distances to the pivots; if sizes alone put a point beyond twice the radius, the bounds are enough
-    sizes = members.select(F.col("node").alias("pivot"), F.col("n").alias("_m")).distinct()
-    stars = members.filter("node <> pivot").select("pivot", "node", "n").distinct().join(sizes, "pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"), "n", "_m")
-    wide = max(0, 2 * percent - 100)
-    stars = stars.filter(100 * F.least("n", "_m") >= wide * F.greatest("n", "_m")).select("a", "b")
-    measured_stars = written(measured(stars, texts, size), "stars")
+    regions = dealt.groupBy("key").agg(F.min("node").alias("_first"), F.max("node").alias("_last"), F.count(F.lit(1)).alias("_size")).filter("_first < _last")
+    # regions that are not large and have one least point are dealt to one batch: most of their pairs are the same
+    spot = F.when(F.col("_size") <= ONE_BATCH, F.col("_first")).otherwise(F.col("key")).alias("spot")
+    members = written(dealt.join(regions.select("key", F.col("_size").alias("size"), spot), "key").select("key", "node", "packed", "size", "spot"), "regions")
+    n, place = F.shiftright("packed", 32), F.col("packed").bitwiseAND(0xFFFFFFFF)
+
+    shared = members.groupBy("node").agg(F.count(F.lit(1)).alias("_shared"), F.sum("size").alias("_met"))
+    named = found.filter("node is not null").groupBy("node").agg(F.min("_doc").alias("_doc"), F.min("n_shingles").alias("n"), F.min("end").alias("end"))
+    length = F.col("n") + 1 - F.ceil(percent * F.col("n") / 100)
+    most = F.col("_shared") + F.col("n") - length
+    chosen = written(named.join(shared, "node").select("node", "_doc", "n", "end", most.alias("most"), (F.col("_met") / length).alias("central")), "members")
+    texts = written(texts_of(docs, chosen.select("_doc", "node"), size), "texts")
     linked = 100 * F.col("common") >= percent * F.col("total")
-    links = measured_stars.filter(linked).select("a", "b")
+
+    # some regions of each point, chosen by hash and by a point's size (to a power of two): distances to their pivots
+    # (the pivot is the most central point, that whose shingles the most points share; a trace of hash breaks ties)
+    order = F.col("central") + F.pmod(F.xxhash64("node"), F.lit(1000)) / 1e7
+    bits = F.greatest(F.lit(0), F.floor(F.log2(n / FIRST))).cast("int")
+    some = F.xxhash64("key").bitwiseAND(F.shiftleft(F.lit(1).cast("long"), 40) - 1) % F.pow(F.lit(2.0), bits).cast("long") == 0
+    early = members.filter(some).select("key", "node").join(chosen.select("node", order.alias("_order")), "node")
+    pivots = early.groupBy("key").agg(F.max_by("node", "_order").alias("p"), F.min("node").alias("_first"), F.max("node").alias("_last")).filter("_first < _last").select("key", "p")
+    stars = early.join(pivots, "key").filter("node <> p").select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b"), "p").distinct()
+    sizes = chosen.select("node", "n")
+    stars = stars.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("_na")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("_nb")), "b")
+    stars = stars.filter(100 * F.least("_na", "_nb") >= percent * F.greatest("_na", "_nb")).select("a", "b", "p")
+    stars = written(stars, "pairs")
+    near = written(measured(stars.select("a", "b").distinct(), texts, size), "stars")
+    links = near.filter(linked).select("a", "b")
     first = components(links)
 
-    labelled = members.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).filter("_low < _high").select("key")
-    distance = 1 - F.col("common") / F.col("total")
-    known = measured_stars.select(F.col("a").alias("pivot"), F.col("b").alias("node"), distance.alias("_d"))
+    # each point's nearest pivot, then the regions whose points are in several components
+    known = near.withColumn("_d", (1 - F.col("common") / F.col("total")).cast("float")).join(stars, ["a", "b"])
+    other = F.when(F.col("p") == F.col("a"), F.col("b")).otherwise(F.col("a"))
+    homes = known.select(other.alias("node"), F.col("p").alias("_home"), "_d").union(known.select("p", "p", F.lit(0.0).cast("float")))
+    homes = homes.groupBy("node").agg(F.min_by("_home", "_d").alias("_home"), F.min("_d").alias("distance"))
+    of_point = chosen.join(first, "node", "left").join(homes, "node", "left").select(
+        "node", "n", "end", "most", F.coalesce("component", "node").alias("component"), F.coalesce("_home", "node").alias("home"), F.coalesce("distance", F.lit(0.0).cast("float")).alias("distance")
+    )
+    of_point = written(of_point, "cells")
+    inner = written(in_cells(of_point, texts, size, percent), "inner")
+    links = links.union(inner)
+    # links of cells join components further
+    of_point = of_point.drop("component").join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    batches = max(parts, -(-members.count() // BATCH))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
     open_regions = (
-        labelled.join(mixed, "key")
-        .join(known, ["pivot", "node"], "left")
-        .select(
-            "key", "node", "n", "place", "component",
-            F.when(F.col("node") == F.col("pivot"), 0.0).otherwise(F.coalesce("_d", F.lit(1 - wide / 100))).alias("near"),
-            F.when(F.col("node") == F.col("pivot"), 0.0).otherwise(F.coalesce("_d", F.lit(1.0))).alias("far"),
-        )
-    )
+        members.join(of_point.drop("n", "distance"), "node")
+        .withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+        .withColumn("_own", own)
+        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumn("region", F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("_own", "_other"), F.greatest("_own", "_other"))))
+        .withColumn("batch", F.pmod(F.xxhash64(F.when(F.col("blocks") == 1, F.col("spot")).otherwise(F.col("region"))), F.lit(batches)))
+        .select("region", "node", "packed", "end", "most", "component", "home", "batch")
+        .repartition(batches, "batch")
+    )
 
     def crossing(frame: pd.DataFrame) -> pd.DataFrame:
-        got = crossing_pairs(frame, percent)
-        if not got:
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        return pd.DataFrame({"a": np.concatenate([x for x, _ in got]), "b": np.concatenate([y for _, y in got])})
+        c = {x: frame[x].to_numpy() for x in ("node", "end", "most", "component", "home")}
+        packed = frame["packed"].to_numpy()
+        a, b = crossing_pairs(frame["region"].to_numpy(), c | {"n": packed >> 32, "place": packed & 0xFFFFFFFF}, percent)
+        return pd.DataFrame({"a": a, "b": b})
 
-    # a pivot is the least point of its region, so measured pairs have a < b as well
-    pairs = open_regions.groupBy("key").applyInPandas(crossing, "a long, b long").distinct().join(measured_stars.select("a", "b"), ["a", "b"], "left_anti")
+    pairs = open_regions.groupBy("batch").applyInPandas(crossing, "a long, b long").distinct().join(near.select("a", "b"), ["a", "b"], "left_anti")
     more = written(measured(written(pairs, "pairs"), texts, size).filter(linked).select("a", "b"), "more")
     labels = components(links.union(more))
 
-    of_node = found.filter("node is not null").groupBy("node").agg(F.min("_doc").alias("_least")).join(labels, "node", "left").select("node", "_least", F.coalesce("component", "node").alias("component"))
-    of_node = written(of_node, "nodes")
+    of_node = written(found.filter("node is not null").groupBy("node").agg(F.min("_doc").alias("_least")).join(labels, "node", "left").select("node", "_least", F.coalesce("component", "node").alias("component")), "nodes")
     least = of_node.groupBy("component").agg(F.min("_least").alias("_id"))
     of_node = written(of_node.join(least, "component").select("node", "_id"), "ids")
     return (
@@ -293,4 +432,5 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def one_of_each(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The document with the least id of every component; rows that share that id are all kept."""
     kept = jaccard_components(docs, size, percent).filter("_doc = component_id").select("_doc").distinct()
-    return docs.withColumn("_doc", id_key()).join(kept, "_doc", "left_semi").select(*[f"`{c}`" for c in docs.columns])
+    rows = docs.select(id_key().alias("_doc"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    return rows.join(kept, "_doc", "left_semi").select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])

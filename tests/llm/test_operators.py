@@ -116,6 +116,31 @@ def test_frequent_runs_take_the_long_prefix(docs, rows, monkeypatch):
     assert got(suffix_array.repeat_digests(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == model_bytes(rows, 100)
 
 
+@pytest.mark.parametrize("words", [True, False])
+def test_equal_windows_against_a_plain_count(words, monkeypatch):
+    rng = random.Random(7)
+    kind = repeats.Kind(words=words, window=9, gram=3, keep_first=False)
+    make = lambda n: [rng.choice((b"x", b"yy" if words else b"y")) for _ in range(n)]
+    spans = [sorted((rng.randint(0, 6), rng.randint(0, 6))) for _ in range(300)]
+    eo, so = np.array([a for a, _ in spans]), np.array([b for _, b in spans])
+    gram = np.array([rng.randrange(4) for _ in spans])
+    split = [make(b - a + 9) for a, b in spans]
+    contexts = [(b" " if words else b"").join(c) for c in split]
+    places = defaultdict(list)
+    for i, c in enumerate(split):
+        for off in range(so[i] - eo[i] + 1):
+            places[gram[i], so[i] - off, tuple(c[off : off + 9])].append((i, off))
+    want = sorted(sorted(x) for x in places.values() if len(x) > 1)
+    for most in (1_000_000, 50, 1):
+        monkeypatch.setattr(repeats, "WINDOWS", most)
+        which, off, node = repeats.equal_windows(gram, so, eo, contexts, kind)
+        groups = defaultdict(list)
+        for w, o, g in zip(which.tolist(), off.tolist(), node.tolist()):
+            groups[g].append((w, o))
+        assert sorted(sorted(x) for x in groups.values()) == want
+        assert (np.diff(node) >= 0).all()
+
+
 def test_repeats_keep_columns_and_characters(docs, empty):
     out = suffix_array.remove_later_copies(docs, 12, 5)
     assert out.columns == docs.columns and out.count() == docs.count()
@@ -175,11 +200,12 @@ def model_components(rows, size=5, percent=80):
 @pytest.mark.parametrize("percent,block", [(80, 20_000), (60, 20_000), (80, 3)])
 def test_jaccard_components(docs, rows, percent, block, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "CELL", 100 * block)
     out = jaccard_join.jaccard_components(docs, 5, percent)
     assert got(out, "doc_id", "n_shingles", "component_id") == model_components(rows, 5, percent)
 
 
-def test_near_windows_in_large_regions(spark, monkeypatch):
+def test_near_windows_in_large_regions(spark):
     """Many near copies of one text, so that regions are large and several components share them."""
     rng = random.Random(9)
     base = [f"w{i}" for i in range(120)]
@@ -189,10 +215,53 @@ def test_near_windows_in_large_regions(spark, monkeypatch):
         for _ in range(rng.choice((0, 1, 2, 3, 4, 6))):
             own[rng.randrange(len(own))] = f"x{rng.randrange(30)}"
         rows.append((i, " ".join(own)))
-    for limit in (32, 4):
+    out = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got(out, "doc_id", "n_shingles", "component_id") == model_components(rows)
+
+
+def test_crossing_pairs_of_small_and_large_regions(monkeypatch):
+    rng = np.random.default_rng(4)
+    m = 400
+    region = rng.integers(0, 12, m)
+    n = rng.integers(20, 30, m)
+    c = {"node": rng.permutation(m), "n": n, "place": rng.integers(0, 5, m), "end": rng.integers(0, 9, m), "most": n - rng.integers(0, 6, m), "component": rng.integers(0, 5, m), "home": rng.integers(0, 40, m)}
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(m), np.arange(m)))
+    keep = (i < j) & (region[i] == region[j]) & jaccard_join._allowed(i, j, c, 80)
+    want = {(min(a, b), max(a, b)) for a, b in zip(c["node"][i[keep]].tolist(), c["node"][j[keep]].tolist())}
+    for limit in (500, 32, 3):
         monkeypatch.setattr(jaccard_join, "_NEARBY", limit)
-        out = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
-        assert got(out, "doc_id", "n_shingles", "component_id") == model_components(rows)
+        a, b = jaccard_join.crossing_pairs(region, c, 80)
+        assert set(zip(a.tolist(), b.tolist())) == want and len(a) == len(want)
+
+
+def test_links_within_a_cell():
+    rng = random.Random(6)
+    base = list(range(100))
+    sets = []
+    for i in range(150):
+        own = set(base)
+        for _ in range(rng.randint(0, 12)):
+            own.discard(rng.choice(base))
+            own.add(1000 + rng.randrange(200))
+        sets.append(np.array(sorted(own), np.uint64))
+    like = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+    distance = np.array([1 - like(sets[0], s) for s in sets])
+    node = np.array(rng.sample(range(10_000), 150))
+    component = np.array([rng.randrange(60) for _ in sets])
+    component[0] = component[1]
+
+    def groups(links):
+        label = {int(x): int(x) for x in component}
+        for a, b in links:
+            x, y = label[int(component[a])], label[int(component[b])]
+            label = {k: x if v == y else v for k, v in label.items()}
+        return Counter(tuple(sorted(k for k, v in label.items() if v == x)) for x in set(label.values()))
+
+    place = {int(x): i for i, x in enumerate(node)}
+    links = jaccard_join.cell_links(node, component, distance, sets, 80)
+    assert all(like(sets[place[a]], sets[place[b]]) >= 0.8 for a, b in links)
+    every = [(i, j) for i in range(150) for j in range(i) if like(sets[i], sets[j]) >= 0.8]
+    assert groups([(place[a], place[b]) for a, b in links]) == groups(every)
 
 
 def test_one_of_each(docs, rows, empty):
