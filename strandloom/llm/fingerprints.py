@@ -3,8 +3,8 @@
 Symbols are runs of at most 16 characters other than white space. A k-mer of
 symbols is chosen when, of the s-mers in it, the least by hash is the first or
 the last: that depends on the k-mer alone, so a passage has the same anchors in
-any document, at the same places within it. A text without anchors has one: all
-its symbols. A fingerprint is the least `SIZE` hashes (32 bits) of the anchors,
+any document, at the same places within it. In a text of fewer than SHORT symbols
+every symbol is an anchor. A fingerprint is the least `SIZE` hashes (32 bits) of the anchors,
 as hexadecimal digits; the likeness of two is the share of common anchors
 (Dice's coefficient) estimated from the least hashes of both together.
 
@@ -21,6 +21,8 @@ from .common import table
 
 K, S = 6, 2
 SIZE = 64
+#: Texts of fewer symbols have every symbol as an anchor (k-mers of one).
+SHORT = 24
 #: Ids in a stretch within which neighbours are found together.
 STRETCH = 512
 
@@ -44,8 +46,8 @@ def with_anchors(df: DataFrame, text: str, out: str, k: int = K, s: int = S) ->
             f"i -> named_struct('at', i, 'hash', shiftrightunsigned(xxhash64({spread}), 32))) ELSE array() END"
         ),
     )
-    whole = f"array(named_struct('at', 0, 'hash', shiftrightunsigned(xxhash64({h}), 32)))"
-    return df.withColumn(out, F.expr(f"CASE WHEN size({out}) > 0 OR size({h}) = 0 THEN {out} ELSE {whole} END")).drop(h, g)
+    symbols = f"transform({h}, (x, i) -> named_struct('at', i, 'hash', shiftrightunsigned(x, 32)))"
+    return df.withColumn(out, F.expr(f"CASE WHEN size({out}) > 0 AND size({h}) >= {SHORT} OR size({h}) = 0 THEN {out} ELSE {symbols} END")).drop(h, g)
 
 
 def with_sketch(df: DataFrame, text: str, out: str, size: int = SIZE) -> DataFrame:
