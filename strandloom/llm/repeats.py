@@ -44,8 +44,11 @@ _U = np.uint64
 _SEGMENT = 1 << 21
 _PLACE = _U((1 << 22) - 1)
 _HOT_BIT = 1 << 62
-#: Occurrences of a run of k symbols beyond which its windows are dealt out one by one.
-HOT = 20_000
+#: Occurrences of a run of k symbols beyond which its windows are dealt out one by one. Up to that many contexts
+#: (each shorter than two windows) can meet in one group.
+HOT = 500_000
+#: Windows of a group that are refined at a time, about.
+WINDOWS = 1_000_000
 #: Anchors in a group, about.
 GROUP = 30_000
 
@@ -283,21 +286,31 @@ def equal_windows(gram: np.ndarray, so: np.ndarray, eo: np.ndarray, contexts: li
 
     The windows of an anchor at one offset from it are a node; a node is split by
     the next digit of its windows, and windows alone in a node are left, until the
-    depth is that of a window.
+    depth is that of a window. Windows at other offsets never meet, so offsets are
+    taken a few at a time where there are many windows.
     """
     digit, begin, width = digits(contexts, kind.words)
-    count = so - eo + 1
-    which = np.repeat(np.arange(len(gram)), count)
-    off = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    kept, node = refine(gram[which], (so[which] - off).astype(np.uint64))
-    which, off = which[kept], off[kept]
-    depth = 0
-    while depth < kind.window and len(which):
-        depth = min(depth, kind.window - width) if kind.window >= width else 0
-        kept, node = refine(node, digit[begin[which] + off + depth])
+    low, high = int(eo.min()), int(so.max())
+    step = max(1, (high - low + 1) * WINDOWS // max(1, int((so - eo + 1).sum())))
+    parts, groups = [], 0
+    for first in range(low, high + 1, step):
+        a, b = np.maximum(eo, first), np.minimum(so, first + step - 1)  # offsets from the anchor
+        count = np.maximum(b - a + 1, 0)
+        which = np.repeat(np.arange(len(gram)), count)
+        off = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(so - b, count)
+        kept, node = refine(gram[which], (so[which] - off).astype(np.uint64))
         which, off = which[kept], off[kept]
-        depth += width
-    return which, off, node
+        depth = 0
+        while depth < kind.window and len(which):
+            depth = min(depth, kind.window - width) if kind.window >= width else 0
+            kept, node = refine(node, digit[begin[which] + off + depth])
+            which, off = which[kept], off[kept]
+            depth += width
+        if len(which):
+            parts.append((which, off, node + groups))
+            groups += int(node.max()) + 1
+    none = np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (none, none, none)
 
 
 def verdicts(dealt: DataFrame, kind: Kind) -> DataFrame:
