@@ -176,6 +176,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, leaves: int = LEA
         return spark.createDataFrame([], empty)
 
     def brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int32))] * len(some_ids)  # the k best of the task so far
         for batch in batches:
             ids, x, leaf = batch.column(0).to_numpy(), matrix(batch.column(1), dimension), batch.column(2).to_numpy()
             number = dict(zip(ids.tolist(), leaf.tolist()))
@@ -183,7 +184,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, leaves: int = LEA
             for q in range(len(some_ids)):
                 scores[q, ids == some_ids[q]] = -np.inf
                 got, exact = best(scores[q], ids, some_q[q], x, k)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(got), q)), pa.array(got), pa.array(exact), pa.array([number[i] for i in got.tolist()], pa.int32())], names=["q", "id", "score", "leaf"])
+                both = [np.concatenate(z) for z in zip(held[q], (got, exact, np.array([number[i] for i in got.tolist()], np.int32)))]
+                order = np.lexsort((both[0], -both[1]))[:k]
+                held[q] = tuple(z[order] for z in both)
+        q = np.repeat(np.arange(len(held)), [len(h[0]) for h in held])
+        if len(q):
+            yield pa.RecordBatch.from_arrays([pa.array(q), *(pa.array(np.concatenate([h[i] for h in held])) for i in range(3))], names=["q", "id", "score", "leaf"])
 
     per_query = Window.partitionBy("q").orderBy(F.desc("score"), "id")
     truth = indexed.mapInArrow(brute, "q long, id long, score double, leaf int").withColumn("r", F.row_number().over(per_query)).filter(F.col("r") <= k).select("q", "leaf").toPandas()
