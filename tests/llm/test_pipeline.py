@@ -53,3 +53,15 @@ def test_run(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir).collect()
     assert out and all(r.length <= 4096 for r in out)
     assert "pipeline" in entry.queries() and len([q for q in entry.queries() if q.startswith("op")]) == 10
+
+
+def test_odd_documents_pass_every_stage(spark, sf_dir):
+    rows = [(None, None, None, 1), (1, "", "x", None), (2, " \n", "x", 2), (3, "one word " * 400, None, 3), (3, "one word " * 400, None, 3), (4, "long " * 30_000, "y", 4), (5, None, "y", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row string, score int")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = written(stage(spark, docs, sf_dir), "odd")
+        assert out.columns == docs.columns
+        assert written(stage(spark, docs.filter("false"), sf_dir), "none").count() == 0
+        docs = out if out.count() else docs
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
+    assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in docs.collect()}
