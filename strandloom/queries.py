@@ -173,14 +173,31 @@ def dna_wire_roundtrip(spark, sf_dir):
     return df.select("id", back.alias("seq")).join(df2, "id").select("id", "seq", (F.col("_s2") == F.col("_b2")).alias("same"))
 
 
-@_query(_simple("SELECT id, CAST(length(seq) AS INTEGER) AS n, substr(seq, 1, 8) AS head FROM src ORDER BY length(seq), seq, id LIMIT 50"))
+def _extreme_sql(kind: str, order: str) -> str:
+    codes = "seq" if kind == "dna2" else f"translate(seq, '{dna.DNA4_CODES}', '123456789ABCDEF')"
+    return _simple(
+        f", r AS (SELECT source, src.id, seq, row_number() OVER (PARTITION BY source ORDER BY length(seq) {order}, {codes} {order}, src.id {order}) AS k "
+        "FROM src JOIN documents ON documents.doc_id = src.id) SELECT source, id, CAST(length(seq) AS INTEGER) AS n, seq FROM r WHERE k = 1",
+        kind,
+    )
+
+
+def _extreme(spark, sf_dir, kind, pick):
+    """Of each source the least or greatest sequence in the order of DNA values."""
+    sources = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), "source")
+    df = documents(spark, sf_dir, kind).join(sources, "id")
+    best = df.groupBy("source").agg(pick(F.struct(dna.sort_key(F.col("seq"), kind).alias("k"), "id", "seq")).alias("m"))
+    return best.select("source", "m.id", F.col("m.k.n").alias("n"), "m.seq")
+
+
+@_query(_extreme_sql("dna2", "ASC"))
 def dna2_order(spark, sf_dir):
-    return documents(spark, sf_dir).orderBy(dna.sort_key(F.col("seq"), "dna2"), "id").limit(50).select("id", F.length("seq").alias("n"), F.substring("seq", 1, 8).alias("head"))
+    return _extreme(spark, sf_dir, "dna2", F.min)
 
 
-@_query(_simple(f"SELECT id, CAST(length(seq) AS INTEGER) AS n FROM src ORDER BY length(seq) DESC, translate(seq, '{dna.DNA4_CODES}', '123456789ABCDEF') DESC, id LIMIT 50", "dna4"))
+@_query(_extreme_sql("dna4", "DESC"))
 def dna4_order(spark, sf_dir):
-    return documents(spark, sf_dir, "dna4").orderBy(dna.sort_key(F.col("seq"), "dna4").desc(), "id").limit(50).select("id", F.length("seq").alias("n"))
+    return _extreme(spark, sf_dir, "dna4", F.max)
 
 
 @_query(_simple(f"SELECT id, CAST(CASE WHEN length(seq) < {len(QUERY)} OR (length(seq) = {len(QUERY)} AND seq < '{QUERY}') THEN -1 WHEN seq = '{QUERY}' THEN 0 ELSE 1 END AS INTEGER) AS cmp FROM src"))
@@ -279,7 +296,7 @@ def match_scan_min_score(spark, sf_dir):
     return search.search(documents(spark, sf_dir), "seq", QUERY, _LEAST, "empty")[["id", "score"]]
 
 
-_HF = KmerConfig(kmer_size=5, occur_bitlen=4, max_appearance_rate=0.8, min_shared_kmer_rate=0.7)
+_HF = KmerConfig(kmer_size=5, occur_bitlen=4, max_appearance_rate=0.8, min_shared_kmer_rate=0.5)
 
 
 @_query(
