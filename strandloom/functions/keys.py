@@ -169,6 +169,15 @@ def exploded(df: DataFrame, id_column: str, seq_column: str, config: KmerConfig,
     return df.select(F.col(id_column), F.explode(key_array(F.col(seq_column), config, on_short)).alias("key"))
 
 
+#: Rows (16 bytes each) up to which a table of query keys is sent to all tasks instead of being shuffled.
+BROADCAST_KEYS = 1_000_000
+
+
+def broadcast_if_small(asked: DataFrame) -> DataFrame:
+    """Query keys with a broadcast hint if they are counted to be few; else a shuffled join is left to Spark."""
+    return F.broadcast(asked) if asked.count() <= BROADCAST_KEYS else asked
+
+
 def key_rows(df: DataFrame, id_column: str, seq_column: str, config: KmerConfig) -> DataFrame:
     """(id, kmer, occurrence from 1) as a plan of built-in functions; ids are distinct. k up to 31 bases and beyond alike."""
     k = config.kmer_size

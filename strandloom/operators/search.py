@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import KmerConfig
-from ..functions.keys import exploded, shared_count, text_keys
+from ..functions.keys import broadcast_if_small, exploded, shared_count, text_keys
 from .caches import Session, threshold
 
 
@@ -67,5 +67,5 @@ def batch_search(df: DataFrame, id_column: str, seq_column: str, queries: DataFr
     asked = exploded(queries, query_id, query_column, config)
     sizes = asked.groupBy(query_id).agg(F.count(F.lit(1)).alias("_n"))
     least = F.greatest(F.lit(config.min_score).cast("long"), F.ceil(F.lit(float(config.min_shared_kmer_rate)) * F.col("_n")))
-    shared = exploded(df, id_column, seq_column, config).join(asked, "key").groupBy(query_id, id_column).agg(F.count(F.lit(1)).alias("score"))
+    shared = exploded(df, id_column, seq_column, config).join(broadcast_if_small(asked), "key").groupBy(query_id, id_column).agg(F.count(F.lit(1)).alias("score"))
     return shared.join(sizes.select(query_id, least.alias("_least")), query_id).filter(F.col("score") >= F.col("_least")).select(query_id, id_column, "score")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import KmerConfig, SettingError, check_key_width
-from ..functions.keys import exploded, text_keys
+from ..functions.keys import broadcast_if_small, exploded, text_keys
 from ..operators.caches import threshold
 from .store import INDEXES, Store
 
@@ -145,5 +145,5 @@ def search_many(queries: DataFrame, query_id: str, query_column: str, name: str,
         asked = asked.join(frequent.select("key"), "key", "left_anti")
     sizes = asked.groupBy(query_id).agg(F.count(F.lit(1)).alias("_n"))
     least = F.greatest(F.lit(max(1, config.min_score)).cast("long"), F.ceil(F.lit(float(config.min_shared_kmer_rate)) * F.col("_n")))
-    counted = read_index(name, store).join(asked, "key").groupBy(query_id, "id").agg(F.count(F.lit(1)).alias("score"))
+    counted = read_index(name, store).join(broadcast_if_small(asked), "key").groupBy(query_id, "id").agg(F.count(F.lit(1)).alias("score"))
     return counted.join(sizes.select(query_id, least.alias("_least")), query_id).filter("score >= _least").select(query_id, "id", "score")
