@@ -5,8 +5,8 @@ symbols is chosen when, of the s-mers in it, the least by hash is the first or
 the last: that depends on the k-mer alone, so a passage has the same anchors in
 any document, at the same places within it. In a text of fewer than SHORT symbols
 every symbol is an anchor. A fingerprint is the least `SIZE` hashes (32 bits) of the anchors,
-as hexadecimal digits; the likeness of two is the share of common anchors
-(Dice's coefficient) estimated from the least hashes of both together.
+as hexadecimal digits; it is for printing only. The likeness of two texts is the share of common
+anchors (Dice's coefficient) over all distinct anchors of both, however long they are.
 
 Null and empty texts: fingerprint empty; two such are alike (1), one such and
 another text are not (0). Equal texts have equal fingerprints.
@@ -50,48 +50,44 @@ def with_anchors(df: DataFrame, text: str, out: str, k: int = K, s: int = S) ->
     return df.withColumn(out, F.expr(f"CASE WHEN size({out}) > 0 AND size({h}) >= {SHORT} OR size({h}) = 0 THEN {out} ELSE {symbols} END")).drop(h, g)
 
 
-def with_sketch(df: DataFrame, text: str, out: str, size: int = SIZE) -> DataFrame:
-    """Adds `out`: the least `size` distinct anchor hashes of the column `text`, in order."""
+def with_sketch(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Adds `out`: all distinct anchor hashes of the column `text`, in order."""
     a = f"{out}__a"
     df = with_anchors(df, text, a)
-    return df.withColumn(out, F.expr(f"slice(sort_array(array_distinct({a}.hash)), 1, {size})")).drop(a)
+    return df.withColumn(out, F.expr(f"sort_array(array_distinct({a}.hash))")).drop(a)
 
 
-def fingerprint(sketch: str) -> Column:
-    return F.expr(f"array_join(transform({sketch}, x -> lpad(lower(hex(x)), 8, '0')), '')")
+def fingerprint(sketch: str, size: int = SIZE) -> Column:
+    return F.expr(f"array_join(transform(slice({sketch}, 1, {size}), x -> lpad(lower(hex(x)), 8, '0')), '')")
 
 
-def likeness(a: str, b: str, size: int = SIZE) -> Column:
-    union = f"slice(sort_array(array_union({a}, {b})), 1, {size})"
-    common = f"size(array_intersect({union}, array_intersect({a}, {b})))"
+def likeness(a: str, b: str) -> Column:
     return F.expr(
         f"CASE WHEN size({a}) = 0 AND size({b}) = 0 THEN 1D WHEN size({a}) = 0 OR size({b}) = 0 THEN 0D "
-        f"ELSE 2D * {common} / (size({union}) + {common}) END"
+        f"ELSE 2D * size(array_intersect({a}, {b})) / (size({a}) + size({b})) END"
     )
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, _text, _sketch and those of the next row (next__text, next__sketch) by descending doc_id, then text; of the last row: the first's.
+    """doc_id, _text and that of the next row (next__text) by descending doc_id, then text; of the last row: the first's.
 
     Rows are put in order within stretches of ids; the first row of each stretch
     follows the last of the one before. Only the numbers of the stretches are
-    sorted in one place, one for STRETCH ids. Null ids come last.
+    sorted in one place, one for STRETCH ids. Null ids come last. Only texts are
+    shuffled: anchors are made afterwards, so that all of them can be kept.
     """
     df = docs.withColumn("_stretch", F.coalesce(F.floor(F.col("doc_id") / STRETCH), F.lit(-(2**62))))
     own = Window.partitionBy("_stretch").orderBy(F.desc_nulls_last("doc_id"), F.asc_nulls_last("_text"))
-    heads = df.withColumn("_k", F.row_number().over(own)).filter("_k = 1").select("_stretch", "_text")
-    heads = with_sketch(heads, "_text", "_sketch").select("_stretch", F.struct("_text", "_sketch").alias("_head"))
+    heads = df.withColumn("_k", F.row_number().over(own)).filter("_k = 1").select("_stretch", F.struct("_text").alias("_head"))
     names = df.select("_stretch").distinct()
     top = names.agg(F.max("_stretch").alias("_top"))  # one row
     follows = names.withColumn("_after", F.lead("_stretch").over(Window.orderBy(F.desc("_stretch")))).crossJoin(F.broadcast(top))
     follows = follows.select("_stretch", F.coalesce("_after", "_top").alias("_after"))
     after = follows.join(heads.withColumnRenamed("_stretch", "_after"), "_after").select("_stretch", "_head")
-    got = F.coalesce("_next", "_head")
     return (
-        with_sketch(df, "_text", "_sketch")
-        .withColumn("_next", F.lead(F.struct("_text", "_sketch")).over(own))
+        df.withColumn("_next", F.lead(F.struct("_text")).over(own))
         .join(after, "_stretch")
-        .select("doc_id", "_text", "_sketch", got["_text"].alias("next__text"), got["_sketch"].alias("next__sketch"))
+        .select("doc_id", "_text", F.coalesce("_next", "_head")["_text"].alias("next__text"))
     )
 
 
@@ -101,8 +97,9 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     df = with_next(df)
     df = df.withColumn("n_chars", F.length("_text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
-    df = df.withColumn("_edited", F.concat(F.substring("_text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next__text", F.lit(1), half))).drop("_text", "next__text")
-    df = with_sketch(df, "_edited", "_other")
+    df = df.withColumn("_edited", F.concat(F.substring("_text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next__text", F.lit(1), half)))
+    for text, out in (("_text", "_sketch"), ("next__text", "next__sketch"), ("_edited", "_other")):
+        df = with_sketch(df, text, out)
     return df.select(
         "doc_id",
         "n_chars",

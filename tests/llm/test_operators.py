@@ -448,6 +448,18 @@ def test_anchors_do_not_depend_on_context(spark):
     assert inside[0] == inside[1] and len(inside[0]) > 10
 
 
+def test_likeness_counts_all_anchors_of_long_texts(spark):
+    rng = random.Random(9)
+    prose = lambda n: " ".join(f"w{rng.randrange(100_000)}" for _ in range(n))
+    shared = prose(60)
+    rows = [(2, prose(3000) + " " + shared + " " + prose(3000)), (1, prose(2000) + " " + shared + " " + prose(4000))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    a, b = ({x.hash for x in r.a} for r in fingerprints.with_anchors(df, "text", "a").orderBy(F.desc("doc_id")).collect())
+    assert len(a & b) > 10
+    for r in fingerprints.edited_fingerprints(df).collect():
+        assert r.near_next == 2 * len(a & b) / (len(a) + len(b)) and len(r.fingerprint) == 8 * fingerprints.SIZE
+
+
 # neighbours
 
 
