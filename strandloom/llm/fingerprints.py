@@ -8,6 +8,16 @@ every symbol is an anchor. A fingerprint is the least `SIZE` hashes (32 bits) of
 as hexadecimal digits; it is for printing only. The likeness of two texts is the share of common
 anchors (Dice's coefficient) over all distinct anchors of both, however long they are.
 
+Positions: anchors of two texts are also matched by hash and by diagonal (place in
+the one less place in the other). A span is a run of anchors that follow each other
+in the text and match on one diagonal; as they overlap, the symbols of a span are the
+same in both. From left to right every anchor whose hash occurs in the other text
+goes to one span: it stays on the diagonal of the last match where it can, or else
+takes the first place behind that match, or else the first place of all. A passage
+that the other text holds several times is thus given once. The placed share is the
+most anchors on one diagonal over all anchors of the text, so paragraphs in another
+order and scattered anchors lower it, unlike likeness.
+
 Null and empty texts: fingerprint empty; two such are alike (1), one such and
 another text are not (0). Equal texts have equal fingerprints.
 """
@@ -25,10 +35,11 @@ SIZE = 64
 SHORT = 24
 #: Ids in a stretch within which neighbours are found together.
 STRETCH = 512
+SPANS = "array<struct<start:int,other_start:int,n_symbols:int,n_anchors:int>>"
 
 
 def with_anchors(df: DataFrame, text: str, out: str, k: int = K, s: int = S) -> DataFrame:
-    """Adds `out`: place (from 0, in symbols) and 32-bit hash of each anchor of the column `text`."""
+    """Adds `out`: place (from 0, in symbols), 32-bit hash and number of symbols of each anchor of the column `text`."""
     inner = k - s + 1
     t, h, g = f"{out}__t", f"{out}__h", f"{out}__g"
     df = df.withColumn(t, F.expr(rf"regexp_extract_all(coalesce({text}, ''), '[^\\x20\\x09-\\x0D]{{1,16}}', 0)"))
@@ -43,18 +54,21 @@ def with_anchors(df: DataFrame, text: str, out: str, k: int = K, s: int = S) ->
         out,
         F.expr(
             f"CASE WHEN size({h}) >= {k} THEN transform(filter(sequence(0, size({h}) - {k}), i -> {chosen}), "
-            f"i -> named_struct('at', i, 'hash', shiftrightunsigned(xxhash64({spread}), 32))) ELSE array() END"
+            f"i -> named_struct('at', i, 'hash', shiftrightunsigned(xxhash64({spread}), 32), 'n', {k})) ELSE array() END"
         ),
     )
-    symbols = f"transform({h}, (x, i) -> named_struct('at', i, 'hash', shiftrightunsigned(x, 32)))"
+    symbols = f"transform({h}, (x, i) -> named_struct('at', i, 'hash', shiftrightunsigned(x, 32), 'n', 1))"
     return df.withColumn(out, F.expr(f"CASE WHEN size({out}) > 0 AND size({h}) >= {SHORT} OR size({h}) = 0 THEN {out} ELSE {symbols} END")).drop(h, g)
 
 
 def with_sketch(df: DataFrame, text: str, out: str) -> DataFrame:
     """Adds `out`: all distinct anchor hashes of the column `text`, in order."""
     a = f"{out}__a"
-    df = with_anchors(df, text, a)
-    return df.withColumn(out, F.expr(f"sort_array(array_distinct({a}.hash))")).drop(a)
+    return with_hashes(with_anchors(df, text, a), a, out).drop(a)
+
+
+def with_hashes(df: DataFrame, anchors: str, out: str) -> DataFrame:
+    return df.withColumn(out, F.expr(f"sort_array(array_distinct({anchors}.hash))"))
 
 
 def fingerprint(sketch: str, size: int = SIZE) -> Column:
@@ -68,6 +82,51 @@ def likeness(a: str, b: str) -> Column:
     )
 
 
+def with_spans(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
+    """Adds `out`: the spans of the anchors `a` that `b` holds too, in the order of `a`; places and lengths in symbols.
+
+    The anchors of `b` are put in order as numbers (hash, place) and looked up by bisection.
+    """
+    sorted_b, steps = f"{out}__b", f"{out}__s"
+    df = df.withColumn(sorted_b, F.expr(f"CASE WHEN arrays_overlap({a}.hash, {b}.hash) THEN sort_array(transform({b}, x -> shiftleft(x.hash, 31) + x.at)) ELSE cast(array() AS array<bigint>) END"))
+    df = df.withColumn(steps, F.expr(f"transform(sequence(length(bin(size({sorted_b}))) - 1, 0, -1), i -> shiftleft(1, i))"))
+
+    def first_from(at: str) -> str:
+        key = f"shiftleft(x.hash, 31) + {at}"
+        return f"get({sorted_b}, aggregate({steps}, 0, (p, s) -> IF(p + s <= size({sorted_b}) AND get({sorted_b}, p + s - 1) < {key}, p + s, p)))"
+
+    def place_from(at: str) -> str:
+        return f"get(transform(array({first_from(at)}), y -> IF(shiftright(y, 31) = x.hash, cast(y & 2147483647 AS int), NULL)), 0)"
+
+    stays = f"IF(x.at >= acc.d AND {first_from('x.at - acc.d')} = shiftleft(x.hash, 31) + x.at - acc.d, x.at - acc.d, NULL)"
+    place = f"coalesce({stays}, {place_from('coalesce(acc.last - acc.d + 1, 0)')}, {place_from('0')}, -1)"
+    span = "named_struct('start', {0}.start, 'other_start', {0}.start - {0}.d, 'n_symbols', {0}.until - {0}.start, 'n_anchors', {0}.n)"
+    done = "IF({0}.n > 0, concat({0}.done, array(" + span + ")), {0}.done)"
+    state = "named_struct('done', {}, 'd', {}, 'start', {}, 'last', {}, 'until', {}, 'n', {})"
+    on = state.format("st.done", "st.d", "st.start", "x.at", "x.at + x.n", "st.n + 1")
+    new = state.format(done.format("st"), "x.at - y", "x.at", "x.at", "x.at + x.n", "1")
+    off = state.format(done.format("st"), "st.d", "st.start", "st.last", "st.until", "0")
+    step = f"aggregate(array({place}), acc, (st, y) -> CASE WHEN y < 0 THEN {off} WHEN st.n > 0 AND x.at - y = st.d THEN {on} ELSE {new} END)"
+    none = f"cast(array() AS {SPANS})"
+    zero = state.format(none, *["cast(NULL AS int)"] * 4, "0")
+    found = f"CASE WHEN size({sorted_b}) > 0 THEN aggregate({a}, {zero}, (acc, x) -> {step}, acc -> {done.format('acc')}) ELSE {none} END"
+    return df.withColumn(out, F.expr(found)).drop(sorted_b, steps)
+
+
+def placed(spans: str, a: str, b: str) -> Column:
+    """The most anchors on one diagonal as a share of the anchors `a`."""
+    by_diagonal = f"sort_array(transform({spans}, s -> named_struct('d', s.start - s.other_start, 'n', s.n_anchors)))"
+    same = "IF(acc.d = s.d, acc.n, 0) + s.n"
+    most = (
+        f"aggregate({by_diagonal}, named_struct('d', cast(NULL AS int), 'n', 0, 'most', 0), "
+        f"(acc, s) -> named_struct('d', s.d, 'n', {same}, 'most', greatest(acc.most, {same})), acc -> acc.most)"
+    )
+    return F.expr(
+        f"CASE WHEN size({a}) = 0 AND size({b}) = 0 THEN 1D WHEN size({a}) = 0 OR size({b}) = 0 THEN 0D "
+        f"ELSE cast({most} AS double) / size({a}) END"
+    )
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, _text and that of the next row (next__text) by descending doc_id, then text; of the last row: the first's.
 
@@ -99,7 +158,9 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     half = F.floor(F.col("n_chars") / 2).cast("int")
     df = df.withColumn("_edited", F.concat(F.substring("_text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next__text", F.lit(1), half)))
     for text, out in (("_text", "_sketch"), ("next__text", "next__sketch"), ("_edited", "_other")):
-        df = with_sketch(df, text, out)
+        df = with_hashes(with_anchors(df, text, f"{out}_a"), f"{out}_a", out)
+    df = with_spans(df, "_sketch_a", "_other_a", "edited_spans")
+    df = with_spans(df, "_sketch_a", "next__sketch_a", "next_spans")
     return df.select(
         "doc_id",
         "n_chars",
@@ -108,6 +169,10 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
         fingerprint("_other").alias("edited_fingerprint"),
         likeness("_sketch", "_other").alias("near_edited"),
         likeness("_sketch", "next__sketch").alias("near_next"),
+        placed("edited_spans", "_sketch_a", "_other_a").alias("placed_edited"),
+        placed("next_spans", "_sketch_a", "next__sketch_a").alias("placed_next"),
+        "edited_spans",
+        "next_spans",
     )
 
 

@@ -460,6 +460,50 @@ def test_likeness_counts_all_anchors_of_long_texts(spark):
         assert r.near_next == 2 * len(a & b) / (len(a) + len(b)) and len(r.fingerprint) == 8 * fingerprints.SIZE
 
 
+def plain_spans(a, b):
+    places = defaultdict(list)
+    for x in b:
+        places[x.hash].append(x.at)
+    out, d, last, before = [], None, -1, False
+    for x in a:
+        there = places.get(x.hash, [])
+        at = x.at - d if d is not None and x.at - d in there else next((p for p in there if p > last), min(there, default=None))
+        if at is not None and before and x.at - at == d:
+            out[-1][2:] = [x.at + x.n - out[-1][0], out[-1][3] + 1]
+        elif at is not None:
+            out.append([x.at, at, x.n, 1])
+        before = at is not None
+        if before:
+            d, last = x.at - at, at
+    return [tuple(s) for s in out]
+
+
+def test_anchors_are_matched_by_place(spark):
+    rng = random.Random(10)
+    prose = lambda n, v=100_000: [f"w{rng.randrange(v)}" for _ in range(n)]
+    a, b, c = prose(200), prose(120), prose(90)
+    few = prose(400, 3)
+    pairs = [(a + b, b + a), (a + b + c, a + prose(40) + b + c), (a + b, a + b), (prose(50) + b + prose(50), prose(500) + b), (a, c), (a, a[:100] + ["other"] + a[101:])]
+    pairs += [(few, few[50:] + few[:80]), (["ab"] * 300, ["ab"] * 200), (a + a, b + a + c + a), (["x", "y"], ["y", "x"]), ([], a), ([], [])]
+    df = spark.createDataFrame([(i, " ".join(x), " ".join(y)) for i, (x, y) in enumerate(pairs)], "i int, x string, y string")
+    df = fingerprints.with_anchors(fingerprints.with_anchors(df, "x", "a"), "y", "b")
+    df = fingerprints.with_spans(df, "a", "b", "s").withColumn("placed", fingerprints.placed("s", "a", "b"))
+    got = {r.i: r for r in df.collect()}
+    for i, (x, y) in enumerate(pairs):
+        r = got[i]
+        assert [tuple(s) for s in r.s] == plain_spans(r.a, r.b)
+        assert all(x[s.start : s.start + s.n_symbols] == y[s.other_start : s.other_start + s.n_symbols] for s in r.s)
+        on = Counter()
+        for s in r.s:
+            on[s.start - s.other_start] += s.n_anchors
+        assert r.placed == (max(on.values(), default=0) / len(r.a) if r.a and r.b else float(not r.a and not r.b))
+    assert {s.start - s.other_start for s in got[0].s} == {-120, 200} and got[0].placed < 0.8
+    assert got[2].placed == got[11].placed == 1 and got[4].placed == got[10].placed == 0
+    assert max(s.n_symbols for s in got[3].s) > 100
+    out = fingerprints.edited_fingerprints(spark.createDataFrame([(2, " ".join(a + b)), (1, " ".join(b + a))], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert all(r.near_next > 0.95 and r.placed_next < 0.8 and len(r.next_spans) == 2 and len(r.edited_spans) >= 1 for r in out)
+
+
 # neighbours
 
 
