@@ -8,6 +8,11 @@ every symbol is an anchor. A fingerprint is the least `SIZE` hashes (32 bits) of
 as hexadecimal digits; it is for printing only. The likeness of two texts is the share of common
 anchors (Dice's coefficient) over all distinct anchors of both, however long they are.
 
+Two texts are always compared by anchors of one kind: where the shorter has SHORT
+symbols or fewer, by the single symbols of both. From there to 2 * SHORT symbols the
+weight of the single symbols falls evenly from 1 to 0, so likeness has no jump.
+Spans and placed shares are of symbols below SHORT and of k-mers from SHORT on.
+
 Positions: anchors of two texts are also matched by hash and by diagonal (place in
 the one less place in the other). A span is a run of anchors that follow each other
 in the text and match on one diagonal; as they overlap, the symbols of a span are the
@@ -38,8 +43,11 @@ STRETCH = 512
 SPANS = "array<struct<start:int,other_start:int,n_symbols:int,n_anchors:int>>"
 
 
-def with_anchors(df: DataFrame, text: str, out: str, k: int = K, s: int = S) -> DataFrame:
-    """Adds `out`: place (from 0, in symbols), 32-bit hash and number of symbols of each anchor of the column `text`."""
+def with_anchors(df: DataFrame, text: str, out: str, k: int = K, s: int = S, keep: str | None = None) -> DataFrame:
+    """Adds `out`: place (from 0, in symbols), 32-bit hash and number of symbols of each anchor of the column `text`.
+
+    `keep` names a column for the 64-bit hashes of all symbols.
+    """
     inner = k - s + 1
     t, h, g = f"{out}__t", f"{out}__h", f"{out}__g"
     df = df.withColumn(t, F.expr(rf"regexp_extract_all(coalesce({text}, ''), '[^\\x20\\x09-\\x0D]{{1,16}}', 0)"))
@@ -57,8 +65,12 @@ def with_anchors(df: DataFrame, text: str, out: str, k: int = K, s: int = S) ->
             f"i -> named_struct('at', i, 'hash', shiftrightunsigned(xxhash64({spread}), 32), 'n', {k})) ELSE array() END"
         ),
     )
-    symbols = f"transform({h}, (x, i) -> named_struct('at', i, 'hash', shiftrightunsigned(x, 32), 'n', 1))"
-    return df.withColumn(out, F.expr(f"CASE WHEN size({out}) > 0 AND size({h}) >= {SHORT} OR size({h}) = 0 THEN {out} ELSE {symbols} END")).drop(h, g)
+    df = df.withColumn(out, F.expr(f"CASE WHEN size({out}) > 0 AND size({h}) >= {SHORT} OR size({h}) = 0 THEN {out} ELSE {symbol_anchors(h)} END")).drop(g)
+    return df.withColumnRenamed(h, keep) if keep else df.drop(h)
+
+
+def symbol_anchors(symbols: str) -> str:
+    return f"transform({symbols}, (x, i) -> named_struct('at', i, 'hash', shiftrightunsigned(x, 32), 'n', 1))"
 
 
 def with_sketch(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -75,13 +87,27 @@ def fingerprint(sketch: str, size: int = SIZE) -> Column:
     return F.expr(f"array_join(transform(slice({sketch}, 1, {size}), x -> lpad(lower(hex(x)), 8, '0')), '')")
 
 
-def likeness(a: str, b: str) -> Column:
+def likeness(a: str, b: str, symbols_a: str, symbols_b: str) -> Column:
+    """Of two texts by their distinct anchor hashes and by the hashes of all their symbols."""
+    fewer = f"least(size({symbols_a}), size({symbols_b}))"
+    by_anchors = f"2D * size(array_intersect({a}, {b})) / (size({a}) + size({b}))"
+    by_symbols = f"2D * size(array_intersect({symbols_a}, {symbols_b})) / (size(array_distinct({symbols_a})) + size(array_distinct({symbols_b})))"
+    weight = f"(({2 * SHORT} - {fewer}) / {SHORT}D)"
     return F.expr(
         f"CASE WHEN size({a}) = 0 AND size({b}) = 0 THEN 1D WHEN size({a}) = 0 OR size({b}) = 0 THEN 0D "
-        f"ELSE 2D * size(array_intersect({a}, {b})) / (size({a}) + size({b})) END"
+        f"WHEN {fewer} <= {SHORT} THEN {by_symbols} WHEN {fewer} < {2 * SHORT} THEN {weight} * {by_symbols} + (1D - {weight}) * {by_anchors} "
+        f"ELSE {by_anchors} END"
     )
 
 
+def of_one_kind(df: DataFrame, a: str, b: str, symbols_a: str, symbols_b: str, out_a: str, out_b: str) -> DataFrame:
+    """Adds `out_a` and `out_b`: the anchors `a` and `b`, or those of single symbols of both where either text is short."""
+    short = f"least(size({symbols_a}), size({symbols_b})) < {SHORT}"
+    for x, symbols, out in ((a, symbols_a, out_a), (b, symbols_b, out_b)):
+        df = df.withColumn(out, F.expr(f"CASE WHEN {short} THEN {symbol_anchors(symbols)} ELSE {x} END"))
+    return df
+
+
 def with_spans(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
     """Adds `out`: the spans of the anchors `a` that `b` holds too, in the order of `a`; places and lengths in symbols.
 
@@ -158,19 +184,20 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     half = F.floor(F.col("n_chars") / 2).cast("int")
     df = df.withColumn("_edited", F.concat(F.substring("_text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next__text", F.lit(1), half)))
     for text, out in (("_text", "_sketch"), ("next__text", "next__sketch"), ("_edited", "_other")):
-        df = with_hashes(with_anchors(df, text, f"{out}_a"), f"{out}_a", out)
-    df = with_spans(df, "_sketch_a", "_other_a", "edited_spans")
-    df = with_spans(df, "_sketch_a", "next__sketch_a", "next_spans")
+        df = with_hashes(with_anchors(df, text, f"{out}_a", keep=f"{out}_w"), f"{out}_a", out)
+    for other, name in (("_other", "edited"), ("next__sketch", "next")):
+        df = of_one_kind(df, "_sketch_a", f"{other}_a", "_sketch_w", f"{other}_w", f"_{name}_a", f"_{name}_b")
+        df = with_spans(df, f"_{name}_a", f"_{name}_b", f"{name}_spans")
     return df.select(
         "doc_id",
         "n_chars",
         F.sha2(F.col("_edited").cast("binary"), 256).alias("edited_sha256"),
         fingerprint("_sketch").alias("fingerprint"),
         fingerprint("_other").alias("edited_fingerprint"),
-        likeness("_sketch", "_other").alias("near_edited"),
-        likeness("_sketch", "next__sketch").alias("near_next"),
-        placed("edited_spans", "_sketch_a", "_other_a").alias("placed_edited"),
-        placed("next_spans", "_sketch_a", "next__sketch_a").alias("placed_next"),
+        likeness("_sketch", "_other", "_sketch_w", "_other_w").alias("near_edited"),
+        likeness("_sketch", "next__sketch", "_sketch_w", "next__sketch_w").alias("near_next"),
+        placed("edited_spans", "_edited_a", "_edited_b").alias("placed_edited"),
+        placed("next_spans", "_next_a", "_next_b").alias("placed_next"),
         "edited_spans",
         "next_spans",
     )

@@ -504,6 +504,25 @@ def test_anchors_are_matched_by_place(spark):
     assert all(r.near_next > 0.95 and r.placed_next < 0.8 and len(r.next_spans) == 2 and len(r.edited_spans) >= 1 for r in out)
 
 
+def test_likeness_has_no_jump_at_short_texts(spark):
+    rng = random.Random(11)
+    own, other = ([f"w{rng.randrange(100_000)}" for _ in range(60)] for _ in range(2))
+    pairs = {}
+    for n in range(16, 60):
+        pairs[n] = (" ".join(own[: n // 2] + other[: n - n // 2]), " ".join(own[:n]))
+    pairs[1000] = (" ".join(own[:23]), " ".join(own[:24]))
+    pairs[1001] = (" ".join(own[:10]), " ".join(own[:60]))
+    df = spark.createDataFrame([(i, x, y) for i, (x, y) in pairs.items()], "i int, x string, y string")
+    for text, out in (("x", "a"), ("y", "b")):
+        df = fingerprints.with_hashes(fingerprints.with_anchors(df, text, f"{out}_a", keep=f"{out}_w"), f"{out}_a", out)
+    near = {r.i: r.near for r in df.select("i", fingerprints.likeness("a", "b", "a_w", "b_w").alias("near")).collect()}
+    assert near[1000] == 2 * 23 / 47 and near[1001] == 2 * 10 / 70
+    assert all(near[n] > 0.2 and abs(near[n] - near[n + 1]) < 0.1 for n in range(16, 59))
+    rows = [(2, " ".join(f"a{i}" for i in range(20))), (1, "a " * 60)]
+    r = fingerprints.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).filter("doc_id = 2").first()
+    assert r.near_edited > 0.3 and r.placed_edited > 0.4 and r.edited_spans[0].start == 0
+
+
 # neighbours
 
 
