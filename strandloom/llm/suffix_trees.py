@@ -2,11 +2,11 @@
 
 Suffixes (window starts) are split into memory-sized groups by a prefix: the
 anchor's words, or the whole window where an anchor is very frequent (see
-`repeats`). In each group the tree is grown from the root, level by level: a node
-is a set of suffixes with the same words so far, each level adds two words, and
-suffixes alone in a node are leaves that need no more. Internal nodes as deep as
-a window are repeats; overlapping windows of a document join to its maximal
-repeats. All words of all copies of a repeat are covered, the first included.
+`repeats`). In each group the suffixes are refined level by level: a set holds
+suffixes with the same words so far, each level adds two words, and suffixes alone
+in a set need no more. Sets as deep as a window are repeats; no deeper nodes are
+made. Overlapping windows of a document join to covered spans, also windows of
+different repeats. All words of all copies of a repeat are covered, the first included.
 
 Null, empty and short texts have no window and lose nothing. Rows that repeat a
 doc_id count as the same place where place and words agree, so a plain repeated
@@ -60,7 +60,7 @@ def _spans(words: list[bytes], cover) -> tuple:
 
 
 def maximal_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """doc_id and spans: where in the document's words repeated windows join to maximal repeats."""
+    """doc_id and spans: the words of the document that repeated windows cover; a span may join several repeats."""
     element = pa.list_(pa.struct([("start", pa.int64()), ("n_words", pa.int64())]))
     out = without_repeats(docs.select("doc_id", "text"), kind(window, gram), _spans, "spans array<struct<start:bigint,n_words:bigint>>", [element])
     return out.select("_row.doc_id", "spans")
