@@ -53,7 +53,7 @@ class Streams:
     @staticmethod
     def shape_of(word: str) -> str:
         out, last = [], ""
-        for c in word[:200]:
+        for c in word:
             kind = ("A" if c.isupper() else "a") if c.isalpha() else "0" if c.isdigit() else c
             if kind != last:
                 out.append(kind)

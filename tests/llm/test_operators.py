@@ -293,6 +293,12 @@ def test_classifier(spark, docs, empty):
     assert (quality.fit(good, labels, rows=50) != 0).any()
 
 
+def test_shapes_see_whole_words():
+    assert quality.Streams.shape_of("a" * 300 + "9" * 5 + "B" + "-") == "a0A-"
+    x, y = quality.Streams().vector("a" * 300), quality.Streams().vector("a" * 300 + "9")
+    assert quality.Streams.shape_of("a" * 300) != quality.Streams.shape_of("a" * 300 + "9") and set(x[0]).isdisjoint(y[0])
+
+
 # tokens
 
 
