@@ -1,111 +1,102 @@
 """Document fingerprints from closed syncmers, with DataFrame functions only.
 
-Symbols are runs of at most 16 characters other than white space. A k-mer of
-symbols is chosen when, of the s-mers in it, the least by hash is the first or
-the last: that depends on the k-mer alone, so a passage has the same anchors in
-any document, at the same places within it. In a text of fewer than SHORT symbols
-every symbol is an anchor. A fingerprint is the least `SIZE` hashes (32 bits) of the anchors,
-as hexadecimal digits; it is for printing only. The likeness of two texts is the share of common
-anchors (Dice's coefficient) over all distinct anchors of both, however long they are.
-
-Two texts are always compared by anchors of one kind: where the shorter has SHORT
-symbols or fewer, by the single symbols of both. From there to 2 * SHORT symbols the
-weight of the single symbols falls evenly from 1 to 0, so likeness has no jump.
-Spans and placed shares are of symbols below SHORT and of k-mers from SHORT on.
-
-Positions: anchors of two texts are also matched by hash and by diagonal (place in
-the one less place in the other). A span is a run of anchors that follow each other
-in the text and match on one diagonal; as they overlap, the symbols of a span are the
-same in both. From left to right every anchor whose hash occurs in the other text
+Symbols are runs of at most 16 characters other than white space. K - 1 blank symbols are
+put before the first one, so that a text of any length has one k-mer per symbol. A k-mer
+of symbols is chosen when, of the s-mers in it, the least by hash is the first or the
+last: that depends on the k-mer alone, so a passage has the same anchors in any
+document, at the same places within it. An s-mer of blanks is less than any other, so a
+text begins with anchors and even one symbol has one.
+
+A fingerprint is the list of all distinct anchors (32-bit hashes, 8 hexadecimal digits
+each) in the order of their first places, whatever the length of the text. The likeness of
+two fingerprints is positional: anchors that both hold are matched, each match lies on a diagonal
+(its place in the one list less its place in the other), and those in the band of
+diagonals that holds the most are counted, as a share of all anchors of both (Dice). A band is as
+wide as `SLACK` anchors, or as one in `BAND` of the shorter list. Single words put in or
+taken out leave a match in the band; passages in another order, and anchors that are
+shared here and there, fall out of it. Likeness depends on the two strings alone.
+
+`passages` gives the matched passages themselves: a span is a run of anchors that follow
+each other in the text and match on one diagonal; as they overlap, the symbols of a span
+are the same in both. From left to right every anchor whose hash occurs in the other text
 goes to one span: it stays on the diagonal of the last match where it can, or else
-takes the first place behind that match, or else the first place of all. A passage
-that the other text holds several times is thus given once. The placed share is the
-most anchors on one diagonal over all anchors of the text, so paragraphs in another
-order and scattered anchors lower it, unlike likeness.
+takes the first place behind that match, or else the first place of all.
 
-Null and empty texts: fingerprint empty; two such are alike (1), one such and
-another text are not (0). Equal texts have equal fingerprints.
+Null and empty texts (also white space alone): fingerprint empty; two such are alike (1),
+one such and another text are not (0). Equal texts have equal fingerprints. Rows that
+repeat a doc_id, null among them, follow each other by a hash of the text, then the
+text; repeated rows are rows of their own. Null doc_ids come last and are given back as null.
+The only row of a table follows itself. Extra columns are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import NULL_ID, id_key, table
 
 K, S = 6, 2
-SIZE = 64
-#: Texts of fewer symbols have every symbol as an anchor (k-mers of one).
-SHORT = 24
-#: Ids in a stretch within which neighbours are found together.
-STRETCH = 512
+#: Width of the band of diagonals: so many anchors, or this part of the shorter fingerprint.
+SLACK, BAND = 8, 8
+#: Rows in a stretch within which neighbours are found together, and the most stretches.
+STRETCH, STRETCHES = 512, 50_000
 SPANS = "array<struct<start:int,other_start:int,n_symbols:int,n_anchors:int>>"
+_LEAST = "(-9223372036854775807L - 1L)"
 
 
-def with_anchors(df: DataFrame, text: str, out: str, k: int = K, s: int = S, keep: str | None = None) -> DataFrame:
-    """Adds `out`: place (from 0, in symbols), 32-bit hash and number of symbols of each anchor of the column `text`.
-
-    `keep` names a column for the 64-bit hashes of all symbols.
-    """
+def with_anchors(df: DataFrame, text: str, out: str, k: int = K, s: int = S) -> DataFrame:
+    """Adds `out`: place (from 0, in symbols), 32-bit hash and number of symbols of each anchor of the column `text`."""
     inner = k - s + 1
     t, h, g = f"{out}__t", f"{out}__h", f"{out}__g"
     df = df.withColumn(t, F.expr(rf"regexp_extract_all(coalesce({text}, ''), '[^\\x20\\x09-\\x0D]{{1,16}}', 0)"))
-    df = df.withColumn(h, F.expr(f"transform({t}, w -> xxhash64(w))")).drop(t)
+    df = df.withColumn(h, F.expr(f"concat(array_repeat(0L, {k - 1}), transform({t}, w -> xxhash64(w)))")).drop(t)
     smer = ", ".join(f"{h}[i + {j}]" for j in range(s))
-    df = df.withColumn(g, F.expr(f"CASE WHEN size({h}) >= {k} THEN transform(sequence(0, size({h}) - {s}), i -> xxhash64({smer})) ELSE array() END"))
+    df = df.withColumn(g, F.expr(f"CASE WHEN size({h}) >= {k} THEN transform(sequence(0, size({h}) - {s}), i -> IF(i < {k - s}, {_LEAST}, xxhash64({smer}))) ELSE array() END"))
     middle = ", ".join(f"{g}[i + {j}]" for j in range(1, inner - 1))
     edges = f"least({g}[i], {g}[i + {inner - 1}])"
     chosen = f"{edges} <= {f'least({middle})' if inner > 3 else middle}" if inner > 2 else "true"
     spread = ", ".join(f"{g}[i + {j}]" for j in sorted({*range(0, inner, s), inner - 1}))
-    df = df.withColumn(
+    return df.withColumn(
         out,
         F.expr(
-            f"CASE WHEN size({h}) >= {k} THEN transform(filter(sequence(0, size({h}) - {k}), i -> {chosen}), "
-            f"i -> named_struct('at', i, 'hash', shiftrightunsigned(xxhash64({spread}), 32), 'n', {k})) ELSE array() END"
+            f"CASE WHEN size({h}) >= {k} THEN transform(filter(sequence(0, size({h}) - {k}), i -> {chosen}), i -> "
+            f"named_struct('at', greatest(i - {k - 1}, 0), 'hash', shiftrightunsigned(xxhash64({spread}), 32), 'n', least(i + 1, {k}))) ELSE array() END"
         ),
-    )
-    df = df.withColumn(out, F.expr(f"CASE WHEN size({out}) > 0 AND size({h}) >= {SHORT} OR size({h}) = 0 THEN {out} ELSE {symbol_anchors(h)} END")).drop(g)
-    return df.withColumnRenamed(h, keep) if keep else df.drop(h)
-
-
-def symbol_anchors(symbols: str) -> str:
-    return f"transform({symbols}, (x, i) -> named_struct('at', i, 'hash', shiftrightunsigned(x, 32), 'n', 1))"
+    ).drop(h, g)
 
 
 def with_sketch(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Adds `out`: all distinct anchor hashes of the column `text`, in order."""
+    """Adds `out`: the distinct anchor hashes of the column `text`, in the order of their first places."""
     a = f"{out}__a"
-    return with_hashes(with_anchors(df, text, a), a, out).drop(a)
+    return with_anchors(df, text, a).withColumn(out, F.expr(f"array_distinct({a}.hash)")).drop(a)
 
 
-def with_hashes(df: DataFrame, anchors: str, out: str) -> DataFrame:
-    return df.withColumn(out, F.expr(f"sort_array(array_distinct({anchors}.hash))"))
+def fingerprint(sketch: str) -> Column:
+    return F.expr(f"array_join(transform({sketch}, x -> lpad(lower(hex(x)), 8, '0')), '')")
 
 
-def fingerprint(sketch: str, size: int = SIZE) -> Column:
-    return F.expr(f"array_join(transform(slice({sketch}, 1, {size}), x -> lpad(lower(hex(x)), 8, '0')), '')")
+def with_likeness(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
+    """Adds `out`: the positional likeness of two sketches.
 
-
-def likeness(a: str, b: str, symbols_a: str, symbols_b: str) -> Column:
-    """Of two texts by their distinct anchor hashes and by the hashes of all their symbols."""
-    fewer = f"least(size({symbols_a}), size({symbols_b}))"
-    by_anchors = f"2D * size(array_intersect({a}, {b})) / (size({a}) + size({b}))"
-    by_symbols = f"2D * size(array_intersect({symbols_a}, {symbols_b})) / (size(array_distinct({symbols_a})) + size(array_distinct({symbols_b})))"
-    weight = f"(({2 * SHORT} - {fewer}) / {SHORT}D)"
-    return F.expr(
-        f"CASE WHEN size({a}) = 0 AND size({b}) = 0 THEN 1D WHEN size({a}) = 0 OR size({b}) = 0 THEN 0D "
-        f"WHEN {fewer} <= {SHORT} THEN {by_symbols} WHEN {fewer} < {2 * SHORT} THEN {weight} * {by_symbols} + (1D - {weight}) * {by_anchors} "
-        f"ELSE {by_anchors} END"
-    )
-
-
-def of_one_kind(df: DataFrame, a: str, b: str, symbols_a: str, symbols_b: str, out_a: str, out_b: str) -> DataFrame:
-    """Adds `out_a` and `out_b`: the anchors `a` and `b`, or those of single symbols of both where either text is short."""
-    short = f"least(size({symbols_a}), size({symbols_b})) < {SHORT}"
-    for x, symbols, out in ((a, symbols_a, out_a), (b, symbols_b, out_b)):
-        df = df.withColumn(out, F.expr(f"CASE WHEN {short} THEN {symbol_anchors(symbols)} ELSE {x} END"))
-    return df
+    Both go into one array of numbers (hash, side, place); in order, a hash of both
+    stands next to itself. The fullest band of diagonals is found by a window over
+    the sorted diagonals that never shrinks.
+    """
+    both, diagonals, low = f"{out}__m", f"{out}__d", f"{out}__l"
+    pack = "transform({}, (x, i) -> shiftleft(x, 31) + {} + i)"
+    df = df.withColumn(both, F.expr(f"sort_array(concat({pack.format(a, 0)}, {pack.format(b, 1 << 30)}))"))
+    here, there = "cast(x & 1073741823 AS int)", f"cast(get({both}, i + 1) & 1073741823 AS int)"
+    same = f"shiftright(x, 31) = shiftright(get({both}, i + 1), 31)"
+    df = df.withColumn(diagonals, F.expr(f"sort_array(array_compact(transform({both}, (x, i) -> IF({same}, {here} - {there}, NULL))))")).drop(both)
+    width = f"greatest({SLACK}, cast(floor(least(size({a}), size({b})) / {BAND}) AS int))"
+    step = f"IF({diagonals}[i] - {diagonals}[l] > {width}, l + 1, l)"
+    df = df.withColumn(low, F.expr(f"CASE WHEN size({diagonals}) > 1 THEN aggregate(sequence(0, size({diagonals}) - 1), 0, (l, i) -> {step}) ELSE 0 END"))
+    likeness = f"2D * (size({diagonals}) - {low}) / (size({a}) + size({b}))"
+    df = df.withColumn(out, F.expr(f"CASE WHEN size({a}) = 0 AND size({b}) = 0 THEN 1D WHEN size({a}) = 0 OR size({b}) = 0 THEN 0D ELSE {likeness} END"))
+    return df.drop(diagonals, low)
 
 
 def with_spans(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
@@ -139,35 +130,48 @@ def with_spans(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
     return df.withColumn(out, F.expr(found)).drop(sorted_b, steps)
 
 
-def placed(spans: str, a: str, b: str) -> Column:
-    """The most anchors on one diagonal as a share of the anchors `a`."""
-    by_diagonal = f"sort_array(transform({spans}, s -> named_struct('d', s.start - s.other_start, 'n', s.n_anchors)))"
-    same = "IF(acc.d = s.d, acc.n, 0) + s.n"
-    most = (
-        f"aggregate({by_diagonal}, named_struct('d', cast(NULL AS int), 'n', 0, 'most', 0), "
-        f"(acc, s) -> named_struct('d', s.d, 'n', {same}, 'most', greatest(acc.most, {same})), acc -> acc.most)"
-    )
-    return F.expr(
-        f"CASE WHEN size({a}) = 0 AND size({b}) = 0 THEN 1D WHEN size({a}) = 0 OR size({b}) = 0 THEN 0D "
-        f"ELSE cast({most} AS double) / size({a}) END"
-    )
+def ids_in_order(docs: DataFrame) -> list[int]:
+    """Ids (null as the least) that part the rows into stretches of about STRETCH rows: at most STRETCHES numbers."""
+    rows = docs.count()
+    n = min(STRETCHES, max(1, -(-rows // STRETCH)))
+    if n == 1:
+        return []
+    shares = F.expr(f"array({', '.join(f'{i / n!r}D' for i in range(1, n))})")
+    return sorted(docs.agg(F.percentile_approx(id_key(), shares, 4 * n).alias("q")).first().q)
+
+
+def with_stretch(df: DataFrame, bounds: list[int]) -> DataFrame:
+    """Adds _u, the order of rows that share a doc_id, and _stretch, whose numbers rise with the id and fall with _u.
+
+    An id that is a bound several times over holds more than a stretch; its rows are
+    parted further by _u, 40 bits of a hash of the text.
+    """
+    df = df.withColumn("_id", id_key()).withColumn("_u", F.shiftrightunsigned(F.xxhash64("_text"), 24))
+    if not bounds:
+        return df.withColumn("_stretch", F.lit(0).cast("long"))
+    single = sorted(set(bounds))
+    times = [bisect_right(bounds, x) - bisect_left(bounds, x) for x in single]
+    steps = [1 << i for i in reversed(range(len(single).bit_length()))]
+    ids, many, halves = (f"array({', '.join(f'{x}L' if x != NULL_ID else _LEAST for x in v)})" for v in (single, times, steps))
+    df = df.withColumn("_bounds", F.expr(ids)).withColumn("_steps", F.expr(halves))
+    df = df.withColumn("_at", F.expr("aggregate(_steps, 0L, (p, s) -> IF(p + s <= size(_bounds) AND get(_bounds, cast(p + s - 1 AS int)) <= _id, p + s, p))"))
+    part = F.expr(f"CASE WHEN _at > 0 AND get(_bounds, cast(_at - 1 AS int)) = _id THEN 1L + shiftright(_u * get({many}, cast(_at - 1 AS int)), 40) ELSE 0L END")
+    return df.withColumn("_stretch", F.shiftleft("_at", 20) + (F.lit((1 << 20) - 1) - part)).drop("_bounds", "_steps", "_at")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, _text and that of the next row (next__text) by descending doc_id, then text; of the last row: the first's.
+    """doc_id, _text and that of the next row (next__text) by descending doc_id; of the last row: the first's.
 
-    Rows are put in order within stretches of ids; the first row of each stretch
-    follows the last of the one before. Only the numbers of the stretches are
-    sorted in one place, one for STRETCH ids. Null ids come last. Only texts are
-    shuffled: anchors are made afterwards, so that all of them can be kept.
+    Rows are dealt into stretches of ids, bounded by quantiles of the ids, and put in
+    order within each; the first row of each stretch follows the last of the one before.
+    Only the stretches' numbers (a bounded list) come to the driver. Texts are
+    shuffled once; anchors are made afterwards, so that all of them can be kept.
     """
-    df = docs.withColumn("_stretch", F.coalesce(F.floor(F.col("doc_id") / STRETCH), F.lit(-(2**62))))
-    own = Window.partitionBy("_stretch").orderBy(F.desc_nulls_last("doc_id"), F.asc_nulls_last("_text"))
+    df = with_stretch(docs, ids_in_order(docs))
+    own = Window.partitionBy("_stretch").orderBy(F.desc("_id"), "_u", "_text")
     heads = df.withColumn("_k", F.row_number().over(own)).filter("_k = 1").select("_stretch", F.struct("_text").alias("_head"))
-    names = df.select("_stretch").distinct()
-    top = names.agg(F.max("_stretch").alias("_top"))  # one row
-    follows = names.withColumn("_after", F.lead("_stretch").over(Window.orderBy(F.desc("_stretch")))).crossJoin(F.broadcast(top))
-    follows = follows.select("_stretch", F.coalesce("_after", "_top").alias("_after"))
+    names = sorted((r._stretch for r in df.select("_stretch").distinct().collect()), reverse=True)  # at most 2 * STRETCHES numbers
+    follows = docs.sparkSession.createDataFrame(list(zip(names, names[1:] + names[:1])), "_stretch long, _after long")
     after = follows.join(heads.withColumnRenamed("_stretch", "_after"), "_after").select("_stretch", "_head")
     return (
         df.withColumn("_next", F.lead(F.struct("_text")).over(own))
@@ -176,32 +180,39 @@ def with_next(docs: DataFrame) -> DataFrame:
     )
 
 
-def edited_fingerprints(docs: DataFrame) -> DataFrame:
-    """Fingerprints of every text and of its edited text (its second half replaced by the next text's first)."""
-    df = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text"))
-    df = with_next(df)
+def with_edited(docs: DataFrame) -> DataFrame:
+    """doc_id, _text, next__text, n_chars and _edited, the text with its second half replaced by the next text's first."""
+    df = with_next(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text")))
     df = df.withColumn("n_chars", F.length("_text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
-    df = df.withColumn("_edited", F.concat(F.substring("_text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next__text", F.lit(1), half)))
-    for text, out in (("_text", "_sketch"), ("next__text", "next__sketch"), ("_edited", "_other")):
-        df = with_hashes(with_anchors(df, text, f"{out}_a", keep=f"{out}_w"), f"{out}_a", out)
-    for other, name in (("_other", "edited"), ("next__sketch", "next")):
-        df = of_one_kind(df, "_sketch_a", f"{other}_a", "_sketch_w", f"{other}_w", f"_{name}_a", f"_{name}_b")
-        df = with_spans(df, f"_{name}_a", f"_{name}_b", f"{name}_spans")
+    return df.withColumn("_edited", F.concat(F.substring("_text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next__text", F.lit(1), half)))
+
+
+def edited_fingerprints(docs: DataFrame) -> DataFrame:
+    """Fingerprints of every text and of its edited text, and the likenesses of the first to the second and to the next document's."""
+    df = with_edited(docs)
+    for text, out in (("_text", "_own"), ("next__text", "_next"), ("_edited", "_other")):
+        df = with_sketch(df, text, out)
+    df = with_likeness(with_likeness(df, "_own", "_other", "near_edited"), "_own", "_next", "near_next")
     return df.select(
         "doc_id",
         "n_chars",
         F.sha2(F.col("_edited").cast("binary"), 256).alias("edited_sha256"),
-        fingerprint("_sketch").alias("fingerprint"),
+        fingerprint("_own").alias("fingerprint"),
         fingerprint("_other").alias("edited_fingerprint"),
-        likeness("_sketch", "_other", "_sketch_w", "_other_w").alias("near_edited"),
-        likeness("_sketch", "next__sketch", "_sketch_w", "next__sketch_w").alias("near_next"),
-        placed("edited_spans", "_edited_a", "_edited_b").alias("placed_edited"),
-        placed("next_spans", "_next_a", "_next_b").alias("placed_next"),
-        "edited_spans",
-        "next_spans",
+        "near_edited",
+        "near_next",
     )
 
 
+def passages(docs: DataFrame) -> DataFrame:
+    """doc_id, edited_spans and next_spans: the passages that each text shares with its edited text and with the next one."""
+    df = with_edited(docs)
+    for text, out in (("_text", "_a"), ("next__text", "_b"), ("_edited", "_c")):
+        df = with_anchors(df, text, out)
+    df = with_spans(with_spans(df, "_a", "_c", "edited_spans"), "_a", "_b", "next_spans")
+    return df.select("doc_id", "edited_spans", "next_spans")
+
+
 def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
