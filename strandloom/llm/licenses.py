@@ -4,22 +4,28 @@ Words are runs of digits, a-z (A-Z lowered) and non-ASCII characters. A block is
 any run of as many consecutive words as the template has. A block meets a
 template when it holds at least `CONTAINMENT` of the template's distinct words.
 
-The words of all templates are counted over all documents and each template's
-words ordered by that frequency, rarest first. Prefix filter: a block that meets
-a template of m distinct words must hold one of the m - need + 1 rarest, so
-documents without one are passed over. Length filter: it must hold `need`
-distinct words. Positional filter: if a document's first word in that order
-stands at place i, at most m - i can be in common. What is left is verified by a
-window that slides over the template's words in the document. No shuffle is
-needed but for the counts, one row per word and batch.
-
-Null and empty texts: no words, no labels, score 0. Repeated rows are scanned
-one by one; extra columns are not read; an empty table gives no rows.
+The words of all templates are counted over all documents and each template's m
+words ordered by that frequency, rarest first. Filters, for blocks and not for documents:
+
+* Prefix: a block that meets the template holds one of its m - need + 1 rarest words, so
+  only the zones around those words (a template's length to either side) are looked at.
+* Length: a zone must reach over at least `need` words and hold as many of the template's.
+* Positional: a zone's words are looked up in that order, and it is given up as soon
+  as the words found and those that follow in the order are fewer than `need`.
+
+What is left is verified by a window that slides over the template's words in the
+zone. `blocks` gives one row for each run of overlapping blocks that meet a
+template: its best block. No shuffle is needed but for the counts, one row per word and batch.
+
+Null and empty texts: no words, no blocks, no labels, score 0. Repeated rows are scanned
+one by one; of blocks that tie, the first; null doc_ids stay null. Extra columns are
+not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator, Mapping, Sequence
 
@@ -28,6 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .license_texts import TEMPLATES
 
 #: Phrases that decide by themselves; fixed by the contract of the query.
 PHRASES = (
@@ -36,16 +43,6 @@ PHRASES = (
     ("cc by nc", "cc-by-nc"),
 )
 
-TEMPLATES = (
-    ("mit", "released under the terms of the mit license permission is hereby granted free of charge"),
-    ("apache-2", "licensed under the apache license version 2 0 you may not use this file except in compliance with the license"),
-    ("cc-by-nc", "this work is shared under a creative commons attribution noncommercial license cc by nc"),
-    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("all-rights-reserved", "no part of this publication may be reproduced without prior permission all rights reserved"),
-)
-
 CONTAINMENT = 0.8
 _WORD = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 
@@ -54,12 +51,13 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_WORD).split()
 
 
-def phrase_places(own: list[bytes], phrase: bytes) -> list[int]:
-    """Numbers of the words where the phrase begins."""
-    line = b" " + b" ".join(own) + b" "
-    seek, at, out = b" " + phrase + b" ", -1, []
+def phrase_places(line: bytes, phrase: bytes) -> list[int]:
+    """Numbers of the words where the phrase begins; `line` has a space before, between and after all words."""
+    seek, at, out, counted, number = b" " + phrase + b" ", -1, [], 0, 0
     while (at := line.find(seek, at + 1)) >= 0:
-        out.append(line.count(b" ", 0, at))
+        number += line.count(b" ", counted, at)
+        counted = at
+        out.append(number)
     return out
 
 
@@ -68,30 +66,93 @@ class Template:
         sequence = words(text)
         self.label, self.length = label, len(sequence)
         self.order = sorted(set(sequence), key=lambda w: (frequency.get(w, 0), w))
-        self.tokens = frozenset(self.order)
         self.need = max(1, math.ceil(containment * len(self.order) - 1e-9))
-        self.prefix = frozenset(self.order[: len(self.order) - self.need + 1])
-
-    def best_block(self, own: list[bytes], distinct: set[bytes]) -> float:
-        """The largest containment of a block, or 0 where the filters show that none meets the threshold."""
-        if len(distinct) < self.need or self.prefix.isdisjoint(distinct):
-            return 0.0
-        first = next(i for i, w in enumerate(self.order) if w in distinct)
-        if len(self.order) - first < self.need or len(self.tokens & distinct) < self.need:
-            return 0.0
-        places = [i for i, w in enumerate(own) if w in self.tokens]
-        held: Counter[bytes] = Counter()
-        best = tail = 0
-        for at in places:
-            held[own[at]] += 1
-            while places[tail] <= at - self.length:
-                w = own[places[tail]]
-                held[w] -= 1
-                if not held[w]:
-                    del held[w]
-                tail += 1
-            best = max(best, len(held))
-        return best / len(self.order) if best >= self.need else 0.0
+        self.prefix = self.order[: len(self.order) - self.need + 1]
+
+    def zones(self, where: Mapping[bytes, list[int]], n: int) -> list[tuple[int, int]]:
+        """Runs of words (from, to) in which every block that meets the template lies: around its rarest words."""
+        out: list[list[int]] = []
+        for at in sorted(p for w in self.prefix for p in where.get(w, ())):
+            low, high = max(0, at - self.length + 1), min(n, at + self.length)
+            if out and low <= out[-1][1]:
+                out[-1][1] = high
+            else:
+                out.append([low, high])
+        return [(a, b) for a, b in out if b - a >= self.need]
+
+    def held(self, where: Mapping[bytes, list[int]], low: int, high: int) -> list[tuple[int, bytes]] | None:
+        """Places of the template's words in a zone, in order; None once too few can be there."""
+        found, missing, most = [], 0, len(self.order) - self.need
+        for w in self.order:
+            own = where.get(w, ())
+            i = bisect_left(own, low)
+            if i == len(own) or own[i] >= high:
+                missing += 1
+                if missing > most:
+                    return None
+            while i < len(own) and own[i] < high:
+                found.append((own[i], w))
+                i += 1
+        return sorted(found)
+
+    def blocks(self, where: Mapping[bytes, list[int]], n: int) -> Iterator[tuple[int, int, float]]:
+        """First word, number of words and containment of the best block of each run of overlapping blocks that meet the template."""
+        for low, high in self.zones(where, n):
+            found = self.held(where, low, high)
+            if found is None:
+                continue
+            within: Counter[bytes] = Counter()
+            tail, best, until = 0, None, -1
+            for at, w in found:
+                within[w] += 1
+                while found[tail][0] <= at - self.length:
+                    out = found[tail][1]
+                    within[out] -= 1
+                    if not within[out]:
+                        del within[out]
+                    tail += 1
+                if len(within) >= self.need:
+                    if best and found[tail][0] > until:
+                        yield best[1], best[2], best[0]
+                        best = None
+                    share = len(within) / len(self.order)
+                    until = at
+                    if best is None or share > best[0]:
+                        best = (share, found[tail][0], at - found[tail][0] + 1)
+            if best:
+                yield best[1], best[2], best[0]
+
+
+class Scanner:
+    """All templates and phrases against one text at a time."""
+
+    def __init__(self, templates: Sequence[tuple[str, str]], phrases: Sequence[tuple[str, str]], frequency: Mapping[bytes, int], containment: float):
+        self.templates = [Template(label, text, frequency, containment) for label, text in templates]
+        self.rare = frozenset(w for t in self.templates for w in t.prefix)
+        self.known = frozenset(w for t in self.templates for w in t.order)
+        self.phrases = [(p.encode(), [w.encode() for w in p.split()], label) for p, label in phrases]
+
+    def blocks(self, own: list[bytes], distinct: set[bytes]) -> list[tuple[str, int, int, float]]:
+        if self.rare.isdisjoint(distinct):
+            return []
+        where: dict[bytes, list[int]] = {w: [] for w in self.known & distinct}
+        for i, w in enumerate(own):
+            if w in where:
+                where[w].append(i)
+        return sorted((t.label, *b) for t in self.templates if not distinct.isdisjoint(t.prefix) for b in t.blocks(where, len(own)))
+
+    def base(self, own: list[bytes], distinct: set[bytes]) -> tuple[list[int], set[str]]:
+        """Places of the phrases and their labels."""
+        places: list[int] = []
+        labels: set[str] = set()
+        line = None
+        for phrase, parts, label in self.phrases:
+            if all(p in distinct for p in parts):
+                line = line or b" " + b" ".join(own) + b" "
+                if found := phrase_places(line, phrase):
+                    places += found
+                    labels.add(label)
+        return places, labels
 
 
 def template_word_counts(docs: DataFrame, templates: Sequence[tuple[str, str]], text_column: str = "text") -> dict[bytes, int]:
@@ -109,41 +170,45 @@ def template_word_counts(docs: DataFrame, templates: Sequence[tuple[str, str]],
     return {bytes(r.word): r.n for r in rows}
 
 
+def blocks(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
+    """doc_id, label, first_word, n_words, containment: every text block that meets a template (the best of a run of overlapping ones)."""
+    return _each(docs, templates, (), containment, _block_rows, "label string, first_word long, n_words long, containment double", [pa.string(), pa.int64(), pa.int64(), pa.float64()])
+
+
 def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, phrases: Sequence[tuple[str, str]] = PHRASES, containment: float = CONTAINMENT) -> DataFrame:
+    """One row per document: its words, its phrases, the labels of both phrases and blocks, and the largest containment (1 with a phrase)."""
+    kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.int64()]
+    fields = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, n_blocks long"
+    return _each(docs, templates, phrases, containment, _digest_rows, fields, kinds)
+
+
+def _block_rows(scanner: Scanner, own: list[bytes]) -> list[tuple]:
+    return scanner.blocks(own, set(own))
+
+
+def _digest_rows(scanner: Scanner, own: list[bytes]) -> list[tuple]:
+    distinct = set(own)
+    places, base = scanner.base(own, distinct)
+    found = scanner.blocks(own, distinct)
+    score = 1.0 if base else max((b[3] for b in found), default=0.0)
+    labels = base | {b[0] for b in found}
+    return [(len(own), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score, len(found))]
+
+
+def _each(docs: DataFrame, templates, phrases, containment: float, rows_of, fields: str, kinds: list[pa.DataType]) -> DataFrame:
     frequency = template_word_counts(docs, templates)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = [Template(label, text, frequency, containment) for label, text in templates]
-        rare = frozenset().union(*(t.prefix for t in known))
-        sought = [(p.encode(), [w.encode() for w in p.split()], label) for p, label in phrases]
+        scanner = Scanner(templates, phrases, frequency, containment)
         for batch in batches:
-            out = []
-            for t in batch.column(1):
-                own = words(t.as_py())
-                distinct = set(own)
-                places: list[int] = []
-                base: set[str] = set()
-                for phrase, parts, label in sought:
-                    if all(p in distinct for p in parts) and (found := phrase_places(own, phrase)):
-                        places += found
-                        base.add(label)
-                labels, best = set(base), 1.0 if base else 0.0
-                if not rare.isdisjoint(distinct):
-                    for template in known:
-                        if got := template.best_block(own, distinct):
-                            labels.add(template.label)
-                            best = max(best, got)
-                out.append((len(own), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), best))
-            kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
-            columns = list(zip(*out)) if out else [[]] * 7
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))],
-                names=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"],
-            )
+            found = [rows_of(scanner, words(t.as_py())) for t in batch.column(1)]
+            at = pa.array([i for i, rows in enumerate(found) for _ in rows], pa.int64())
+            columns = list(zip(*(r for rows in found for r in rows))) or [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=["doc_id", *(f.split()[0] for f in fields.split(", "))])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {fields}")
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents"))
+    return scan(table(spark, sf_dir, "documents")).drop("n_blocks")

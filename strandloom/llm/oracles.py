@@ -2,7 +2,8 @@
 
 import math
 
-from .licenses import CONTAINMENT, PHRASES, TEMPLATES
+from .license_texts import TEMPLATES
+from .licenses import CONTAINMENT, PHRASES, words
 from .url_filter import OP6_SQL
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -50,10 +51,9 @@ r(x, y) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.x, l.y FROM r JOIN l ON
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.y) AS component_id FROM d JOIN r ON r.x = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id, n.n
 """
 
-_TEMPLATE_WORDS = ", ".join(f"('{label}', '{w}')" for label, t in TEMPLATES for w in dict.fromkeys(t.split()))
-_TEMPLATE_SIZES = ", ".join(
-    f"('{label}', {len(t.split())}, {m}, {max(1, math.ceil(CONTAINMENT * m - 1e-9))})" for label, t in TEMPLATES for m in [len(set(t.split()))]
-)
+_SEQUENCES = [(k, label, [w.decode() for w in words(t)]) for k, (label, t) in enumerate(TEMPLATES)]
+_TEMPLATE_WORDS = ", ".join(f"({k}, '{w}')" for k, _, t in _SEQUENCES for w in dict.fromkeys(t))
+_TEMPLATE_SIZES = ", ".join(f"({k}, '{label}', {len(t)}, {m}, {max(1, math.ceil(CONTAINMENT * m - 1e-9))})" for k, label, t in _SEQUENCES for m in [len(set(t))])
 _PLACES = " UNION ALL ".join(
     f"SELECT doc_id, '{label}' AS label, p - 1 AS place FROM x WHERE " + " AND ".join(f"ws[p + {i}] = '{w}'" for i, w in enumerate(phrase.split())) for phrase, label in PHRASES
 )
@@ -63,11 +63,13 @@ WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCD
 x AS (SELECT doc_id, ws, p, ws[p] AS word FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws))) AS p FROM d)),
 places AS ({_PLACES}),
 base AS (SELECT doc_id, count(*) AS n, min(place) AS a, max(place) AS b, list(DISTINCT label) AS labels FROM places GROUP BY doc_id),
-hits AS (SELECT doc_id, label, p, x.word FROM x JOIN (VALUES {_TEMPLATE_WORDS}) t(label, word) ON t.word = x.word),
+hits AS (SELECT doc_id, k, p, x.word FROM x JOIN (VALUES {_TEMPLATE_WORDS}) t(k, word) ON t.word = x.word),
+sizes AS (SELECT * FROM (VALUES {_TEMPLATE_SIZES}) s(k, label, length, size, need)),
+likely AS (SELECT doc_id, k FROM hits JOIN sizes USING (k) GROUP BY doc_id, k, need HAVING count(DISTINCT word) >= need),
 blocks AS (
-  SELECT a.doc_id, a.label, a.p, any_value(size) AS size, any_value(need) AS need, count(DISTINCT b.word) AS held
-  FROM hits a JOIN (VALUES {_TEMPLATE_SIZES}) s(label, length, size, need) ON s.label = a.label
-  JOIN hits b ON b.doc_id = a.doc_id AND b.label = a.label AND b.p >= a.p AND b.p < a.p + s.length GROUP BY a.doc_id, a.label, a.p),
+  SELECT a.doc_id, s.label, a.k, a.p, any_value(size) AS size, any_value(need) AS need, count(DISTINCT b.word) AS held
+  FROM likely JOIN hits a USING (doc_id, k) JOIN sizes s USING (k)
+  JOIN hits b ON b.doc_id = a.doc_id AND b.k = a.k AND b.p >= a.p AND b.p < a.p + s.length GROUP BY a.doc_id, s.label, a.k, a.p),
 met AS (SELECT doc_id, list(DISTINCT label) AS labels, max(CAST(held AS DOUBLE) / size) AS best FROM blocks WHERE held >= need GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(base.n, 0) AS BIGINT) AS n_base, CAST(base.a AS BIGINT) AS first_word, CAST(base.b AS BIGINT) AS last_word,
   array_to_string(list_sort(coalesce(base.labels, [])), ',') AS base_labels,

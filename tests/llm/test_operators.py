@@ -375,7 +375,7 @@ def test_globs():
 # licenses
 
 
-def plain_scan(text):
+def plain_words(text):
     words, own = [], ""
     for c in (text or "") + " ":
         c = chr(ord(c) + 32) if "A" <= c <= "Z" else c
@@ -385,6 +385,11 @@ def plain_scan(text):
             own = ""
         else:
             own += c
+    return words
+
+
+def plain_scan(text):
+    words = plain_words(text)
     places, base = [], set()
     for phrase, label in licenses.PHRASES:
         p = phrase.split()
@@ -394,7 +399,7 @@ def plain_scan(text):
                 base.add(label)
     labels, best = set(base), 1.0 if base else 0.0
     for label, template in licenses.TEMPLATES:
-        t = template.split()
+        t = plain_words(template)
         m = len(set(t))
         top = max((len(set(words[i : i + len(t)]) & set(t)) for i in range(len(words))), default=0)
         if top >= 0.8 * m - 1e-9:
@@ -407,9 +412,9 @@ def test_licenses(spark, docs, rows, empty):
     rng = random.Random(4)
     extra = []
     for label, t in licenses.TEMPLATES:
-        for drop in (0, 1, 2, 4):
+        for drop in (0, 1, 2, 4, 25):
             w = t.split()
-            for _ in range(drop):
+            for _ in range(min(drop, len(w) - 1)):
                 w.pop(rng.randrange(len(w)))
             rng.shuffle(w) if drop == 2 else None
             extra.append("Lorem-ipsum 7é. " * 5 + " ".join(w).upper() + ", " + "word " * 10)
@@ -419,7 +424,49 @@ def test_licenses(spark, docs, rows, empty):
     columns = ("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
     out = Counter((*(r[c] for c in columns[:-1]), round(r.score, 9)) for r in licenses.scan(df).collect())
     assert out == Counter((i, *plain_scan(t)) for i, t in all_rows)
-    assert licenses.scan(empty).count() == 0
+    assert licenses.scan(empty).count() == 0 and licenses.blocks(empty).count() == 0
+
+
+def plain_blocks(text):
+    """Every window that meets a template, overlapping ones joined, by trying all places."""
+    own, out = plain_words(text), []
+    for label, template in licenses.TEMPLATES:
+        t = plain_words(template)
+        m, tokens = len(set(t)), set(t)
+        runs = []
+        for i in range(len(own)):  # the block that begins with this word of the template
+            block = [j for j in range(i, min(len(own), i + len(t))) if own[j] in tokens]
+            n = len({own[j] for j in block})
+            if own[i] in tokens and n >= 0.8 * m - 1e-9:
+                last = next(j for j in block if len({own[x] for x in range(i, j + 1) if own[x] in tokens}) == n)
+                if runs and i <= runs[-1][1]:
+                    runs[-1] = (runs[-1][0], max(runs[-1][1], block[-1]), max(runs[-1][2], n / m))
+                else:
+                    runs.append((i, block[-1], n / m))
+        out += [(label, a, z, round(x, 9)) for a, z, x in runs]
+    return sorted(out)
+
+
+def test_license_blocks(spark):
+    rng = random.Random(12)
+    full = [t for _, t in licenses.TEMPLATES if len(t) > 300]
+    filler = lambda n: " ".join(rng.choices(["the", "of", "software", "and", "lorem", "any", "or", "use", "ipsum"], k=n))
+    texts = ["", filler(400), full[0] + " " + filler(300) + " " + full[2] + " " + filler(50) + " " + full[0], filler(20) + full[1][:500]]
+    texts += [filler(30) + " ".join(w for w in rng.choice(full).split() if rng.random() < 0.93) + " " + filler(200) for _ in range(12)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = defaultdict(list)
+    for r in licenses.blocks(df).collect():
+        found[r.doc_id].append((r.label, r.first_word, r.first_word + r.n_words - 1, round(r.containment, 9)))
+    for i, t in enumerate(texts):
+        want = plain_blocks(t)
+        assert [(label, x) for label, _, _, x in sorted(found[i])] == [(label, x) for label, _, _, x in want]
+        assert all(any(label == l and a <= b and e <= z for l, a, z, _ in want) for label, b, e, _ in found[i])
+    assert len(found[2]) >= 3
+
+
+def test_places_of_a_phrase_that_is_said_very_often():
+    line = b" " + b"cc by nc " * 200_000
+    assert licenses.phrase_places(line, b"cc by nc") == list(range(0, 600_000, 3))
 
 
 # fingerprints
