@@ -13,7 +13,8 @@ Training takes at most `TRAIN_ROWS` labelled rows, those with the smallest hash
 of their id; the bound is a parameter. Everything else covers all rows.
 
 Null and empty texts: no features, the score is the intercept's. Labels of a
-document that has several: the smallest counts. Without labels, or with labels
+document that has several: the smallest counts. Of rows that share a doc_id with
+different texts one is learned from, always the same. Without labels, or with labels
 of one kind, every weight but the intercept may stay 0. Repeated rows are
 scored one by one; extra columns are not read.
 """
@@ -162,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> np.ndarra
             )
 
     def learn(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.drop_duplicates("doc_id").sort_values("doc_id")
+        frame = frame.sort_values(["doc_id", "slots", "features"]).drop_duplicates("doc_id")  # of rows that share an id, the same one each time
         w = train_ftrl([(int(y), np.frombuffer(s, np.int32), np.frombuffer(v, np.float32)) for y, s, v in zip(frame.quality, frame.slots, frame.features)])
         used = np.flatnonzero(w).astype(np.int32)
         return pd.DataFrame({"slots": [used.tobytes()], "weights": [w[used].astype(np.float32).tobytes()]})
