@@ -1,10 +1,10 @@
 """Best-fit packing into sequences of several permitted lengths.
 
 Lengths are counted in words. A document longer than the largest capacity is cut
-into pieces; pieces are dealt by a hash into shards of about `SHARD`, which are
+into pieces; pieces are dealt by a hash of their row and place (so that no id fills one) into shards of about `SHARD`, which are
 packed one by one: longest piece first, into the open bin that it fills best. If
 it fits no open bin, the size to open is the one with the least cost per word,
-each size being tried out with what is still to be packed. In the end each bin
+each size being filled on trial, longest first, with all that is still to be packed. In the end each bin
 shrinks to the smallest capacity that holds its contents.
 
 One row per piece: doc_id, piece, start (word), length, bin, capacity, place (in
@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 
 CAPACITIES = (512, 1024, 2048, 4096)
 SHARD = 20_000
@@ -79,15 +79,13 @@ class Shard:
         for c in self.capacities:
             if c < n:
                 continue
-            rest, taken = c - n, {}
-            for _ in range(24):
-                at = bisect_right(sizes, rest) - 1
-                while at >= 0 and taken.get(sizes[at], 0) >= left[sizes[at]]:
-                    at -= 1
-                if at < 0 or not rest:
-                    break
-                taken[sizes[at]] = taken.get(sizes[at], 0) + 1
-                rest -= sizes[at]
+            rest = c - n
+            at = bisect_right(sizes, rest) - 1
+            while rest and at >= 0:  # as many of each length as fit, longest first: at most one step for each length
+                size = sizes[at]
+                taken = min(rest // size, int(left[size]))
+                rest -= taken * size
+                at = min(at, bisect_right(sizes, rest)) - 1
             # an unused tail is cut off in the end
             final = self.capacities[int(np.searchsorted(self.capacities, c - rest))]
             per_word = self.price[final] / (c - rest)
@@ -97,17 +95,18 @@ class Shard:
 
 
 def pieces(docs: DataFrame, largest: int) -> DataFrame:
+    """Lengths are counted once and written, as their number decides how many shards there are."""
     words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    df = docs.select("doc_id", words.alias("_n"))
-    df = df.select("doc_id", "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.floor((F.col("_n") - 1) / largest), F.lit(0)))).alias("piece"))
-    return df.select("doc_id", "piece", (F.col("piece") * largest).alias("start"), F.least(F.col("_n") - F.col("piece") * largest, F.lit(largest)).alias("length"))
+    df = docs.select("doc_id", words.alias("_n"), F.monotonically_increasing_id().alias("_row"))
+    df = df.select("doc_id", "_n", "_row", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.floor((F.col("_n") - 1) / largest), F.lit(0)))).alias("piece"))
+    return written(df.select("doc_id", "_row", "piece", (F.col("piece") * largest).alias("start"), F.least(F.col("_n") - F.col("piece") * largest, F.lit(largest)).alias("length")), "pieces")
 
 
 def pack(docs: DataFrame, capacities: Sequence[int] = CAPACITIES, shard: int = SHARD) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     all_pieces = pieces(docs, max(capacities))
     shards = max(1, -(-all_pieces.count() // shard))
-    dealt = all_pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)))
+    dealt = all_pieces.withColumn("shard", F.pmod(F.xxhash64("_row", "piece"), F.lit(shards))).drop("_row")
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["doc_id", "piece", "length"]).reset_index(drop=True)
