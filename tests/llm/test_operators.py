@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandloom.llm import fingerprints, jaccard_join, licenses, neighbours, packing, quality, repeats, sentencepieces, suffix_array, suffix_trees, url_filter
+from strandloom.llm import common, fingerprints, jaccard_join, licenses, neighbours, packing, quality, repeats, sentencepieces, suffix_array, suffix_trees, url_filter
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, _doc string, bin string, component_id string, _row int"
 
@@ -293,6 +293,74 @@ def test_classifier(spark, docs, empty):
     assert (quality.fit(good, labels, rows=50) != 0).any()
 
 
+def plain_features(text):
+    """Frequencies of hashed word 1- and 2-grams, shape 1- to 3-grams and repetitions, by the rules in words."""
+    m = 2**64
+    mix = lambda x: int(np.uint64(common.mix64(np.array([x % m], np.uint64))[0]))
+
+    def fnv(t):
+        h = 0xCBF29CE484222325
+        for b in t.encode():
+            h = (h ^ b) * 0x100000001B3 % m
+        return h
+
+    def shape(w):
+        kinds = [("A" if c.isupper() else "a") if c.isalpha() else "0" if c.isdigit() else c for c in w]
+        return "".join(c for i, c in enumerate(kinds) if not i or kinds[i - 1] != c)
+
+    words = (text or "").split()
+    w, s = [fnv(x) for x in words], [fnv("\0" + shape(x)) for x in words]
+    grams = w + s + [3 * a + 5 * b for a, b in zip(w, w[1:])] + [7 * a + 11 * b for a, b in zip(s, s[1:])]
+    grams += [0x51ED270B if a == b else 0x2545F491 for a, b in zip(words, words[1:])]
+    grams += [13 * a + 17 * b + 19 * c for a, b, c in zip(s, s[1:], s[2:])]
+    counts = Counter(mix(g) >> (64 - quality.BITS) for g in grams)
+    norm = sum(n * n for n in counts.values()) ** 0.5
+    return {k: n / norm for k, n in counts.items()}
+
+
+def plain_ftrl(examples, epochs):
+    """Follow the regularised leader, one coordinate at a time."""
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(k):
+        if k != "bias" and abs(z[k]) <= quality.L1:
+            return 0.0
+        sign = 1 if z[k] > 0 else -1
+        return -(z[k] - (0 if k == "bias" else sign * quality.L1)) / ((quality.BETA + n[k] ** 0.5) / quality.ALPHA + (0 if k == "bias" else quality.L2))
+
+    order = np.arange(len(examples))
+    rng = np.random.default_rng(7)
+    for _ in range(epochs):
+        rng.shuffle(order)
+        for i in order:
+            y, x = examples[i]
+            x = x | {"bias": 1.0}
+            w = {k: weight(k) for k in x}
+            p = 1 / (1 + np.exp(-sum(w[k] * v for k, v in x.items())))
+            for k, v in x.items():
+                g = (p - y) * v
+                z[k] += g - ((n[k] + g * g) ** 0.5 - n[k] ** 0.5) / quality.ALPHA * w[k]
+                n[k] += g * g
+    return {k: weight(k) for k in list(z)}
+
+
+def test_classifier_equals_a_plain_model(spark):
+    rng = random.Random(13)
+    vocabulary = ["the", "Of", "cat", "sat-on", "7 mats", "x9", "ÉTÉ", "!!!", "w" * 300 + "1"]
+    rows = [(i, " ".join(rng.choices(vocabulary[: 5 + 4 * (i % 2)], k=rng.randint(0, 30)))) for i in range(80)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
+    chosen = [(i, t) for i, t in rows if zlib.crc32(str(i).encode()) % 5]
+    want = plain_ftrl([(i % 2, plain_features(t)) for i, t in chosen], quality.EPOCHS)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    w = quality.fit(docs, labels)
+    assert abs(w[-1] - want["bias"]) < 1e-5 and all(abs(w[k] - v) < 1e-5 for k, v in want.items() if k != "bias")
+    assert np.count_nonzero(w[:-1]) == sum(abs(v) > 1e-9 for k, v in want.items() if k != "bias") > 20
+    scored = {r.doc_id: r.score for r in quality.score(docs, w).select("_row.doc_id", "score").collect()}
+    for i, t in rows:
+        total = want["bias"] + sum(want.get(k, 0) * v for k, v in plain_features(t).items())
+        assert abs(scored[i] - 1 / (1 + np.exp(-total))) < 1e-5
+
+
 def test_shapes_see_whole_words():
     assert quality.Streams.shape_of("a" * 300 + "9" * 5 + "B" + "-") == "a0A-"
     x, y = quality.Streams().vector("a" * 300), quality.Streams().vector("a" * 300 + "9")
@@ -335,37 +403,81 @@ def test_a_wrong_merge_is_corrected():
     assert own.encode(text) == own.library.encode(text) and own.digest(text)[3] > 0
 
 
+def test_a_text_that_differs_as_a_whole_is_encoded_by_the_library(spark, monkeypatch):
+    model = sentencepieces.default_model()
+    rows = [(1, "plain words here"), (2, "x " * 150_000 + "the longest of the batch"), (3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    library = sentencepieces.tokenizer(model).library
+    want = Counter((i, len(ids), sha(",".join(map(str, ids)).encode()), sha(library.decode(ids).encode())) for i, t in rows for ids in [library.encode(t or "")])
+    columns = ("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    assert got(sentencepieces.encode_documents(df, model), *columns) == want
+    broken = sentencepieces.MergeTokenizer(model)
+    digest = broken.digest
+    broken.digest = lambda text: (*digest(text)[:2], digest(text)[2] + "!", 0)  # no chunk tells that this is wrong
+    assert not broken.agrees(rows[1][1])
+    assert [broken.by_library(t)[:3] for _, t in rows[:2]] == [(len(i), ",".join(map(str, i)), library.decode(i)) for i in (library.encode(t) for _, t in rows[:2])]
+    assert broken.by_library("abc")[3] == 1
+
+
 # URLs
 
 
+def plain_glob(glob, text):
+    """Whether a glob fits a text, by trying all ways."""
+    if not glob:
+        return not text
+    if glob.startswith("**"):
+        return any(plain_glob(glob[2:], text[i:]) for i in range(len(text) + 1))
+    if glob[0] == "*":
+        return any(plain_glob(glob[1:], text[i:]) for i in range(len(text) + 1) if "/" not in text[:i])
+    return bool(text) and glob[0] in (text[0], "?") and plain_glob(glob[1:], text[1:])
+
+
 def plain_verdict(url):
     if url is None or "://" not in url:
-        return "", "", None, "allow"
+        return "", "", None, "allow", None
     rest = url.split("://", 1)[1].split("?")[0].split("#")[0]
     host, slash, path = rest.partition("/")
     host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host)
     fits = [(len(h + p), h + p, v) for v, h, p in url_filter.RULES if (host == h or host.endswith("." + h)) and (slash + path).startswith(p)]
-    _, rule, verdict = max(fits, default=(0, None, "allow"))
-    return host, slash + path, rule, verdict
+    glob = next((g for g in url_filter.GLOBS if plain_glob(g, host + slash + path)), None)
+    _, rule, verdict = max(fits, default=(0, None, "block" if glob else "allow"))
+    return host, slash + path, rule, verdict, glob
 
 
 def test_urls(spark):
     rng = random.Random(1)
     parts = ["http://", "https://", "://", "com", "example.com", "EXAMPLE.net", ".", "/", "/en/", "/en/7", "/de/", "/de/8", "org", "/es/", "?", "#", "x", "é", "www.", "net", ":80", "*", "\n", "@"]
-    urls = [None, "", "com/en/", "http://a.com/en/", "http://xcom/en/", "http://foo.org/x.com/en/1", "http://com/en/7", "http://EXAMPLE.com/en/71", "http://a.b.example.net/de/8", "http://com", "x://y://com/en/", "http://com/en/" + "z" * 20000]
-    urls += ["".join(rng.choices(parts, k=rng.randint(1, 8))) for _ in range(1500)] + ["http://" + "".join(rng.choices(parts, k=rng.randint(1, 6))) for _ in range(1500)]
+    parts += ["casino-win.", "Casino-", "cheap-pills.", "free-bets.", "/login", "/wp-admin/", ".zip", "/fr/signup/", ".tar.gz", "xyz"]
+    urls = [None, "", "com/en/", "http://a.com/en/", "http://xcom/en/", "http://foo.org/x.com/en/1", "http://com/en/7", "http://EXAMPLE.com/en/71", "http://a.b.example.net/de/8", "http://com", "x://y://com/en/", "http://com/en/" + "z" * 2000]
+    urls += ["http://m.free-bets.example.org/fr/1", "http://www.casino-win.example.com/fr/3.html", "http://a.org/a/b.zip", "http://a.org/x/login?next=/", "http://a.org/" + "y/" * 400 + "a.zip"]
+    urls += ["".join(rng.choices(parts, k=rng.randint(1, 8))) for _ in range(700)] + ["http://" + "".join(rng.choices(parts, k=rng.randint(1, 6))) for _ in range(1500)]
     df = spark.createDataFrame([(i, u, "c", "v") for i, u in enumerate(urls)], "page_id long, url string, host string, verdict string")
-    out = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge_urls(df).collect()}
-    assert [out[i] for i in range(len(urls))] == [plain_verdict(u) for u in urls]
+    out = {r.page_id: (r.host, r.path, r.rule, r.verdict, r.glob) for r in url_filter.judge_urls(df).collect()}
+    want = [plain_verdict(u) for u in urls]
+    assert [out[i] for i in range(len(urls))] == want
+    assert {v for _, _, r, v, _ in want if r is None} == {"allow", "block"} and len({g for *_, g in want}) > 8
     assert url_filter.judge_urls(df.filter("false")).count() == 0
 
 
+def test_a_url_of_megabytes_costs_its_own_length():
+    import time
+
+    automaton = url_filter.WildcardAutomaton([url_filter.Glob(g, -1) for g in url_filter.GLOBS])
+    long = "a.org/" + "x/y" * 700_000 + ".zip"
+    start = time.time()
+    hits = automaton.matches([long] + ["b.org/c.zip"] * 200)
+    assert hits[0, url_filter.GLOBS.index("**.zip")] and hits[1:, url_filter.GLOBS.index("**.zip")].all() and time.time() - start < 20
+
+
 def test_globs():
     import re
 
     globs = ["a*b", "**.com", "?x", "ab**cd*", "**", "*", "a", "a**", "x" * 70 + "*y"]
     texts = ["", "a", "ab", "a/b", "axxb", "x.com", "y/x.com", ".com", "yx", "abcd", "ab/zcdq", "ab/zcd/q", "x" * 70 + "qy", "x" * 70 + "y", "aé"]
-    hits = url_filter.WildcardAutomaton([url_filter.Glob(g, i) for i, g in enumerate(globs)]).matches(texts)
+    automaton = url_filter.WildcardAutomaton([url_filter.Glob(g, i) for i, g in enumerate(globs)])
+    hits = automaton.matches(texts)
+    assert all((automaton.matches([t])[0] == hits[i]).all() for i, t in enumerate(texts))
     for j, g in enumerate(globs):
         pattern = re.escape(g).replace(r"\*\*", ".*").replace(r"\*", "[^/]*").replace(r"\?", ".")
         for i, t in enumerate(texts):
@@ -700,3 +812,47 @@ def test_best_fit_prefers_the_tightest_bin():
     for b, n in zip(bins, [10, 9, 6, 4, 1]):
         load[b] += n
     assert sum(load.values()) == 30 and sum(capacity) == 30 and all(load[b] == c for b, c in enumerate(capacity))
+
+
+def plain_packing(lengths, capacities):
+    """Best fit, longest first, and the size to open by filling each on trial; bins as (capacity, load), by trying all bins."""
+    left = sorted(lengths, reverse=True)
+    bins = []  # [room, load, turn in which it got this room]
+    turn = 0
+    while left:
+        n = left.pop(0)
+        turn += 1
+        fitting = [b for b in bins if b[0] >= n]
+        if fitting:
+            best = min(fitting, key=lambda b: (b[0], -b[2]))
+            best[0], best[1], best[2] = best[0] - n, best[1] + n, turn
+            continue
+        trials = []
+        for c in (c for c in capacities if c >= n):
+            rest = c - n
+            for x in left:
+                if x <= rest:
+                    rest -= x
+            final = min(x for x in capacities if x >= c - rest)
+            trials.append((packing.cost(final) / (c - rest), c))
+        least = min(t for t, _ in trials)
+        c = next(c for t, c in trials if t <= least + 1e-12)
+        bins.append([c - n, n, turn])
+    return Counter((min(c for c in capacities if c >= load), load) for _, load, _ in bins)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_packing_equals_a_plain_packer(seed):
+    rng = random.Random(seed)
+    capacities = rng.choice([(10, 20, 40), (512, 1024, 2048, 4096), (7, 50)])
+    lengths = [rng.choice([rng.randint(1, capacities[-1]), rng.randint(1, 5), 35 % capacities[-1]]) for _ in range(rng.randint(1, 300))]
+    bins, place, capacity = packing.Shard(capacities).pack(np.array(lengths))
+    load = Counter()
+    for b, n in zip(bins.tolist(), lengths):
+        load[b] += n
+    assert Counter((int(capacity[b]), n) for b, n in load.items()) == plain_packing(lengths, capacities)
+
+
+def test_large_bins_are_tried_out_with_all_short_pieces():
+    _, _, capacity = packing.Shard().pack(np.full(2000, 35))
+    assert sum(map(packing.cost, capacity.tolist())) <= 77_280
