@@ -2,16 +2,20 @@
 
 Vectors get one more component that makes all their lengths equal, so that the
 largest inner product is the least Euclidean distance. A tree of k-means splits
-is fitted on at most `SAMPLE` vectors; every vector goes down it to a leaf. A
-query pops nodes from a priority queue, the nearest centre first, and visits the
+is fitted on a sample; every vector goes down it to a leaf. Leaves grow with the
+square root of the table (to at most `LEAVES`, for which `SAMPLE_PER_LEAF` vectors each are
+sampled, a bounded number), so a leaf's rows and the queries that visit it grow alike.
+
+A query pops nodes from a priority queue, the nearest centre first, and visits the
 leaves it meets. How many is calibrated: for `CALIBRATION` queries the true
 neighbours are found by brute force over all rows, and visits are widened until
-the mean recall reaches `RECALL`.
+the mean recall reaches `RECALL`. Every query goes on beyond that until the leaves it
+has visited hold k candidates (all of them, if there are fewer), so each gets min(k, rows - 1) results.
 
-Leaves are kept in bundles (neighbours in the tree) and dealt out in blocks of at
-most `BLOCK` vectors and as many queries, so a leaf with any share of all rows
-falls into many tasks. Each block gives at most 20 rows per query. The tree has
-at most `LEAVES` leaves and is sent to all tasks.
+Leaves are kept in bundles (neighbours in the tree) and each bundle is one group; one with more than
+`BLOCK` vectors or queries is dealt out in blocks of so many, so a leaf with any share of all rows
+falls into many tasks, and only such bundles are copied. Each block gives at most k rows
+per query. The tree and the counts of its leaves are sent to all tasks.
 
 Vectors that are null, zero, of another dimension than most, or that hold null or
 non-finite components take no part. Rows that repeat a vec_id count once (the
@@ -34,14 +38,19 @@ from pyspark.sql import functions as F
 from .common import table, written
 
 K = 20
-SAMPLE, LEAVES, FANOUT, BUNDLE, BLOCK = 16_384, 256, 8, 8, 4096
+LEAVES, SAMPLE_PER_LEAF, FANOUT, BUNDLE, BLOCK = 4096, 64, 8, 8, 4096
 CALIBRATION, RECALL = 200, 0.96
 
 
+def leaves_for(rows: int) -> int:
+    """The square root of the rows, between 16 and LEAVES."""
+    return min(LEAVES, max(16, math.isqrt(rows)))
+
+
 class Tree:
     """Nodes in arrays; a leaf's number is its place from left to right."""
 
-    def __init__(self, sample: np.ndarray, leaves: int = LEAVES, fanout: int = FANOUT, seed: int = 11):
+    def __init__(self, sample: np.ndarray, leaves: int, fanout: int = FANOUT, seed: int = 11):
         self.centres: list[np.ndarray] = [sample.mean(0) if len(sample) else np.zeros(sample.shape[1])]
         self.children: list[list[int]] = [[]]
         self.leaf: list[int] = [-1]
@@ -99,15 +108,18 @@ class Tree:
                 work += [(child, rows[of == i]) for i, child in enumerate(below)]
         return out
 
-    def visit(self, q: np.ndarray, most: int) -> list[int]:
-        """Leaves in the order in which best-bin-first search meets them."""
+    def visit(self, q: np.ndarray, most: int, sizes: np.ndarray | None = None, enough: int = 0) -> list[int]:
+        """Leaves in the order in which best-bin-first search meets them: `most`, and on until they hold `enough` rows."""
         out: list[int] = []
+        held = 0
         queue = [(0.0, 0)]
-        while queue and len(out) < most:
+        while queue and (len(out) < most or held < enough):
             _, node = heapq.heappop(queue)
             below = self.children[node]
             if not below:
                 out.append(self.leaf[node])
+                if sizes is not None:
+                    held += int(sizes[self.leaf[node]])
                 continue
             d = ((self.centres[below] - q) ** 2).sum(1)
             for child, x in zip(below, d.tolist()):
@@ -150,14 +162,15 @@ def usable(vectors: DataFrame, id_column: str, column: str) -> tuple[DataFrame,
     return df, top.d, square
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = K, leaves: int = LEAVES, recall: float = RECALL, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = K, leaves: int | None = None, recall: float = RECALL, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score; `queries` (query_id) names rows of `vectors`."""
     spark = vectors.sparkSession
     empty = "query_id long, rank int, vec_id long, score double"
     df, dimension, square = usable(vectors, id_column, column)
     if not dimension:
         return spark.createDataFrame([], empty)
-    sample = df.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toArrow()  # at most SAMPLE vectors
+    leaves = leaves or leaves_for(vectors.count())
+    sample = df.orderBy(F.xxhash64("id"), "id").limit(leaves * SAMPLE_PER_LEAF).select("v").toArrow()  # a bounded number of vectors
     tree = spark.sparkContext.broadcast(Tree(augmented(matrix(sample.column(0).combine_chunks(), dimension), square), leaves))
     n_leaves = tree.value.n_leaves
 
@@ -202,6 +215,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, leaves: int = LEA
         visits += 1
 
     # the leaves of each query, and blocks
+    sizes = np.zeros(n_leaves, np.int64)  # a number for each leaf
+    for r in indexed.groupBy("leaf").count().collect():
+        sizes[r.leaf] = r["count"]
+
     def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = matrix(batch.column(1), dimension)
@@ -209,7 +226,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, leaves: int = LEA
             bundles: list[dict[int, int]] = []
             for q in x:
                 own: dict[int, int] = {}
-                for leaf in tree.value.visit(q, visits):
+                for leaf in tree.value.visit(q, visits, sizes, k + 1):  # one of them may be the query itself
                     own[leaf // BUNDLE] = own.get(leaf // BUNDLE, 0) | 1 << leaf % BUNDLE
                 bundles.append(own)
             at = np.repeat(np.arange(len(x)), [len(b) for b in bundles])
@@ -219,23 +236,22 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, leaves: int = LEA
             )
 
     kind = df.schema["v"].dataType.simpleString()
-    planned = asked.repartition("id").mapInArrow(plan, f"id long, v {kind}, bundle int, mask int")
+    planned = written(asked.repartition("id").mapInArrow(plan, f"id long, v {kind}, bundle int, mask int"), "visits")
     held = indexed.withColumn("bundle", F.floor(F.col("leaf") / BUNDLE).cast("int"))
-    n_bundles = -(-n_leaves // BUNDLE)
-    n_rows, n_asked = [1] * n_bundles, [1] * n_bundles  # blocks of each bundle: at most LEAVES numbers
-    for frame, into in ((held, n_rows), (planned, n_asked)):
-        for r in frame.groupBy("bundle").count().collect():
-            into[r.bundle] = math.ceil(r["count"] / BLOCK)
-    rows_of, asked_of = (F.array(*[F.lit(x) for x in a]) for a in (n_rows, n_asked))
-
-    def dealt(frame: DataFrame, own, other) -> DataFrame:
+    # blocks of rows and of queries of each bundle: 1 but for those with more than BLOCK; at most a row for each bundle
+    counts = held.groupBy("bundle").count().select("bundle", F.ceil(F.col("count") / BLOCK).cast("int").alias("row_blocks"))
+    counts = counts.join(planned.groupBy("bundle").count().select("bundle", F.ceil(F.col("count") / BLOCK).cast("int").alias("query_blocks")), "bundle")
+    counts = F.broadcast(written(counts, "blocks"))
+
+    def dealt(frame: DataFrame, own: str, other: str) -> DataFrame:
         return (
-            frame.withColumn("own", F.pmod(F.xxhash64("id"), own[F.col("bundle")]).cast("int"))
-            .withColumn("other", F.explode(F.sequence(F.lit(0), other[F.col("bundle")] - 1)))
+            frame.join(counts, "bundle")
+            .withColumn("own", F.pmod(F.xxhash64("id"), F.col(own)).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
         )
 
-    left = dealt(held, rows_of, asked_of).select("bundle", F.col("own").alias("row_block"), F.col("other").alias("query_block"), "id", "v", "leaf")
-    right = dealt(planned, asked_of, rows_of).select("bundle", F.col("other").alias("row_block"), F.col("own").alias("query_block"), "id", "v", "mask")
+    left = dealt(held, "row_blocks", "query_blocks").select("bundle", F.col("own").alias("row_block"), F.col("other").alias("query_block"), "id", "v", "leaf")
+    right = dealt(planned, "query_blocks", "row_blocks").select("bundle", F.col("other").alias("row_block"), F.col("own").alias("query_block"), "id", "v", "mask")
     key = ["bundle", "row_block", "query_block"]
 
     def block(rows: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:

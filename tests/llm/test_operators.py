@@ -744,7 +744,7 @@ def test_passages_are_the_same_in_both_texts(spark, empty):
 # neighbours
 
 
-@pytest.mark.parametrize("leaves,block", [(256, 4096), (8, 50)])
+@pytest.mark.parametrize("leaves,block", [(None, 4096), (256, 4096), (8, 50)])
 def test_neighbours(spark, leaves, block, monkeypatch):
     monkeypatch.setattr(neighbours, "BLOCK", block)
     rng = np.random.default_rng(6)
@@ -774,6 +774,25 @@ def test_neighbours(spark, leaves, block, monkeypatch):
     assert neighbours.search(few, few.select(F.col("vec_id").alias("query_id"))).count() == 6
 
 
+def test_every_query_gets_as_many_as_there_are(spark):
+    """Tight clusters and far outliers leave small leaves; search goes on until k candidates are held."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(30, 8)) * 3
+    x = np.concatenate([centres[i % 30] * rng.uniform(0.1, 4) + rng.normal(size=(1 + 40 * (i % 3 == 0), 8)) * 0.01 for i in range(60)] + [rng.normal(size=(12, 8)) * 50])
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    asked = df.select(F.col("vec_id").alias("query_id"))
+    for leaves in (8, 64, 200):
+        counts = neighbours.search(df, asked, leaves=leaves, recall=0.0).groupBy("query_id").count().collect()
+        assert len(counts) == len(x) and {r["count"] for r in counts} == {20}
+    few = df.filter("vec_id < 19")
+    counts = neighbours.search(few, asked, leaves=16, recall=0.0).groupBy("query_id").count().collect()
+    assert len(counts) == 19 and {r["count"] for r in counts} == {18}
+
+
+def test_leaves_grow_with_the_table():
+    assert [neighbours.leaves_for(n) for n in (0, 1000, 10_000, 10**6, 10**12)] == [16, 31, 100, 1000, neighbours.LEAVES]
+
+
 # packing
 
 
