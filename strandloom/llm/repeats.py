@@ -1,4 +1,4 @@
-"""Windows of a fixed number of symbols that occur more than once: what the two substring operators share.
+"""Windows of a fixed number of symbols that occur more than once: how the two substring operators bring them together.
 
 Shuffling every suffix of a corpus costs many times its size, so suffixes are
 brought together by anchors. In each window of W symbols the run of k symbols
@@ -11,12 +11,15 @@ alone, so equal windows have their anchors at the same offset, and one in about
    before the shuffle; the list of repeated runs is a written table, so that the
    join with it can be split where one run is very frequent).
    Of equal texts one goes on; all windows of the others are known to be repeated.
-3. The context of an anchor are the symbols that its windows span. Equal contexts are one
-   class, merged within each task before they are dealt out.
-4. Classes are dealt into groups of bounded size by the anchor's symbols, that
-   is by a prefix of k symbols; for a run of symbols with more than `HOT`
-   occurrences the prefix is lengthened to the whole window. Each group is
-   refined until equal windows of full length are left (see the two operators).
+3. An anchor's windows are taken in bands of neighbouring offsets; what all windows of a
+   band hold, whatever document they are from, is the band's core. The context of a band
+   are the symbols that its windows span. Equal contexts are one class, merged within each
+   task before they are dealt out.
+4. Classes are dealt by the core into groups of bounded size. A run that occurs up to `HOT` times has one band
+   for all offsets, and its core is the run itself; for more frequent runs bands are narrower and
+   cores longer, up to single windows, whose core is the whole window, so that the part
+   which must agree grows with the count. In each group the operator's own method finds the windows
+   that classes share (radix passes or suffix trees).
 5. Each class's verdict goes back to its occurrences and from there to the
    documents, whose texts crossed the shuffle compressed, once.
 
@@ -43,29 +46,43 @@ from .common import _STEP, BYTE_CODES, gram_hashes, id_key, mix64, row_slices, t
 _U = np.uint64
 _SEGMENT = 1 << 21
 _PLACE = _U((1 << 22) - 1)
-_HOT_BIT = 1 << 62
-#: Occurrences of a run of k symbols beyond which its windows are dealt out one by one. Up to that many contexts
-#: (each shorter than two windows) can meet in one group.
-HOT = 500_000
-#: Windows of a group that are refined at a time, about.
-WINDOWS = 1_000_000
+_LEVEL = 60
+#: Occurrences of a run of k symbols up to which its windows go together; each further level of bands begins at STEP times as many.
+HOT, STEP = 20_000, 10
 #: Anchors in a group, about.
 GROUP = 30_000
 
 
 @dataclass(frozen=True)
 class Kind:
-    """words: symbols are words, else bytes. keep_first: a window that occurs for the first time stays."""
+    """words: symbols are words, else bytes. keep_first: a window that occurs for the first time stays.
+
+    find(kind, rank, so, eo, contexts) tells of each class and window whether another class holds it too (before, with
+    keep_first): a matrix of bytes, 0 for no. so and eo are the offsets of the anchor in the first and
+    the last window of a context, rank the order of the classes' first occurrences. The bytes are kept with
+    words; with bytes as symbols, only whether they are 0.
+    """
 
     words: bool
     window: int
     gram: int
     keep_first: bool
+    find: Callable[..., np.ndarray]
 
     def __post_init__(self):
         if not 0 < self.gram <= self.window or self.window - self.gram > 254:
             raise ValueError("the anchor must fit its window, with at most 254 places in it")
 
+    @property
+    def offsets(self) -> int:
+        return self.window - self.gram + 1
+
+    @property
+    def bands(self) -> tuple[int, ...]:
+        """Offsets in a band, by level."""
+        n = self.offsets
+        return (n, -(-n // 2), -(-n // 5), 1)
+
 
 def winnow(symbols: np.ndarray, bounds: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
     """Row, anchor, first and last window of each anchor (places within the row) and the hash of its symbols."""
@@ -151,36 +168,40 @@ def _opened(z: pa.Scalar, unpack: zstandard.ZstdDecompressor) -> bytes:
 
 
 def _occurrences(batch: pa.RecordBatch, kind: Kind) -> Iterator[tuple]:
-    """(gram, doc, anchor, anchor - first, anchor - last, context, hot, hash of the text) of the marked anchors of a batch."""
+    """(gram, doc, anchor, anchor - first, anchor - last, context, core or None, hash of the text) of each band of the marked anchors."""
     unpack = zstandard.ZstdDecompressor()
     powers = np.array([pow(_STEP, kind.gram - 1 - i, 2**64) for i in range(kind.gram)], np.uint64)
     steps = np.arange(kind.gram)
+    window, words = kind.window, kind.words
     docs, hashes = batch.column("_doc").to_pylist(), batch.column("_th").to_pylist()
     for doc, th, marked, z in zip(docs, hashes, batch.column("_marked"), batch.column("_z")):
         text = _opened(z, unpack)
         packed = np.unique(marked.values.to_numpy())
-        hot, packed = (packed & _HOT_BIT) != 0, packed & ~_HOT_BIT
+        level, packed = packed >> _LEVEL, packed & ((1 << _LEVEL) - 1)
         at, first, last = packed >> 16, (packed >> 16) - (packed >> 8 & 255), (packed >> 16) - (packed & 255)
-        if kind.words:
+        if words:
             text = b" ".join(text.split())
             starts, ends, symbols = words_of(np.frombuffer(text, np.uint8), np.zeros(1, np.int64))
         else:
             symbols = BYTE_CODES[np.frombuffer(text, np.uint8)]
             starts = ends = None
         # a repeated doc_id with other text can bring places that this text does not have
-        fine = (first >= 0) & (last >= first) & (last + kind.window <= len(symbols)) & (at + kind.gram <= len(symbols))
-        at, first, last, hot = at[fine], first[fine], last[fine], hot[fine]
+        fine = (first >= 0) & (last >= first) & (last + window <= len(symbols)) & (at + kind.gram <= len(symbols))
+        at, first, last, level = at[fine], first[fine], last[fine], level[fine]
         if not len(at):
             continue
         grams = mix64((symbols[at[:, None] + steps] * powers).sum(1, dtype=np.uint64)).view(np.int64).tolist()
-        for g, a, p, q, h in zip(grams, at.tolist(), first.tolist(), last.tolist(), hot.tolist()):
-            if h:  # the prefix is the whole window
-                for r in range(p, q + 1):
-                    context = text[starts[r] : ends[r + kind.window - 1]] if kind.words else text[r : r + kind.window]
-                    yield g, doc, a, a - r, a - r, context, True, th
-            else:
-                context = text[starts[p] : ends[q + kind.window - 1]] if kind.words else text[p : q + kind.window]
-                yield g, doc, a, a - p, a - q, context, False, th
+        for g, a, p, q, v in zip(grams, at.tolist(), first.tolist(), last.tolist(), level.tolist()):
+            if not v:
+                context = text[starts[p] : ends[q + window - 1]] if words else text[p : q + window]
+                yield g, doc, a, a - p, a - q, context, None, th
+                continue
+            wide = kind.bands[v]
+            for band in range((a - q) // wide, (a - p) // wide + 1):
+                low, high = max(a - q, band * wide), min(a - p, band * wide + wide - 1)  # offsets of the band that this anchor has
+                r, e = a - band * wide, a - min(band * wide + wide, kind.offsets) + 1 + window  # what every window of the band holds
+                context = text[starts[a - high] : ends[a - low + window - 1]] if words else text[a - high : a - low + window]
+                yield g, doc, a, high, low, context, text[starts[r] : ends[e - 1]] if words else text[r:e], th
 
 
 def _signed(x: int) -> int:
@@ -191,6 +212,10 @@ def _class_hash(so: int, eo: int, context: bytes) -> int:
     return _signed(xxhash.xxh3_64_intdigest(context, seed=so << 8 | eo))
 
 
+def _core_hash(gram: int, core: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(core, seed=gram % (1 << 64))
+
+
 def classes(marked: DataFrame, kind: Kind, groups: int) -> DataFrame:
     """Per group and batch, compressed: classes of equal contexts, their first occurrence, whether there is another."""
 
@@ -198,18 +223,18 @@ def classes(marked: DataFrame, kind: Kind, groups: int) -> DataFrame:
         pack = zstandard.ZstdCompressor(level=3, write_checksum=False)
         for batch in batches:
             own: dict[tuple, list] = {}
-            for g, doc, a, so, eo, context, hot, _ in _occurrences(batch, kind):
+            for g, doc, a, so, eo, context, core, _ in _occurrences(batch, kind):
                 key = (g, so, eo, context)
                 had = own.get(key)
                 if had is None:
-                    own[key] = [doc, a, False, hot]
+                    own[key] = [doc, a, False, core]
                 elif (doc, a) != (had[0], had[1]):
                     had[2] = True
                     if (doc, a) < (had[0], had[1]):
                         had[0], had[1] = doc, a
             dealt: dict[int, list] = {}
-            for (g, so, eo, context), (doc, a, again, hot) in own.items():
-                h = (_class_hash(so, eo, context) if hot else g) % (1 << 64) % groups
+            for (g, so, eo, context), (doc, a, again, core) in own.items():
+                h = (g if core is None else _core_hash(g, core)) % (1 << 64) % groups
                 dealt.setdefault(h, []).append((g, so << 8 | eo, doc, a, again, context))
             if dealt:
                 blobs = [pack.compress(_blob(rows)) for rows in dealt.values()]
@@ -255,66 +280,6 @@ def occurrences(marked: DataFrame, kind: Kind) -> DataFrame:
     return marked.mapInArrow(run, "_gram long, _class long, _doc long, _packed long, _t int")
 
 
-def refine(node: np.ndarray, digit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One more level: the places that share node and digit with another, in order, and their new nodes."""
-    order = np.lexsort((digit, node))
-    a, b = node[order], digit[order]
-    new = np.ones(len(order), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    ids = np.cumsum(new) - 1
-    many = np.bincount(ids, minlength=0)[ids] > 1
-    return order[many], ids[many]
-
-
-def digits(contexts: list[bytes], words: bool) -> tuple[np.ndarray, np.ndarray, int]:
-    """A 64-bit digit at each place of the contexts put in a row, where each context begins, and the symbols a digit holds."""
-    if words:
-        number: dict[bytes, int] = {}
-        split = [c.split(b" ") for c in contexts]
-        flat = np.array([number.setdefault(w, len(number)) for c in split for w in c] + [0, 0], np.uint64)
-        begin = np.cumsum([0] + [len(c) for c in split])
-        return flat[:-1] << _U(32) | flat[1:], begin, 2
-    flat = np.frombuffer(b"".join(contexts) + bytes(16), np.uint8).astype(np.uint64)
-    begin = np.cumsum([0] + [len(c) for c in contexts])
-    for places in (1, 2, 4):  # two arrays at a time
-        wider = flat << _U(8 * places)
-        wider[:-places] |= flat[places:]
-        flat = wider
-    return flat, begin, 8
-
-
-def equal_windows(gram: np.ndarray, so: np.ndarray, eo: np.ndarray, contexts: list[bytes], kind: Kind) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Class, offset and group of the windows of full length that two classes share.
-
-    The windows of an anchor at one offset from it are a node; a node is split by
-    the next digit of its windows, and windows alone in a node are left, until the
-    depth is that of a window. Windows at other offsets never meet, so offsets are
-    taken a few at a time where there are many windows.
-    """
-    digit, begin, width = digits(contexts, kind.words)
-    low, high = int(eo.min()), int(so.max())
-    step = max(1, (high - low + 1) * WINDOWS // max(1, int((so - eo + 1).sum())))
-    parts, groups = [], 0
-    for first in range(low, high + 1, step):
-        a, b = np.maximum(eo, first), np.minimum(so, first + step - 1)  # offsets from the anchor
-        count = np.maximum(b - a + 1, 0)
-        which = np.repeat(np.arange(len(gram)), count)
-        off = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(so - b, count)
-        kept, node = refine(gram[which], (so[which] - off).astype(np.uint64))
-        which, off = which[kept], off[kept]
-        depth = 0
-        while depth < kind.window and len(which):
-            depth = min(depth, kind.window - width) if kind.window >= width else 0
-            kept, node = refine(node, digit[begin[which] + off + depth])
-            which, off = which[kept], off[kept]
-            depth += width
-        if len(which):
-            parts.append((which, off, node + groups))
-            groups += int(node.max()) + 1
-    none = np.zeros(0, np.int64)
-    return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (none, none, none)
-
-
 def verdicts(dealt: DataFrame, kind: Kind) -> DataFrame:
     """Of each class: which of its windows occur elsewhere (before, with keep_first), its first occurrence, whether there is another."""
 
@@ -332,22 +297,15 @@ def verdicts(dealt: DataFrame, kind: Kind) -> DataFrame:
         again = np.logical_or.reduceat(again | (doc != doc[first][run_of]) | (at != at[first][run_of]), first)
         gram, span, doc, at = (x[first] for x in (gram, span, doc, at))
         so, eo = span.astype(np.int64) >> 8, span.astype(np.int64) & 255
-        flags = np.zeros((len(first), -(-(kind.window - kind.gram + 1) // 8) * 8), bool)
+        flags = np.zeros((len(first), kind.offsets), np.uint8)
         _, of, size = np.unique(gram, return_inverse=True, return_counts=True)
         several = np.flatnonzero(size[of] > 1)
         if len(several):
-            which, off, node = equal_windows(gram[several], so[several], eo[several], [contexts[order[first[i]]] for i in several], kind)
-            which = several[which]
-            if kind.keep_first and len(which):
-                rank = np.empty(len(first), np.int64)
-                rank[np.lexsort((at, doc))] = np.arange(len(first))
-                heads = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
-                least = np.minimum.reduceat(rank[which], heads)[np.cumsum(np.concatenate([[0], node[1:] != node[:-1]]))]
-                later = rank[which] != least
-                which, off = which[later], off[later]
-            flags[which, off] = True
+            rank = np.empty(len(first), np.int64)
+            rank[np.lexsort((at, doc))] = np.arange(len(first))
+            flags[several] = kind.find(kind, rank[several], so[several], eo[several], [contexts[order[first[i]]] for i in several])
         told = np.flatnonzero(again | flags.any(1))
-        masks = np.packbits(flags[told], axis=1)
+        masks = flags[told] if kind.words else np.packbits(flags[told] > 0, axis=1)
         return pa.table(
             {
                 "_gram": gram[told],
@@ -368,7 +326,8 @@ def repeated(docs: DataFrame, kind: Kind) -> DataFrame:
     counts = written(anchors(docs, kind).groupBy("_gram").agg(n).filter("_n > 1"), "grams")
     total = counts.agg(F.sum("_n")).first()[0] or 0
     groups = max(1, -(-total // GROUP))
-    packed = F.when(F.col("_n") > HOT, F.col("_packed") + F.lit(_HOT_BIT)).otherwise(F.col("_packed"))
+    level = F.when(F.col("_n") <= HOT, 0).when(F.col("_n") <= HOT * STEP, 1).when(F.col("_n") <= HOT * STEP * STEP, 2).otherwise(3)
+    packed = F.col("_packed") + F.shiftleft(level.cast("long"), _LEVEL)
     per_doc = anchors(docs, kind).join(counts, "_gram").groupBy("_doc").agg(F.collect_list(packed).alias("_marked"))
     texts = compressed(docs).join(copies(docs), "_doc", "left")
     marked = texts.join(per_doc, "_doc").filter(~F.coalesce(F.array_contains("_later", F.col("_th")), F.lit(False)))
@@ -388,32 +347,69 @@ def repeated(docs: DataFrame, kind: Kind) -> DataFrame:
     return texts.join(found, "_doc", "left").withColumn("_copied", copied)
 
 
-def covered(n: int, th: int, found: pa.Scalar, copied: bool, kind: Kind) -> np.ndarray | None:
-    """Which of the n symbols of a text with the hash th lie in a repeated window; None for none."""
-    if copied:
-        return np.ones(n, bool) if n >= kind.window else None
-    if not found.is_valid or not len(found.values):
-        return None
-    packed = found.values.field("_packed").to_numpy()
-    own = found.values.field("_t").to_numpy() == th >> 32  # a repeated doc_id can stand for other texts too
-    step = np.zeros(n + 1, np.int32)
-    at, so, eo = packed >> 16, packed >> 8 & 255, packed & 255
-    first, last = at - so, at - eo
-    masks = found.values.field("_mask").to_pylist()
-    whole = np.array([m is None for m in masks])
-    fits = own & (first >= 0) & (last + kind.window <= n)
-    np.add.at(step, first[whole & fits], 1)
-    np.add.at(step, last[whole & fits] + kind.window, -1)
-    for i in np.flatnonzero(~whole & fits):
-        for p in np.flatnonzero(np.unpackbits(np.frombuffer(masks[i], np.uint8))):
-            step[first[i] + p] += 1
-            step[first[i] + p + kind.window] -= 1
-    cover = np.cumsum(step[:-1]) > 0
-    return cover if cover.any() else None
-
-
-def without_repeats(docs: DataFrame, kind: Kind, make: Callable[[bytes, np.ndarray | None], tuple], fields: str, types: list[pa.DataType]) -> DataFrame:
-    """`_row` and what `make` gives for each text (words joined by one space, or bytes) and its covered symbols."""
+@dataclass(frozen=True)
+class Found:
+    """What is known of one text of n symbols with the hash th: its anchors' bands and their masks, or that all of it is a copy."""
+
+    kind: Kind
+    n: int
+    th: int
+    bands: pa.Scalar
+    copied: bool
+
+    def _bands(self) -> tuple[np.ndarray, np.ndarray, list]:
+        """First and last window and the mask (None: all) of the bands that are of this text."""
+        if self.copied or not self.bands.is_valid or not len(self.bands.values):
+            none = np.zeros(0, np.int64)
+            return none, none, []
+        packed = self.bands.values.field("_packed").to_numpy()
+        own = self.bands.values.field("_t").to_numpy() == self.th >> 32  # a repeated doc_id can stand for other texts too
+        at = packed >> 16
+        first, last = at - (packed >> 8 & 255), at - (packed & 255)
+        fits = np.flatnonzero(own & (first >= 0) & (last + self.kind.window <= self.n))
+        masks = self.bands.values.field("_mask").to_pylist()
+        return first[fits], last[fits], [masks[i] for i in fits]
+
+    def _mask(self, mask: bytes) -> np.ndarray:
+        own = np.frombuffer(mask, np.uint8)
+        return own if self.kind.words else np.unpackbits(own)
+
+    def cover(self) -> np.ndarray | None:
+        """Which symbols lie in a repeated window; None for none."""
+        window = self.kind.window
+        if self.copied:
+            return np.ones(self.n, bool) if self.n >= window else None
+        first, last, masks = self._bands()
+        if not masks:
+            return None
+        step = np.zeros(self.n + 1, np.int32)
+        whole = np.array([m is None for m in masks])
+        np.add.at(step, first[whole], 1)
+        np.add.at(step, last[whole] + window, -1)
+        for i in np.flatnonzero(~whole):
+            for p in np.flatnonzero(self._mask(masks[i])):
+                step[first[i] + p] += 1
+                step[first[i] + p + window] -= 1
+        cover = np.cumsum(step[:-1]) > 0
+        return cover if cover.any() else None
+
+    def lengths(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of each start the length of the longest repeat seen there (0: none), and whether it reaches the end of what was seen."""
+        length, open_end = np.zeros(self.n + 1, np.int64), np.zeros(self.n + 1, bool)
+        window = self.kind.window
+        if self.copied:
+            length[: max(0, self.n - window + 1)] = self.n - np.arange(max(0, self.n - window + 1))
+            return length, open_end
+        for p, q, mask in zip(*self._bands()):
+            at = np.arange(p, q + 1)
+            seen = q + window - at
+            own = seen if mask is None else (lambda m: np.where(m > 0, m + window - 1, 0))(self._mask(mask)[: len(at)].astype(np.int64))
+            length[at], open_end[at] = own, own == seen
+        return length, open_end
+
+
+def without_repeats(docs: DataFrame, kind: Kind, make: Callable[[bytes, Found], tuple], fields: str, types: list[pa.DataType]) -> DataFrame:
+    """`_row` and what `make` gives for each text (its words, or its bytes) and what was found of it."""
     found = repeated(docs, kind).select("_row", "_th", "_z", "_found", "_copied")
     row_type = found.schema["_row"].dataType.simpleString()
 
@@ -424,7 +420,7 @@ def without_repeats(docs: DataFrame, kind: Kind, make: Callable[[bytes, np.ndarr
             for th, z, f, c in zip(batch.column("_th").to_pylist(), batch.column("_z"), batch.column("_found"), batch.column("_copied")):
                 text = _opened(z, unpack)
                 symbols = text.split() if kind.words else text
-                out.append(make(symbols, covered(len(symbols), th, f, c.as_py(), kind)))
+                out.append(make(symbols, Found(kind, len(symbols), th, f, c.as_py())))
             columns = list(zip(*out)) if out else [[]] * len(types)
             yield pa.RecordBatch.from_arrays([batch.column("_row"), *(pa.array(c, t) for c, t in zip(columns, types))], names=["_row", *(f.split()[0] for f in fields.split(", "))])
 

@@ -109,36 +109,92 @@ def test_byte_repeats(docs, rows, window, gram):
     assert got(suffix_array.repeat_digests(docs, window, gram), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == model_bytes(rows, window)
 
 
-def test_frequent_runs_take_the_long_prefix(docs, rows, monkeypatch):
-    monkeypatch.setattr(repeats, "HOT", 3)
+@pytest.mark.parametrize("hot,step", [(1, 3), (3, 2), (2, 1)])
+def test_frequent_runs_take_longer_cores(docs, rows, monkeypatch, hot, step):
+    monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(repeats, "STEP", step)
     monkeypatch.setattr(repeats, "GROUP", 50)
     assert got(suffix_trees.repeat_digests(docs), "doc_id", "n_words", "n_removed", "kept_sha256") == model_words(rows, 35)
     assert got(suffix_array.repeat_digests(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == model_bytes(rows, 100)
 
 
-@pytest.mark.parametrize("words", [True, False])
-def test_equal_windows_against_a_plain_count(words, monkeypatch):
+def test_radix_passes_against_a_plain_count(monkeypatch):
     rng = random.Random(7)
-    kind = repeats.Kind(words=words, window=9, gram=3, keep_first=False)
-    make = lambda n: [rng.choice((b"x", b"yy" if words else b"y")) for _ in range(n)]
     spans = [sorted((rng.randint(0, 6), rng.randint(0, 6))) for _ in range(300)]
     eo, so = np.array([a for a, _ in spans]), np.array([b for _, b in spans])
-    gram = np.array([rng.randrange(4) for _ in spans])
-    split = [make(b - a + 9) for a, b in spans]
-    contexts = [(b" " if words else b"").join(c) for c in split]
-    places = defaultdict(list)
-    for i, c in enumerate(split):
-        for off in range(so[i] - eo[i] + 1):
-            places[gram[i], so[i] - off, tuple(c[off : off + 9])].append((i, off))
-    want = sorted(sorted(x) for x in places.values() if len(x) > 1)
-    for most in (1_000_000, 50, 1):
-        monkeypatch.setattr(repeats, "WINDOWS", most)
-        which, off, node = repeats.equal_windows(gram, so, eo, contexts, kind)
-        groups = defaultdict(list)
-        for w, o, g in zip(which.tolist(), off.tolist(), node.tolist()):
-            groups[g].append((w, o))
-        assert sorted(sorted(x) for x in groups.values()) == want
-        assert (np.diff(node) >= 0).all()
+    for window in (9, 4, 20):
+        kind = suffix_array.kind(window, 3)
+        contexts = [bytes(rng.choice(b"xy") for _ in range(b - a + window)) for a, b in spans]
+        places = defaultdict(list)
+        for i, c in enumerate(contexts):
+            for off in range(so[i] - eo[i] + 1):
+                places[so[i] - off, c[off : off + window]].append((i, off))
+        want = sorted(sorted(x) for x in places.values() if len(x) > 1)
+        for most in (1_000_000, 50, 1):
+            monkeypatch.setattr(suffix_array, "WINDOWS", most)
+            which, off, node = suffix_array.equal_windows(kind, so, eo, contexts)
+            groups = defaultdict(list)
+            for w, o, g in zip(which.tolist(), off.tolist(), node.tolist()):
+                groups[g].append((w, o))
+            assert sorted(sorted(x) for x in groups.values()) == want
+            assert (np.diff(node) >= 0).all()
+
+
+@pytest.mark.parametrize("most", [10**6, 40, 1])
+def test_suffix_tree_against_plain_prefixes(most):
+    rng = random.Random(3)
+    for letters, count in ((2, 12), (30, 60), (1, 3)):
+        texts = [np.array([rng.randrange(letters) for _ in range(rng.randint(8, 40))]) for _ in range(count)]
+        texts += [texts[0].copy(), np.concatenate([texts[1], [letters]])]
+        begin = np.cumsum([0] + [len(t) + 1 for t in texts])
+        suffixes = [(i, p) for i, t in enumerate(texts) for p in range(len(t) - 5)]
+        tree = suffix_trees.SuffixTree(texts, np.array([begin[i] + p for i, p in suffixes]), most, 6)
+        words = [texts[i][p:].tolist() + [(i, "end")] for i, p in suffixes]
+        after = defaultdict(set)
+        holders = defaultdict(set)
+        for k, w in enumerate(words):
+            for n in range(len(w)):
+                after[tuple(w[:n])].add(w[n])
+                holders[tuple(w[:n])].add(k)
+        branching = {x for x, nexts in after.items() if len(nexts) > 1 and x}
+        found = {tuple(tree.symbols[tree.place[v] : tree.place[v] + tree.depth[v]].tolist()): v for v in range(1, len(tree.parent))}
+        least = 0 if most > 10**5 else 6  # what is above the prefixes of the partition is no node
+        assert {x for x in found if len(x) > least} == {x for x in branching if len(x) > least} and len(found) == len(tree.parent) - 1
+        for x, v in found.items():  # edges: the parent is the longest branching prefix, the label what comes after it
+            up = max((y for y in found if len(y) < len(x) and x[: len(y)] == y), key=len, default=())
+            assert tree.parent[v] == (found[up] if up else 0) and tuple(tree.label(v).tolist()) == x[len(up) :]
+        for k, w in enumerate(words):
+            longest = max((n for n in range(len(w)) if len(holders[tuple(w[:n])]) > 1), default=0)
+            if longest > least:
+                assert tree.longest()[k] == longest
+        assert set(tree.deep(6).tolist()) == {v for x, v in found.items() if len(x) >= 6}
+
+
+def test_prefixes_part_suffixes_into_groups_of_bounded_size():
+    rng = random.Random(4)
+    texts = [np.array([0, 0, 0, 0] + [rng.randrange(9) for _ in range(40)]) for _ in range(300)]  # one prefix that all share
+    starts = np.concatenate([np.arange(10) + 45 * i for i in range(300)])
+    tree = suffix_trees.SuffixTree(texts, starts, 200, 35)
+    seen = []
+    for batch in tree.batches(200, 35):
+        assert sum(len(rows) for _, rows in batch) <= 200
+        for depth, rows in batch:
+            assert len({tuple(tree.symbols[s : s + depth].tolist()) for s in starts[rows]}) == 1
+            seen += rows.tolist()
+    assert sorted(seen) == list(range(3000)) and len({d for b in tree.batches(200, 35) for d, _ in b}) > 2
+
+
+def test_maximal_repeats_are_those_of_the_text(spark):
+    """Words 0-39 of a text occur in one other text and words 20-70 in a third: two repeats that overlap, not one."""
+    rng = random.Random(8)
+    prose = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    a = prose(90)
+    rows = [(1, prose(7) + a + prose(3)), (2, prose(50) + a[:40] + prose(50)), (3, a[20:71] + prose(9)), (4, prose(20) + a[75:] + prose(40)), (5, prose(200))]
+    rows += [(6, prose(11) + rows[4][1][30:180] + prose(5)), (7, prose(300)), (8, None)]
+    rows += [(9, rows[6][1])]
+    df = spark.createDataFrame([(i, w and " ".join(w)) for i, w in rows], "doc_id long, text string")
+    found = {r.doc_id: [(x.start, x.n_words) for x in r.repeats] for r in suffix_trees.maximal_repeats(df).collect()}
+    assert found == {1: [(7, 40), (27, 51)], 2: [(50, 40)], 3: [(0, 51)], 4: [], 5: [(30, 150)], 6: [(11, 150)], 7: [(0, 300)], 8: [], 9: [(0, 300)]}
 
 
 def test_repeats_keep_columns_and_characters(docs, empty):
@@ -146,8 +202,8 @@ def test_repeats_keep_columns_and_characters(docs, empty):
     assert out.columns == docs.columns and out.count() == docs.count()
     assert out.filter("n_chars <> length(text)").count() == 0 and out.filter("text like '%\ufffd%'").count() == 0
     assert suffix_trees.remove_repeats(docs).columns == docs.columns
-    spans = suffix_trees.maximal_repeats(docs).collect()
-    assert any(s.spans for s in spans) and all(x.n_words >= 35 for s in spans for x in s.spans)
+    found = suffix_trees.maximal_repeats(docs).collect()
+    assert any(r.repeats for r in found) and all(x.n_words >= 35 for r in found for x in r.repeats)
     for f in (suffix_trees.repeat_digests, suffix_array.repeat_digests, suffix_array.remove_later_copies):
         assert f(empty).count() == 0
 
