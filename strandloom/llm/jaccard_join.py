@@ -12,18 +12,25 @@ Jaccard distance is a metric, and the join works in that space, exactly:
    Distances to it are measured; points within the radius are linked to it, and
    links make components. Every point lies in the Voronoi cell of the nearest
    pivot that it was measured against. A cell whose points are still in several
-   components is joined within: points meet in windows of distances to the pivot
-   (triangle inequality), and what they have in common is counted exactly; only
-   links that join components come out. Large cells are split into pairs of blocks.
-4. Over the cells' boundaries, points of different cells and components that share
-   a region are paired if sizes, places and shared prefixes allow a link.
-5. The remaining pairs are measured; all links give the final components.
+   components is joined within: its points outside its largest component visit the others in
+   windows of distances to the pivot (triangle inequality), and what they have in common is
+   counted exactly; only links that join components come out.
+4. Boundary documents: where points of different cells and components share
+   a region and sizes, places and shared prefixes allow a link, the one of the smaller cell is
+   replicated into the other's cell. Its distance to that pivot is measured; if it is beyond the cell's radius
+   by more than the link's, it goes no further (triangle inequality). Else it is joined with the members
+   whose distances to the pivot differ from its own by at most the link's radius, exactly, as in 3.
+5. All links give the final components.
+
+In 3 and 4 members of a cell are dealt out in blocks of at most `CELL` shingles and visitors
+in blocks of as many, so a cell with any share of all points falls into many tasks; each member meets
+only visitors, never all other members.
 
 Regions by nearest pivot alone cannot work here: nearly all documents are at
 distance 1 from every pivot, so each would lie on every boundary and be copied
 into every region. Hence the regions of step 2; README has more.
 
-Shingles are 64-bit hashes, and so is the name of a point. Null and empty texts
+Shingles are 64-bit hashes; the name of a point has 128 bits (64, and where two points share those, 64 others). Null and empty texts
 have no shingle and link with nothing; fewer words than a shingle has are one
 shingle. Repeated rows are equal sets. A null doc_id stays null and takes part
 as the least id. Extra columns are not read. An empty table gives no rows.
@@ -70,9 +77,18 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) ->
     return out
 
 
-def name_of(own: np.ndarray) -> int:
-    """A 64-bit name of a set that is not empty."""
-    return int(mix64(np.array([mix64(own * _U(0x9E3779B97F4A7C15)).sum(dtype=np.uint64) + _U(len(own))], np.uint64)).view(np.int64)[0])
+def names_of(own: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit names of a set that is not empty."""
+    sums = [mix64(own * _U(0x9E3779B97F4A7C15)).sum(dtype=np.uint64), mix64(own ^ _U(0xA0761D6478BD642F)).sum(dtype=np.uint64)]
+    first, second = mix64(np.array(sums, np.uint64) + _U(len(own))).view(np.int64).tolist()
+    return first, second
+
+
+def distinct_names(found: DataFrame) -> DataFrame:
+    """node, made of both names: the first, or both where another set has the same first name."""
+    shared = found.filter("node is not null").groupBy("node").agg(F.min("other").alias("_low"), F.max("other").alias("_high")).filter("_low < _high").select("node", "_low")
+    node = F.when(F.col("other") > F.col("_low"), F.col("node").bitwiseXOR(F.col("other"))).otherwise(F.col("node"))
+    return found.join(shared, "node", "left").withColumn("node", node).drop("_low", "other")
 
 
 def frequent_shingles(docs: DataFrame, size: int = SHINGLE) -> np.ndarray:
@@ -109,7 +125,7 @@ def prefix_of(own: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.n
 
 
 def points(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, _doc, n_shingles, node (null for an empty set), prefix and its end of every row."""
+    """doc_id, _doc, n_shingles, node and other, two names (null for an empty set), prefix and its end of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, size))  # at most MOST_FREQUENT numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,20 +133,22 @@ def points(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Data
         for batch in batches:
             sets = shingle_sets(*text_bytes(batch.column(2)), size)
             prefixes = [prefix_of(s, frequent, percent) if len(s) else (None, None) for s in sets]
+            names = [names_of(s) if len(s) else (None, None) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     batch.column(1),
                     pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([name_of(s) if len(s) else None for s in sets], pa.int64()),
+                    pa.array([a for a, _ in names], pa.int64()),
+                    pa.array([b for _, b in names], pa.int64()),
                     pa.array([None if p is None else p.view(np.int64) for p, _ in prefixes], pa.list_(pa.int64())),
                     pa.array([e for _, e in prefixes], pa.int64()),
                 ],
-                names=["doc_id", "_doc", "n_shingles", "node", "prefix", "end"],
+                names=["doc_id", "_doc", "n_shingles", "node", "other", "prefix", "end"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", id_key().alias("_doc"), F.col("text").alias("_text")).mapInArrow(run, f"doc_id {kind}, _doc long, n_shingles long, node long, prefix array<long>, end long")
+    return docs.select("doc_id", id_key().alias("_doc"), F.col("text").alias("_text")).mapInArrow(run, f"doc_id {kind}, _doc long, n_shingles long, node long, other long, prefix array<long>, end long")
 
 
 def entries(found: DataFrame) -> DataFrame:
@@ -166,7 +184,9 @@ def texts_of(docs: DataFrame, chosen: DataFrame, size: int) -> DataFrame:
             keep = np.zeros(batch.num_rows, bool)
             for i, (node, z) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1))):
                 (own,) = _sets(z, unpack, size)
-                keep[i] = len(own) > 0 and name_of(own) == node
+                if len(own):
+                    first, second = names_of(own)
+                    keep[i] = node in (first, first ^ second)
             yield batch.filter(pa.array(keep))
 
     packed = docs.select(id_key().alias("_doc"), F.col("text").cast("binary").alias("_text")).mapInArrow(run, "_doc long, _z binary")
@@ -213,8 +233,8 @@ def measured(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
 BLOCK, BATCH = 20_000, 50_000
 #: Points of a region up to which all regions with the same least point are dealt to one batch.
 ONE_BATCH = 512
-#: Shingles of a Voronoi cell beyond which it is split into blocks.
-CELL = 2_000_000
+#: Shingles of a Voronoi cell's members, and of its visitors, beyond which they are split into blocks.
+CELL = 100_000
 #: Of a point with more shingles than this, about a fifth of so many regions are used to find pivots; else all.
 FIRST = 48
 _NEARBY = 32
@@ -240,9 +260,9 @@ def _allowed(i: np.ndarray, j: np.ndarray, c: dict[str, np.ndarray], percent: in
     )
 
 
-def crossing_pairs(region: np.ndarray, c: dict[str, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of points of one region and two components that may be linked; c holds node, n, place, end, most,
-    component and the nearest pivot (home).
+def crossing_pairs(region: np.ndarray, c: dict[str, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+    """Places of pairs of points of one region and two components that may be linked, in the columns that are returned with them; c
+    holds node, n, place, end, most, component and the nearest pivot (home).
 
     Small regions are compared as they lie side by side; in a large one each
     point outside its largest component (every pair has one such end) meets all
@@ -271,80 +291,110 @@ def crossing_pairs(region: np.ndarray, c: dict[str, np.ndarray], percent: int) -
             keep = ((of == largest) | (j > low + i)) & _allowed(i_all, j, c, percent)
             found.append((i_all[keep], j[keep]))
     left, right = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*found) if found else ((), ())))
-    a, b = c["node"][left], c["node"][right]
-    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-    return pairs[:, 0], pairs[:, 1]
+    return left, right, c
+
+
+def crossing_visits(region: np.ndarray, c: dict[str, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs that may be linked the point of the smaller cell, and the pivot whose cell it has to visit."""
+    left, right, c = crossing_pairs(region, c, percent)
+    goes = (c["points"][left] < c["points"][right]) | (c["points"][left] == c["points"][right]) & (c["home"][left] < c["home"][right])
+    guest, host = np.where(goes, left, right), np.where(goes, right, left)
+    visits = np.unique(np.stack([c["node"][guest], c["home"][host]], 1), axis=0)
+    return visits[:, 0], visits[:, 1]
+
 
+Points = tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]
 
-def cell_links(node: np.ndarray, component: np.ndarray, distance: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that join the components of one Voronoi cell's points, found exactly.
 
-    Points outside the cell's largest component are taken one by one; what they
-    have in common with those whose distance to the pivot differs by at most the
-    radius is counted through postings of shingles. A point that is linked joins
-    the other's component, so each component is linked once.
+def cell_links(visitors: Points, members: Points, percent: int) -> list[tuple[int, int]]:
+    """Links that join the components of visitors and members of one Voronoi cell, found exactly; of each: node, component,
+    distance to the pivot, set.
+
+    Visitors are taken one by one; what they have in common with the members whose
+    distance to the pivot differs by at most the radius is counted through postings of
+    shingles. A point that is linked joins the other's component, so each
+    component is linked once.
     """
     radius = (100 - percent) / 100 + 1e-6
+    node, component, distance, sets = members
     order = np.argsort(distance, kind="stable")  # a window of distances is a range
     node, distance = node[order], distance[order]
     n = np.array([len(sets[i]) for i in order], np.int64)
-    _, component, size = np.unique(component[order], return_inverse=True, return_counts=True)
-    label = np.arange(len(size))
+    _, label = np.unique(np.concatenate([component[order], visitors[1]]), return_inverse=True)
+    own, guest = label[: len(node)], label[len(node) :]
+    label = np.arange(len(label))
     owner = np.repeat(np.arange(len(node)), n)
-    values = np.concatenate([sets[i] for i in order])
+    values = np.concatenate([np.zeros(0, np.uint64), *(sets[i] for i in order)])
     by_value = np.argsort(values, kind="stable")
     owner, values = owner[by_value], values[by_value]
-    number = np.cumsum(np.concatenate([[True], values[1:] != values[:-1]])) - 1
-    start = np.searchsorted(number, np.arange(number[-1] + 2))
-    back = np.empty(len(values), np.int64)
-    back[by_value] = number  # in the order of points: the number of each shingle
-    begin = np.concatenate([[0], np.cumsum(n)])
+    first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+    known, start = values[first], np.append(first, len(values))
     out: list[tuple[int, int]] = []
-    largest = int(np.argmax(size))
-    for u in np.flatnonzero(component != largest).tolist():
-        mine = back[begin[u] : begin[u + 1]]
-        mine = mine[start[mine + 1] - start[mine] > 1]
-        if not len(mine):
+    for u in range(len(visitors[0])):
+        mine = visitors[3][u]
+        low, high = (int(np.searchsorted(distance, visitors[2][u] + r, side)) for r, side in ((-radius, "left"), (radius, "right")))
+        if low >= high or not len(known):
             continue
-        low, high = int(np.searchsorted(distance, distance[u] - radius, "left")), int(np.searchsorted(distance, distance[u] + radius, "right"))
-        length = start[mine + 1] - start[mine]
-        at = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length) + np.repeat(start[mine], length)
-        common = np.bincount(owner[at], minlength=len(node))[low:high]
-        linked = np.flatnonzero(100 * common >= percent * (n[u] + n[low:high] - common)) + low
-        for v in linked[label[component[linked]] != label[component[u]]].tolist():
-            x, y = label[component[u]], label[component[v]]
+        at = np.minimum(np.searchsorted(known, mine), len(known) - 1)
+        at = at[known[at] == mine]
+        length = start[at + 1] - start[at]
+        places = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length) + np.repeat(start[at], length)
+        common = np.bincount(owner[places], minlength=len(node))[low:high]
+        linked = np.flatnonzero(100 * common >= percent * (len(mine) + n[low:high] - common)) + low
+        for v in linked[label[own[linked]] != label[guest[u]]].tolist():
+            x, y = label[guest[u]], label[own[v]]
             if x != y:
                 label[label == max(x, y)] = min(x, y)
-                out.append((int(min(node[u], node[v])), int(max(node[u], node[v]))))
+                a, b = int(visitors[0][u]), int(node[v])
+                out.append((min(a, b), max(a, b)))
     return out
 
 
-def in_cells(of_point: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links (a, b) within the Voronoi cells whose points are in several components. A cell with more than
-    CELL shingles is split into pairs of blocks."""
-    cells = of_point.groupBy("home").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.ceil(F.sum("n") / CELL).cast("int").alias("blocks"))
-    cells = written(cells.filter("_low < _high").select("home", "blocks"), "cells")
-    rows = (
-        of_point.join(cells, "home")
-        .join(texts, "node")
-        .withColumn("_own", F.pmod(F.xxhash64("node"), F.col("blocks")))
-        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("home", F.least("_own", "_other").alias("_x"), F.greatest("_own", "_other").alias("_y"), "node", "component", "distance", "_z")
-    )
+def joined_in_cells(members: DataFrame, visitors: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) of the visitors of cells with members of other components; of each point: home (the cell), node, component, distance, n.
+
+    Members and visitors of a cell are dealt out in blocks of at most CELL shingles each.
+    """
+    blocks = F.ceil(F.sum("n") / CELL).cast("int")
+    cells = visitors.groupBy("home").agg(blocks.alias("of_visitors")).join(members.groupBy("home").agg(blocks.alias("of_members")), "home")
+    cells = written(cells, "cells")
+
+    def dealt(points: DataFrame, own: str, other: str, visitor: bool) -> DataFrame:
+        rows = points.join(cells, "home").withColumn("_own", F.pmod(F.xxhash64("node"), F.col(own))).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        x, y = ("_other", "_own") if visitor else ("_own", "_other")
+        return rows.select("home", F.col(x).cast("int").alias("_x"), F.col(y).cast("int").alias("_y"), "node", "component", "distance", F.lit(visitor).alias("visitor"))
+
+    rows = dealt(members, "of_members", "of_visitors", False).union(dealt(visitors, "of_visitors", "of_members", True)).join(texts, "node")
 
     def run(cell: pa.Table) -> pa.Table:
         unpack = zstandard.ZstdDecompressor()
-        sets = [own for z in cell.column("_z") for own in _sets(z, unpack, size)]
-        node, component, distance = (cell.column(c).to_numpy() for c in ("node", "component", "distance"))
-        links = cell_links(node, component, distance, sets, percent) if len(np.unique(component)) > 1 else []
+        is_visitor = cell.column("visitor").to_numpy()
+        sides = []
+        for side in (is_visitor, ~is_visitor):
+            part = cell.filter(pa.array(side))
+            sides.append((*(part.column(c).to_numpy() for c in ("node", "component", "distance")), [own for z in part.column("_z") for own in _sets(z, unpack, size)]))
+        links = cell_links(*sides, percent)
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
     return rows.groupBy("home", "_x", "_y").applyInArrow(run, "a long, b long")
 
 
+def largest_component(points: DataFrame, key: str) -> DataFrame:
+    """key and _largest, the component that most points of a group have, of the groups with several components."""
+    counts = points.groupBy(key, "component").agg(F.count(F.lit(1)).alias("_n"))
+    order = F.struct("_n", "component")
+    return counts.groupBy(key).agg(F.max_by("component", order).alias("_largest"), F.count(F.lit(1)).alias("_several")).filter("_several > 1").select(key, "_largest")
+
+
+def in_cells(of_point: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links within the Voronoi cells whose points are in several components: points outside a cell's largest component visit all of it."""
+    mixed = written(of_point.join(largest_component(of_point, "home"), "home"), "mixed")
+    return joined_in_cells(mixed, mixed.filter("component <> _largest"), texts, size, percent)
+
+
 def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row; `_doc` stands for doc_id without nulls."""
-    found = written(points(docs, size, percent), "points")
+    found = written(distinct_names(points(docs, size, percent)), "points")
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = entries(found).repartition(parts, "key")
@@ -390,29 +440,44 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     inner = written(in_cells(of_point, texts, size, percent), "inner")
     links = links.union(inner)
     # links of cells join components further
-    of_point = of_point.drop("component").join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    of_point = written(of_point.drop("component").join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node")), "cells")
+    cells = of_point.groupBy("home").agg(F.count(F.lit(1)).alias("points"), F.max("distance").alias("radius"), (F.min("component") < F.max("component")).alias("mixed"))
+    of_point = written(of_point.join(cells, "home"), "points-in-cells")
+
+    # boundary documents: which point has to visit which cell
     batches = max(parts, -(-members.count() // BATCH))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    open_regions = (
-        members.join(of_point.drop("n", "distance"), "node")
-        .withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-        .withColumn("_own", own)
-        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumn("region", F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("_own", "_other"), F.greatest("_own", "_other"))))
-        .withColumn("batch", F.pmod(F.xxhash64(F.when(F.col("blocks") == 1, F.col("spot")).otherwise(F.col("region"))), F.lit(batches)))
-        .select("region", "node", "packed", "end", "most", "component", "home", "batch")
-        .repartition(batches, "batch")
+    met = members.join(of_point.select("node", "end", "most", "component", "home", "points"), "node")
+    fields = ["region", "node", "packed", "end", "most", "component", "home", "points", "batch"]
+    whole = met.filter(F.col("size") <= BLOCK).withColumn("region", F.col("key")).withColumn("batch", F.pmod(F.xxhash64("spot"), F.lit(batches))).select(*fields)
+    # a large region in blocks: each point in one, those outside its largest component in all
+    large = met.filter(F.col("size") > BLOCK).join(largest_component(met.filter(F.col("size") > BLOCK), "key"), "key")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    large = large.withColumn(
+        "block", F.explode(F.when(F.col("component") == F.col("_largest"), F.array(F.pmod(F.xxhash64("node"), blocks).cast("int"))).otherwise(F.sequence(F.lit(0), blocks - 1)))
     )
+    large = large.withColumn("region", F.xxhash64("key", "block")).withColumn("batch", F.pmod("region", F.lit(batches))).select(*fields)
+    open_regions = whole.union(large).repartition(batches, "batch")
 
     def crossing(frame: pd.DataFrame) -> pd.DataFrame:
-        c = {x: frame[x].to_numpy() for x in ("node", "end", "most", "component", "home")}
+        c = {x: frame[x].to_numpy() for x in ("node", "end", "most", "component", "home", "points")}
         packed = frame["packed"].to_numpy()
-        a, b = crossing_pairs(frame["region"].to_numpy(), c | {"n": packed >> 32, "place": packed & 0xFFFFFFFF}, percent)
-        return pd.DataFrame({"a": a, "b": b})
-
-    pairs = open_regions.groupBy("batch").applyInPandas(crossing, "a long, b long").distinct().join(near.select("a", "b"), ["a", "b"], "left_anti")
-    more = written(measured(written(pairs, "pairs"), texts, size).filter(linked).select("a", "b"), "more")
-    labels = components(links.union(more))
+        node, home = crossing_visits(frame["region"].to_numpy(), c | {"n": packed >> 32, "place": packed & 0xFFFFFFFF}, percent)
+        return pd.DataFrame({"node": node, "home": home})
+
+    ends = (F.least("node", "home").alias("a"), F.greatest("node", "home").alias("b"))
+    visits = written(open_regions.groupBy("batch").applyInPandas(crossing, "node long, home long").distinct().select("node", "home", *ends), "visits")
+    more = written(measured(visits.select("a", "b").distinct().join(near.select("a", "b"), ["a", "b"], "left_anti"), texts, size), "more")
+    links = links.union(more.filter(linked).select("a", "b"))
+    # a replicated document joins the members in its window; of a cell in one component that it is linked with there is nothing more to find
+    apart = (1 - F.col("common") / F.col("total")).cast("float")
+    guests = visits.join(more.union(near.select("a", "b", "common", "total")).withColumn("distance", apart), ["a", "b"])
+    guests = guests.join(of_point.select("node", "n", "component"), "node").join(cells, "home")
+    radius = (100 - percent) / 100 + 1e-6
+    guests = guests.filter((F.col("points") > 1) & (F.col("mixed") | ~linked) & (F.col("distance") <= F.col("radius") + radius))
+    guests = written(guests.select("home", "node", "component", "distance", "n"), "guests")
+    nearest = guests.groupBy("home").agg(F.min("distance").alias("_from"), F.max("distance").alias("_to"))
+    hosts = of_point.join(nearest, "home").filter((F.col("distance") >= F.col("_from") - radius) & (F.col("distance") <= F.col("_to") + radius))
+    labels = components(links.union(written(joined_in_cells(hosts, guests, texts, size, percent), "replicated")))
 
     of_node = written(found.filter("node is not null").groupBy("node").agg(F.min("_doc").alias("_least")).join(labels, "node", "left").select("node", "_least", F.coalesce("component", "node").alias("component")), "nodes")
     least = of_node.groupBy("component").agg(F.min("_least").alias("_id"))

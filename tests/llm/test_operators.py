@@ -256,12 +256,12 @@ def model_components(rows, size=5, percent=80):
 @pytest.mark.parametrize("percent,block", [(80, 20_000), (60, 20_000), (80, 3)])
 def test_jaccard_components(docs, rows, percent, block, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
-    monkeypatch.setattr(jaccard_join, "CELL", 100 * block)
+    monkeypatch.setattr(jaccard_join, "CELL", 5 * block)
     out = jaccard_join.jaccard_components(docs, 5, percent)
     assert got(out, "doc_id", "n_shingles", "component_id") == model_components(rows, 5, percent)
 
 
-def test_near_windows_in_large_regions(spark):
+def test_near_windows_in_large_regions(spark, monkeypatch):
     """Many near copies of one text, so that regions are large and several components share them."""
     rng = random.Random(9)
     base = [f"w{i}" for i in range(120)]
@@ -271,8 +271,44 @@ def test_near_windows_in_large_regions(spark):
         for _ in range(rng.choice((0, 1, 2, 3, 4, 6))):
             own[rng.randrange(len(own))] = f"x{rng.randrange(30)}"
         rows.append((i, " ".join(own)))
-    out = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert got(out, "doc_id", "n_shingles", "component_id") == model_components(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for block, cell in ((20_000, 100_000), (10, 500), (7, 10**6)):
+        monkeypatch.setattr(jaccard_join, "BLOCK", block)
+        monkeypatch.setattr(jaccard_join, "CELL", cell)
+        assert got(jaccard_join.jaccard_components(df), "doc_id", "n_shingles", "component_id") == model_components(rows)
+
+
+def test_boundary_documents_are_replicated(spark, monkeypatch):
+    """Chains of texts, each a little different from the last: cells are cut out of them and links lie over their boundaries."""
+    rng = random.Random(15)
+    rows = []
+    for chain in range(3):
+        own = [f"c{chain}w{i}" for i in range(100)]
+        for i in range(40):
+            rows.append((len(rows), " ".join(own)))
+            for _ in range(rng.choice((1, 1, 2, 3))):
+                own[rng.randrange(100)] = f"x{rng.randrange(10**6)}"
+    seen = []
+    plain = jaccard_join.joined_in_cells
+
+    def spy(members, visitors, *rest):
+        seen.append((members.count(), visitors.count()))
+        return plain(members, visitors, *rest)
+
+    monkeypatch.setattr(jaccard_join, "joined_in_cells", spy)
+    out = got(jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id", "n_shingles", "component_id")
+    assert out == model_components(rows) and len({c for *_, c in out}) < 60
+    assert len(seen) == 2 and seen[1][1] > 0 and seen[1][0] > 0
+
+
+def test_sets_that_share_a_name_stay_apart(spark, monkeypatch):
+    plain = jaccard_join.names_of
+    monkeypatch.setattr(jaccard_join, "names_of", lambda own: (5, plain(own)[1]))
+    rows = [(i, f"text number {i} with some words of its own {i * 7} and more {i}") for i in range(4)] + [(9, None)]
+    shared = spark.createDataFrame([(n, 5, 10 + n // 2) for n in range(4)] + [(9, None, None)], "doc_id long, node long, other long")
+    nodes = {r.doc_id: r.node for r in jaccard_join.distinct_names(shared).collect()}
+    assert nodes == {0: 5, 1: 5, 2: 5 ^ 11, 3: 5 ^ 11, 9: None}
+    assert rows and len({plain(np.array([i], np.uint64)) for i in range(1000)}) == 1000
 
 
 def test_crossing_pairs_of_small_and_large_regions(monkeypatch):
@@ -281,13 +317,21 @@ def test_crossing_pairs_of_small_and_large_regions(monkeypatch):
     region = rng.integers(0, 12, m)
     n = rng.integers(20, 30, m)
     c = {"node": rng.permutation(m), "n": n, "place": rng.integers(0, 5, m), "end": rng.integers(0, 9, m), "most": n - rng.integers(0, 6, m), "component": rng.integers(0, 5, m), "home": rng.integers(0, 40, m)}
+    c["points"] = rng.integers(1, 4, m)
     i, j = (x.ravel() for x in np.meshgrid(np.arange(m), np.arange(m)))
     keep = (i < j) & (region[i] == region[j]) & jaccard_join._allowed(i, j, c, 80)
     want = {(min(a, b), max(a, b)) for a, b in zip(c["node"][i[keep]].tolist(), c["node"][j[keep]].tolist())}
+    visits = set()
+    for x, y in zip(i[keep].tolist(), j[keep].tolist()):
+        x, y = (x, y) if (c["points"][x], c["home"][x]) < (c["points"][y], c["home"][y]) else (y, x)
+        visits.add((int(c["node"][x]), int(c["home"][y])))
     for limit in (500, 32, 3):
         monkeypatch.setattr(jaccard_join, "_NEARBY", limit)
-        a, b = jaccard_join.crossing_pairs(region, c, 80)
-        assert set(zip(a.tolist(), b.tolist())) == want and len(a) == len(want)
+        left, right, own = jaccard_join.crossing_pairs(region, c, 80)
+        a, b = own["node"][left], own["node"][right]
+        assert {(min(x, y), max(x, y)) for x, y in zip(a.tolist(), b.tolist())} == want
+        node, home = jaccard_join.crossing_visits(region, c, 80)
+        assert set(zip(node.tolist(), home.tolist())) == visits and len(node) == len(visits)
 
 
 def test_links_within_a_cell():
@@ -314,7 +358,9 @@ def test_links_within_a_cell():
         return Counter(tuple(sorted(k for k, v in label.items() if v == x)) for x in set(label.values()))
 
     place = {int(x): i for i, x in enumerate(node)}
-    links = jaccard_join.cell_links(node, component, distance, sets, 80)
+    largest = Counter(component.tolist()).most_common(1)[0][0]
+    away = np.flatnonzero(component != largest)
+    links = jaccard_join.cell_links((node[away], component[away], distance[away], [sets[i] for i in away]), (node, component, distance, sets), 80)
     assert all(like(sets[place[a]], sets[place[b]]) >= 0.8 for a, b in links)
     every = [(i, j) for i in range(150) for j in range(i) if like(sets[i], sets[j]) >= 0.8]
     assert groups([(place[a], place[b]) for a, b in links]) == groups(every)
