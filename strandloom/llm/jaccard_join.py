@@ -85,8 +85,10 @@ def names_of(own: np.ndarray) -> tuple[int, int]:
 
 
 def distinct_names(found: DataFrame) -> DataFrame:
-    """node, made of both names: the first, or both where another set has the same first name."""
-    shared = found.filter("node is not null").groupBy("node").agg(F.min("other").alias("_low"), F.max("other").alias("_high")).filter("_low < _high").select("node", "_low")
+    """node, made of both names: the first, or both where another set has the same first name. Few sets ever have, so
+    their list is written and its size decides how it is joined."""
+    shared = found.filter("node is not null").groupBy("node").agg(F.min("other").alias("_low"), F.max("other").alias("_high")).filter("_low < _high")
+    shared = written(shared.select("node", "_low"), "names")
     node = F.when(F.col("other") > F.col("_low"), F.col("node").bitwiseXOR(F.col("other"))).otherwise(F.col("node"))
     return found.join(shared, "node", "left").withColumn("node", node).drop("_low", "other")
 
@@ -394,7 +396,7 @@ def in_cells(of_point: DataFrame, texts: DataFrame, size: int, percent: int) ->
 
 def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row; `_doc` stands for doc_id without nulls."""
-    found = written(distinct_names(points(docs, size, percent)), "points")
+    found = distinct_names(written(points(docs, size, percent), "points"))
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = entries(found).repartition(parts, "key")
