@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
-from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType
+from pyspark.sql.types import ArrayType, IntegerType, LongType
 
 from ..config import KmerConfig
-from .dna import DEGENERATE
+from .dna import DEGENERATE, canonical
 
 _U = np.uint64
 _PLAIN, _BAD = 4, 99
@@ -113,10 +113,16 @@ def text_keys(text: str, config: KmerConfig) -> np.ndarray:
     return keys_of(_CODE[np.frombuffer(text.encode("latin-1"), np.uint8)], config).view(np.int64)
 
 
-def _row_keys(value: pa.Scalar, config: KmerConfig, on_short: str) -> np.ndarray | None:
+def _row_keys(value: pa.Scalar, config: KmerConfig, on_short: str, kind: str | None = None) -> np.ndarray | None:
+    """A stored sequence's keys; a character that is not of the alphabet (of both, where no kind is given) is an error."""
     if not value.is_valid:
         return None
-    codes = _CODE[np.frombuffer(value.as_buffer(), np.uint8)]
+    data = np.frombuffer(value.as_buffer(), np.uint8)
+    codes = _CODE[data]
+    strange = codes >= (_PLAIN if kind == "dna2" else _BAD)
+    if strange.any():
+        c = bytes(data[int(np.argmax(strange)) :])[:4].decode("utf-8", "ignore")[:1]
+        raise SequenceError(f"invalid character '{c}' for {(kind or 'dna4').upper()} type")
     if len(codes) < config.kmer_size:
         if on_short == "error":
             raise SequenceError(f"Query sequence must be at least {config.kmer_size} bases long")
@@ -124,12 +130,12 @@ def _row_keys(value: pa.Scalar, config: KmerConfig, on_short: str) -> np.ndarray
     return keys_of(codes, config).view(np.int64)
 
 
-def key_array(seq: Column, config: KmerConfig, on_short: str = "error") -> Column:
+def key_array(seq: Column, config: KmerConfig, on_short: str = "error", kind: str | None = None) -> Column:
     """array<bigint> of a sequence's keys; null for null. on_short: "error" or "empty"."""
 
     @arrow_udf(ArrayType(LongType()))
     def keys(batch: pa.Array) -> pa.Array:
-        rows = [_row_keys(x, config, on_short) for x in batch]
+        rows = [_row_keys(x, config, on_short, kind) for x in batch]
         lengths = [0 if r is None else len(r) for r in rows]
         offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
         values = np.concatenate([np.zeros(0, np.int64), *(r for r in rows if r is not None)])
@@ -139,8 +145,8 @@ def key_array(seq: Column, config: KmerConfig, on_short: str = "error") -> Colum
     return keys(seq)
 
 
-def shared_count(seq: Column, wanted: Sequence[int] | np.ndarray, config: KmerConfig, on_short: str = "error") -> Column:
-    """How many of the wanted keys a sequence has; the keys never leave the batch."""
+def shared_count(seq: Column, wanted: Sequence[int] | np.ndarray, config: KmerConfig, on_short: str = "error", once: bool = False) -> Column:
+    """How many of the wanted keys a sequence has; the keys never leave the batch. With `once` no plan evaluates it twice for a row."""
     own = np.sort(np.asarray(wanted, np.int64))
 
     @arrow_udf(IntegerType())
@@ -157,16 +163,12 @@ def shared_count(seq: Column, wanted: Sequence[int] | np.ndarray, config: KmerCo
                 out.append(int((own[at] == keys).sum()))
         return pa.array(out, pa.int32())
 
-    return count(seq)
+    return (count.asNondeterministic() if once else count)(seq)
 
 
-def always(seq: Column, value: bool) -> Column:
-    return F.when(seq.isNotNull(), F.lit(value)).cast(BooleanType())
-
-
-def exploded(df: DataFrame, id_column: str, seq_column: str, config: KmerConfig, on_short: str = "empty") -> DataFrame:
+def exploded(df: DataFrame, id_column: str, seq_column: str, config: KmerConfig, on_short: str = "empty", kind: str | None = None) -> DataFrame:
     """(id, key) by the Arrow engine."""
-    return df.select(F.col(id_column), F.explode(key_array(F.col(seq_column), config, on_short)).alias("key"))
+    return df.select(F.col(id_column), F.explode(key_array(F.col(seq_column), config, on_short, kind)).alias("key"))
 
 
 #: Rows (16 bytes each) up to which a table of query keys is sent to all tasks instead of being shuffled.
@@ -181,7 +183,7 @@ def broadcast_if_small(asked: DataFrame) -> DataFrame:
 def key_rows(df: DataFrame, id_column: str, seq_column: str, config: KmerConfig) -> DataFrame:
     """(id, kmer, occurrence from 1) as a plan of built-in functions; ids are distinct. k up to 31 bases and beyond alike."""
     k = config.kmer_size
-    seq = F.translate(F.upper(F.col(seq_column)), "U", "T")
+    seq = canonical(F.col(seq_column), "dna4")
     windows = (
         df.select(F.col(id_column), seq.alias("_s"))
         .filter(F.length("_s") >= k)

@@ -60,21 +60,44 @@ class FrequentKeys:
         self.identity = (table, column, config.kmer_size, config.occur_bitlen, config.max_appearance_rate, config.max_appearance_nrow)
         self.keys, self.count = keys, count
 
-    def of(self, wanted: np.ndarray) -> set[int]:
-        """Those of a query's keys that are frequent."""
-        if not len(wanted):
-            return set()
-        return {r.uintkey for r in self.keys.filter(F.col("uintkey").isin([int(x) for x in wanted])).collect()}
+    def of(self, wanted: np.ndarray, batch: int = 10_000) -> set[int]:
+        """Those of a query's keys that are frequent, asked for a batch at a time."""
+        out: set[int] = set()
+        for low in range(0, len(wanted), batch):
+            asked = [int(x) for x in wanted[low : low + batch]]
+            out |= {r.uintkey for r in self.keys.filter(F.col("uintkey").isin(asked)).collect()}
+        return out
+
+
+#: Frequent keys that all sessions of a store share, by the store's root.
+_shared: dict[str, FrequentKeys] = {}
 
 
 class Session:
-    """What one user keeps between queries. `parallel` is a second handle that other sessions could share."""
+    """What one user keeps between queries, and `parallel`, the frequent keys that all sessions of a store share."""
 
     def __init__(self, spark: SparkSession, config: KmerConfig | None = None, store: Store | None = None):
         self.spark, self.config, self.store = spark, config or KmerConfig(), store or Store(spark)
         self.queries, self.thresholds = LruCache(), LruCache()
         self.loaded: FrequentKeys | None = None
-        self.parallel: FrequentKeys | None = None
+        self.listeners: list[Callable[[], None]] = []
+
+    @property
+    def parallel(self) -> FrequentKeys | None:
+        return _shared.get(self.store.root)
+
+    def frequent(self) -> FrequentKeys | None:
+        """The loaded keys that searches use: the session's own, else the shared ones; with
+        force_use_parallel_highfreq_kmer_cache the shared ones alone. Shared keys count only if they fit the settings."""
+        own = None if self.config.force_use_parallel_highfreq_kmer_cache else self.loaded
+        if own is not None or self.parallel is None:
+            return own
+        c = self.config
+        return self.parallel if self.parallel.identity[2:] == (c.kmer_size, c.occur_bitlen, c.max_appearance_rate, c.max_appearance_nrow) else None
+
+    def _changed(self) -> None:
+        for listener in self.listeners:
+            listener()
 
     def set(self, **changes: Any) -> KmerConfig:
         """Changes settings and drops what they invalidate; a refused change leaves all as it was."""
@@ -87,6 +110,7 @@ class Session:
         if changed & {"kmer_size", "max_appearance_rate", "max_appearance_nrow", "occur_bitlen"} and self.loaded:
             warnings.warn("settings changed: the loaded frequent keys are dropped", stacklevel=2)
             self._drop()
+        self._changed()
         return self.config
 
     def _drop(self) -> None:
@@ -97,17 +121,31 @@ class Session:
 
     def query_keys(self, text: str) -> np.ndarray:
         c = self.config
-        return self.queries.get((text, c.kmer_size, c.occur_bitlen), lambda: text_keys(text, c), c.query_kmer_cache_max_entries)
+        keys = self.queries.get((text, c.kmer_size, c.occur_bitlen), lambda: text_keys(text, c), c.query_kmer_cache_max_entries)
+        self._changed()
+        return keys
 
     def threshold(self, text: str) -> int:
         """Shared keys that a match needs: the larger of min_score and the share of the query's keys (rounded up
         in double precision); with frequent keys loaded, less the query's frequent keys, but 1 at least."""
-        c = self.config
-        return self.thresholds.get((text, c, self.loaded.identity if self.loaded else None), lambda: self._threshold(self.query_keys(text)), c.actual_min_score_cache_max_entries)
+        c, frequent = self.config, self.frequent()
+        least = self.thresholds.get((text, c, frequent.identity if frequent else None), lambda: self._threshold(self.query_keys(text)), c.actual_min_score_cache_max_entries)
+        self._changed()
+        return least
+
+    def free_queries(self) -> int:
+        n = self.queries.free()
+        self._changed()
+        return n
+
+    def free_thresholds(self) -> int:
+        n = self.thresholds.free()
+        self._changed()
+        return n
 
     def _threshold(self, keys: np.ndarray) -> int:
-        base = threshold(len(keys), self.config)
-        return base if self.loaded is None else max(1, base - len(self.loaded.of(keys)))
+        base, frequent = threshold(len(keys), self.config), self.frequent()
+        return base if frequent is None else max(1, base - len(frequent.of(keys, self.config.highfreq_kmer_cache_load_batch_size)))
 
     # frequent keys
 
@@ -165,8 +203,10 @@ class Session:
         c = self.config
         if self.parallel is not None:
             return self.parallel.identity == (table, column, c.kmer_size, c.occur_bitlen, c.max_appearance_rate, c.max_appearance_nrow)
-        self.parallel = self._load(table, column)
-        return self.parallel is not None
+        loaded = self._load(table, column)
+        if loaded is not None:
+            _shared[self.store.root] = loaded
+        return loaded is not None
 
     def free_parallel(self, table: str, column: str) -> int:
         if self.parallel is None or self.parallel.identity[:2] != (table, column):
@@ -177,10 +217,9 @@ class Session:
     def free_all_parallel(self) -> int:
         if self.parallel is None:
             return 0
-        n = self.parallel.count
-        self.parallel.keys.unpersist()
-        self.parallel = None
-        return n
+        shared = _shared.pop(self.store.root)
+        shared.keys.unpersist()
+        return shared.count
 
     def cache_summary(self) -> DataFrame:
         """One row per cache, with its hit rate."""

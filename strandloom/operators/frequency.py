@@ -90,7 +90,8 @@ def undo(table: str, column: str, store: Store) -> DropResult:
     analyses = store.analyses().filter(mine).count()
     keys = store.frequent().filter(mine).count()
     for what in ("frequent", "analyses"):
-        store.delete(store.analysis_path(what, table, column))
+        store.remove(store.analysis_path(what, table, column))
+    store.changed()
     return DropResult(analyses, keys, _BYTES_PER_KEY * keys)
 
 
@@ -101,27 +102,29 @@ def analysis_status(store: Store) -> DataFrame:
     return store.analyses().join(counts, key, "left").select(*key, "max_appearance_rate", "max_appearance_nrow", "analysis_timestamp", F.coalesce("_n", F.lit(0)).alias("highfreq_kmer_count"))
 
 
-def delete_tempfiles(store: Store, younger_than_s: int = 60) -> DataFrame:
-    """Removes unfinished writes of the store that are older than a minute: deleted_count, deleted_size, error_count."""
+def delete_tempfiles(store: Store, younger_than_s: float = 60) -> DataFrame:
+    """Removes versions that no reader needs: those whose write was never finished, and those that a newer one
+    has replaced. A version in which anything changed within the last minute stays: its writer or its readers may be at
+    work. deleted_count, deleted_size, error_count."""
     count = size = errors = 0
     edge = (time.time() - younger_than_s) * 1000
 
     def walk(path: str, depth: int) -> None:
         nonlocal count, size, errors
-        for name, changed, folder in store.children(path):
-            if not folder:
-                continue
-            own = f"{path}/{name}"
-            if name.endswith(".new"):
-                if changed <= edge:
-                    try:
-                        n = store.size(own)
-                        store.delete(own)
-                        count, size = count + 1, size + n
-                    except Exception:
-                        errors += 1
-            elif depth:
-                walk(own, depth - 1)
+        versions = store.versions(path)
+        current = store.current(path)
+        for version, _ in versions:
+            if version != current and store.newest(version) <= edge:
+                try:
+                    n = store.size(version)
+                    store.remove(version)
+                    count, size = count + 1, size + n
+                except Exception:
+                    errors += 1
+        if not versions and depth:
+            for name, _, folder in store.children(path):
+                if folder:
+                    walk(f"{path}/{name}", depth - 1)
 
     walk(store.root, 4)
     return store.spark.createDataFrame([(count, size, errors)], "deleted_count int, deleted_size bigint, error_count int")

@@ -40,7 +40,8 @@ def search(df: DataFrame, seq_column: str, query: str, session: Session | KmerCo
     if not len(keys):
         return df.withColumn("score", F.lit(0)).filter(F.lit(False))
     least = session.threshold(query) if isinstance(session, Session) else threshold(len(keys), config)
-    return df.withColumn("score", shared_count(F.col(seq_column), keys, config, on_short)).filter(F.col("score") >= least)
+    # not repeated by the optimiser in the filter: each sequence is scored once
+    return df.withColumn("score", shared_count(F.col(seq_column), keys, config, on_short, once=True)).filter(F.col("score") >= least)
 
 
 def search_topk(df: DataFrame, seq_column: str, query: str, session: Session | KmerConfig, k: int, id_column: str, on_short: str = "error") -> DataFrame:

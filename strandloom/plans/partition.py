@@ -2,7 +2,8 @@
 
 A table is a folder of Parquet files under a root; its DNA columns are marked in
 the schema's metadata. Partitioning deals rows by a hash of the one DNA column
-and swaps the folders at the end, so a reader sees the old or the new layout.
+into a new version of the table (`store`), so a reader sees the old or the new layout and
+a write that is cut off changes nothing.
 Frequency analyses are kept by table name and so outlive the change.
 """
 
@@ -41,11 +42,16 @@ class Tables:
         self.store.replace(self.path(table), df)
 
     def read(self, table: str) -> DataFrame:
-        df = self.spark.read.parquet(self.path(table))
-        return df.drop(PART)
+        return self.spark.read.parquet(self._current(table)).drop(PART)
+
+    def _current(self, table: str) -> str:
+        path = self.store.current(self.path(table))
+        if path is None:
+            raise TableError(f'table "{table}" does not exist')
+        return path
 
     def is_partitioned(self, table: str) -> bool:
-        return any(name.startswith(f"{PART}=") for name, _, folder in self.store.children(self.path(table)) if folder)
+        return any(name.startswith(f"{PART}=") for name, _, folder in self.store.children(self._current(table)) if folder)
 
     def _checked(self, table: str) -> str:
         if self.is_partitioned(table):
@@ -62,24 +68,15 @@ class Tables:
             raise TableError("partition_count must be at least 1")
         column = self._checked(table)
         df = self.read(table).withColumn(PART, F.pmod(F.xxhash64(column), F.lit(count)).cast("int"))
-        self._swap(table, lambda path: df.repartition(count, PART).write.partitionBy(PART).parquet(path))
+        self.store.write(self.path(table), lambda path: df.repartition(count, PART).write.partitionBy(PART).parquet(path))
 
     def unpartition(self, table: str) -> None:
         if not self.is_partitioned(table):
             raise TableError(f'table "{table}" is not a partitioned table')
-        df = self.read(table)
-        self._swap(table, lambda path: df.write.parquet(path))
-
-    def _swap(self, table: str, write) -> None:
-        path = self.path(table)
-        beside = f"{path}.new"
-        self.store.delete(beside)
-        write(beside)
-        self.store.delete(path)
-        self.store.rename(beside, path)
+        self.store.replace(self.path(table), self.read(table))
 
     def partition_sizes(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(table)).groupBy(PART).count()
+        return self.spark.read.parquet(self._current(table)).groupBy(PART).count()
 
     def drop(self, table: str) -> int:
         """Drops a table and its indexes; returns how many indexes went."""
@@ -87,3 +84,16 @@ class Tables:
 
         self.store.delete(self.path(table))
         return drop_indexes_of(table, self.store)
+
+    def drop_schema(self, schema: str) -> int:
+        """Drops all tables named `schema.…` and the indexes of all such names; returns how many indexes went."""
+        from .index import drop_indexes_of
+
+        names = {n for n, _, folder in self.store.children(self.store.path("tables")) if folder}
+        names |= {r.table_name for r in self.store.indexes().select("table_name").distinct().collect()}
+        gone = 0
+        for name in sorted(n for n in names if n.startswith(f"{schema}.")):
+            self.store.remove(self.path(name))
+            gone += drop_indexes_of(name, self.store)
+        self.store.changed()
+        return gone

@@ -7,7 +7,6 @@ The tables hold no DNA, so two views derive it from every whole text of
 from __future__ import annotations
 
 import atexit
-import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -36,14 +35,28 @@ def documents(spark: SparkSession, sf_dir: str, kind: str = "dna2") -> DataFrame
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), F.translate(letters, LETTERS, target).alias("seq"))
 
 
+_stores: list[Store] = []
+
+
 def store(spark: SparkSession) -> Store:
-    """A store of its own for one query, in the shared folder; local only where the session names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """A store of its own for one query, in the shared folder; it goes when the driver ends. Where the session names no
+    folder, a local one is taken if Spark runs on this machine alone, else it is an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        local = tempfile.mkdtemp(prefix="strandloom-store-")
-        atexit.register(shutil.rmtree, local, ignore_errors=True)
-        root = f"file://{local}"
-    return Store(spark, f"{root.rstrip('/')}/store-{uuid.uuid4().hex}")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="strandloom-store-")
+    _stores.append(Store(spark, f"{root.rstrip('/')}/store-{uuid.uuid4().hex}"))
+    return _stores[-1]
+
+
+@atexit.register
+def _clean() -> None:
+    for s in _stores:
+        try:
+            s.remove(s.root)
+        except Exception:  # the session may be gone already
+            return
 
 
 # the same views and steps in SQL
@@ -427,16 +440,6 @@ def index_search_hf_excluded(spark, sf_dir):
     return index.search_index(QUERY, "documents", "seq", _OUT, s)
 
 
-@_query("SELECT 'b' AS index_name, 12 AS kmer_size, 4 AS occur_bitlen")
-def index_select(spark, sf_dir):
-    """Of two indexes on one column the one with the session's settings is taken."""
-    df, s = documents(spark, sf_dir), store(spark)
-    for name, config in (("a", KmerConfig(kmer_size=7, occur_bitlen=2)), ("b", KmerConfig(kmer_size=12, occur_bitlen=4))):
-        index.build_index(df, name, "documents", "id", "seq", config, s, on_short="empty")
-    chosen = index.select_index("documents", "seq", KmerConfig(kmer_size=12, occur_bitlen=4), s)
-    return s.indexes().filter(F.col("index_name") == chosen).select("index_name", "kmer_size", "occur_bitlen")
-
-
 @_query(_batch_sql())
 def index_search_many(spark, sf_dir):
     s = store(spark)
@@ -444,15 +447,6 @@ def index_search_many(spark, sf_dir):
     return index.search_many(_items(spark, sf_dir), "query_id", "query", "by_seq", _BATCH, s)
 
 
-@_query("SELECT * FROM (VALUES ('query-kmer', 2, 1, 2, CAST(1 AS DOUBLE) / 3), ('actual_min_score', 1, 0, 1, CAST(0 AS DOUBLE))) v(cache_type, total_entries, total_hits, total_misses, hit_rate)")
-def cache_summary(spark, sf_dir):
-    session = caches.Session(spark, K8, store(spark))
-    session.query_keys(QUERY)
-    session.query_keys(QUERY4)
-    session.threshold(QUERY)
-    return session.cache_summary()
-
-
 @_query(_simple("SELECT id, seq FROM src"))
 def partition_roundtrip(spark, sf_dir):
     tables = partition.Tables(store(spark))

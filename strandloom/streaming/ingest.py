@@ -14,13 +14,16 @@ from ..plans.store import Store
 
 def ingest(stream: DataFrame, name: str, id_column: str, seq_column: str, config: KmerConfig, store: Store, checkpoint: str, **trigger) -> StreamingQuery:
     path = store.path("stream_index", name)
+    kind = stream.schema[id_column].dataType.simpleString()
+    store.replace(store.path("stream_registry", name), store.spark.createDataFrame([(name, kind)], "index_name string, id_type string"))
 
     def add(batch: DataFrame, number: int) -> None:
-        rows = exploded(batch, id_column, seq_column, config).select("key", F.col(id_column).cast("long").alias("id"))
+        rows = exploded(batch, id_column, seq_column, config).select("key", F.col(id_column).alias("id"))
         rows.sortWithinPartitions("key").write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def read_stream_index(name: str, store: Store) -> DataFrame:
-    return store.spark.read.schema("key bigint, id bigint, batch long").parquet(store.path("stream_index", name))
+    kind = store.spark.read.parquet(store.current(store.path("stream_registry", name))).first().id_type
+    return store.spark.read.schema(f"key bigint, id {kind}, batch long").parquet(store.path("stream_index", name))

@@ -173,8 +173,11 @@ def test_loaded_frequent_keys(spark, store):
     with pytest.warns(UserWarning):
         assert s.free_frequent("other", "seq") == 0
     assert s.free_frequent("t", "seq") == 6 and s.free_all_frequent() == 0
-    assert s.threshold("AAAACTGT") == plain
-    assert s.load_frequent("t", "seq") and s.free_all_frequent() == 1 and s.free_all_parallel() == 6
+    assert s.threshold("AAAACTGT") < plain  # the shared ones stand in
+    other = caches.Session(spark, c.with_(force_use_parallel_highfreq_kmer_cache=True), store)
+    assert other.threshold("AAAACTGT") < plain and other.load_frequent("t", "seq") and s.load_frequent("t", "seq")
+    assert other.free_all_parallel() == 6 and other.threshold("AAAACTGT") == plain and s.threshold("AAAACTGT") < plain
+    assert s.free_all_frequent() == other.free_all_frequent() == 1 and s.threshold("AAAACTGT") == plain and s.free_all_parallel() == 0
     for change, text in (({"occur_bitlen": 8}, "occur_bitlen does not match.*current setting 8, required by metadata 4"), ({"max_appearance_rate": 0.8}, "current setting 0.8000, required by metadata 0.2500"), ({"max_appearance_nrow": 10}, "max_appearance_nrow does not match")):
         s.config = c.with_(**change)
         with pytest.raises(SettingError, match=text):
