@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 NULL_ID = -(2**63)
 _U = np.uint64
 _written: list[tuple[SparkSession, str]] = []
+_local: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,11 +25,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share. One of our own is set only where the session names none (tests)."""
+    """The folder that driver and executors share. Where the session names none, a local one is taken if Spark runs on
+    this machine alone (tests); on a cluster that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="strandloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        if not _local:
+            _local.append("file://" + tempfile.mkdtemp(prefix="strandloom-"))
+        root = _local[0]
     return root.rstrip("/")
 
 
