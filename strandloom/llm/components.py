@@ -13,7 +13,8 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round gives a node the least label among its neighbours and then the
     label of that label, so that long chains shrink by half; rounds go on until
-    nothing changes. Each round is a written table.
+    nothing changes. Each round is a written table. No links: no rows. Repeated links, both directions and loops (a, a)
+    count once; null ends have no place here.
     """
     both = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
     labels = written(both.groupBy("a").agg(F.min("b").alias("_least")).select(F.col("a").alias("node"), F.least("a", "_least").alias("component")), "labels")

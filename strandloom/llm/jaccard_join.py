@@ -127,30 +127,32 @@ def prefix_of(own: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.n
 
 
 def points(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, _doc, n_shingles, node and other, two names (null for an empty set), prefix and its end of every row."""
+    """doc_id, _doc, _key (a hash of the text), n_shingles, node and other, two names (null for an empty set), prefix and its end of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, size))  # at most MOST_FREQUENT numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = shared.value
         for batch in batches:
-            sets = shingle_sets(*text_bytes(batch.column(2)), size)
+            sets = shingle_sets(*text_bytes(batch.column(3)), size)
             prefixes = [prefix_of(s, frequent, percent) if len(s) else (None, None) for s in sets]
             names = [names_of(s) if len(s) else (None, None) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     batch.column(1),
+                    batch.column(2),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([a for a, _ in names], pa.int64()),
                     pa.array([b for _, b in names], pa.int64()),
                     pa.array([None if p is None else p.view(np.int64) for p, _ in prefixes], pa.list_(pa.int64())),
                     pa.array([e for _, e in prefixes], pa.int64()),
                 ],
-                names=["doc_id", "_doc", "n_shingles", "node", "other", "prefix", "end"],
+                names=["doc_id", "_doc", "_key", "n_shingles", "node", "other", "prefix", "end"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", id_key().alias("_doc"), F.col("text").alias("_text")).mapInArrow(run, f"doc_id {kind}, _doc long, n_shingles long, node long, other long, prefix array<long>, end long")
+    given = docs.select("doc_id", id_key().alias("_doc"), F.xxhash64("text").alias("_key"), F.col("text").alias("_text"))
+    return given.mapInArrow(run, f"doc_id {kind}, _doc long, _key long, n_shingles long, node long, other long, prefix array<long>, end long")
 
 
 def entries(found: DataFrame) -> DataFrame:
@@ -394,8 +396,8 @@ def in_cells(of_point: DataFrame, texts: DataFrame, size: int, percent: int) ->
     return joined_in_cells(mixed, mixed.filter("component <> _largest"), texts, size, percent)
 
 
-def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row; `_doc` stands for doc_id without nulls."""
+def joined(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The points of all rows, and of each node its component (a node) and the least id in it."""
     found = distinct_names(written(points(docs, size, percent), "points"))
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -483,10 +485,15 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
 
     of_node = written(found.filter("node is not null").groupBy("node").agg(F.min("_doc").alias("_least")).join(labels, "node", "left").select("node", "_least", F.coalesce("component", "node").alias("component")), "nodes")
     least = of_node.groupBy("component").agg(F.min("_least").alias("_id"))
-    of_node = written(of_node.join(least, "component").select("node", "_id"), "ids")
+    return found, written(of_node.join(least, "component").select("node", "component", "_id"), "ids")
+
+
+def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row; `_doc` stands for doc_id without nulls."""
+    found, of_node = joined(docs, size, percent)
     return (
         found.select("doc_id", "_doc", "n_shingles", "node")
-        .join(of_node, "node", "left")
+        .join(of_node.select("node", "_id"), "node", "left")
         .select("doc_id", "_doc", "n_shingles", F.coalesce("_id", "_doc").alias("component_id"))
     )
 
@@ -497,7 +504,15 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The document with the least id of every component; rows that share that id are all kept."""
-    kept = jaccard_components(docs, size, percent).filter("_doc = component_id").select("_doc").distinct()
-    rows = docs.select(id_key().alias("_doc"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    return rows.join(kept, "_doc", "left_semi").select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
+    """One row of every component: that with the least id, of several with that id one text's, of repeated rows one. Rows without
+    words link with nothing and all stay. A null doc_id is the least. Other columns, whatever their names, pass through."""
+    found, of_node = joined(docs, size, percent)
+    least = found.join(of_node.select("node", "component"), "node").groupBy("component").agg(F.min(F.struct("_doc", "node", "_key")).alias("_k"))
+    copies = found.filter("node is not null").groupBy("_doc", "_key").agg(F.count(F.lit(1)).alias("_n"))
+    kept = least.select("_k._doc", "_k._key").join(copies, ["_doc", "_key"]).union(found.filter("node is null").select("_doc", "_key", F.lit(1).cast("long")).distinct())
+    kept = written(kept, "kept")
+    rows = docs.select(id_key().alias("_doc"), F.xxhash64("text").alias("_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    out = rows.join(kept.filter("_n = 1"), ["_doc", "_key"], "left_semi")
+    if not kept.filter("_n > 1").isEmpty():
+        out = out.union(rows.join(kept.filter("_n > 1"), ["_doc", "_key"], "left_semi").dropDuplicates(["_doc", "_key"]))
+    return out.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])

@@ -228,6 +228,25 @@ def test_winnowing_gives_every_window_to_one_anchor_and_equal_windows_the_same()
 # near duplicates
 
 
+def plain_groups(rows, size=5, percent=80):
+    """Numbers of the rows of each component; a row without words is one."""
+    ids = [(k, t) for k, (_, t) in enumerate(rows)]
+    least = defaultdict(list)
+    for (k, _, c), n in model_components(ids, size, percent).items():
+        least[c].append(k)
+    return list(least.values())
+
+
+def test_components_of_no_links_and_of_odd_ones(spark):
+    from strandloom.llm.components import components
+
+    links = "a long, b long"
+    assert components(spark.createDataFrame([], links)).count() == 0
+    chain = [(i, i + 1) for i in range(1, 40)] + [(3, 2), (3, 2), (50, 50), (60, 61)]
+    out = {r.node: r.component for r in components(spark.createDataFrame(chain, links)).collect()}
+    assert out == {**{i: 1 for i in range(1, 41)}, 50: 50, 60: 60, 61: 60}
+
+
 def model_components(rows, size=5, percent=80):
     low = {c: c + 32 for c in range(65, 91)}
     sets = []
@@ -370,7 +389,21 @@ def test_one_of_each(docs, rows, empty):
     kept = jaccard_join.one_of_each(docs)
     assert kept.columns == docs.columns
     want = {(i, n, c) for i, n, c in model_components(rows) if (i if i is not None else -(2**63)) == c}
-    assert {r.doc_id for r in kept.collect()} == {i for i, _, _ in want}
+    out = kept.collect()
+    assert {r.doc_id for r in out} == {i for i, _, _ in want}
+    # one row of each component: rows with null and repeated ids too
+    groups = plain_groups(rows)
+    texts = Counter((r.doc_id, r.text) for r in out)
+    key = lambda i: -(2**63) if i is None else i
+    for group in groups:
+        members = [rows[k] for k in group]
+        held = [m for m in set(members) if m in texts]
+        if not (members[0][1] or "").split():
+            assert texts[members[0]] >= 1
+        else:
+            least = min(key(i) for i, _ in members)
+            assert any(key(i) == least for i, _ in held)
+    assert len(out) == sum(1 for g in groups)
     assert jaccard_join.jaccard_components(empty).count() == 0 and jaccard_join.one_of_each(empty).count() == 0
 
 
