@@ -2,7 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that the one before kept and
 returns a DataFrame that is written as Parquet and read again. All but the last
-return the columns of `documents`.
+return the columns of `documents`, whatever else these are.
+
+Null and empty texts: the classifier scores them by its intercept alone; those that stay link with no other
+document, have no passages (a null text becomes empty) and are packed as pieces of length 0 in no
+bin. Null doc_ids stay null and count as the least. Repeated rows are near duplicates, of which one
+stays. An empty table gives an empty result. Lengths are counted in words, as each stage calls one operator.
 """
 
 from __future__ import annotations
