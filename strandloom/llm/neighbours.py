@@ -12,8 +12,8 @@ neighbours are found by brute force over all rows, and visits are widened until
 the mean recall reaches `RECALL`. Every query goes on beyond that until the leaves it
 has visited hold k candidates (all of them, if there are fewer), so each gets min(k, rows - 1) results.
 
-Leaves are kept in bundles (neighbours in the tree) and each bundle is one group; one with more than
-`BLOCK` vectors or queries is dealt out in blocks of so many, so a leaf with any share of all rows
+Leaves are kept in about `BUNDLES` bundles (neighbours in the tree, at most 60 leaves each, so that rows per query do
+not grow with the table) and each bundle is one group; one with more than `BLOCK` vectors or queries is dealt out in blocks of so many, so a leaf with any share of all rows
 falls into many tasks, and only such bundles are copied. Each block gives at most k rows
 per query. The tree and the counts of its leaves are sent to all tasks.
 
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import table, written
 
 K = 20
-LEAVES, SAMPLE_PER_LEAF, FANOUT, BUNDLE, BLOCK = 4096, 64, 8, 8, 4096
+LEAVES, SAMPLE_PER_LEAF, FANOUT, BUNDLES, BLOCK = 4096, 64, 8, 32, 8192
 CALIBRATION, RECALL = 200, 0.96
 
 
@@ -173,6 +173,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, leaves: int | Non
     sample = df.orderBy(F.xxhash64("id"), "id").limit(leaves * SAMPLE_PER_LEAF).select("v").toArrow()  # a bounded number of vectors
     tree = spark.sparkContext.broadcast(Tree(augmented(matrix(sample.column(0).combine_chunks(), dimension), square), leaves))
     n_leaves = tree.value.n_leaves
+    per_bundle = min(60, -(-n_leaves // BUNDLES))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,17 +228,17 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, leaves: int | Non
             for q in x:
                 own: dict[int, int] = {}
                 for leaf in tree.value.visit(q, visits, sizes, k + 1):  # one of them may be the query itself
-                    own[leaf // BUNDLE] = own.get(leaf // BUNDLE, 0) | 1 << leaf % BUNDLE
+                    own[leaf // per_bundle] = own.get(leaf // per_bundle, 0) | 1 << leaf % per_bundle
                 bundles.append(own)
             at = np.repeat(np.arange(len(x)), [len(b) for b in bundles])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array([b for own in bundles for b in own], pa.int32()), pa.array([m for own in bundles for m in own.values()], pa.int32())],
+                [batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array([b for own in bundles for b in own], pa.int32()), pa.array([m for own in bundles for m in own.values()], pa.int64())],
                 names=["id", "v", "bundle", "mask"],
             )
 
     kind = df.schema["v"].dataType.simpleString()
-    planned = written(asked.repartition("id").mapInArrow(plan, f"id long, v {kind}, bundle int, mask int"), "visits")
-    held = indexed.withColumn("bundle", F.floor(F.col("leaf") / BUNDLE).cast("int"))
+    planned = written(asked.repartition("id").mapInArrow(plan, f"id long, v {kind}, bundle int, mask long"), "visits")
+    held = indexed.withColumn("bundle", F.floor(F.col("leaf") / per_bundle).cast("int"))
     # blocks of rows and of queries of each bundle: 1 but for those with more than BLOCK; at most a row for each bundle
     counts = held.groupBy("bundle").count().select("bundle", F.ceil(F.col("count") / BLOCK).cast("int").alias("row_blocks"))
     counts = counts.join(planned.groupBy("bundle").count().select("bundle", F.ceil(F.col("count") / BLOCK).cast("int").alias("query_blocks")), "bundle")
@@ -257,7 +258,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, leaves: int | Non
     def block(rows: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         out = {"query_id": [], "vec_id": [], "score": []}
         if len(rows) and len(asks):
-            x, ids, bit = np.stack(rows.v.to_numpy()).astype(np.float64), rows.id.to_numpy(), 1 << (rows.leaf.to_numpy() % BUNDLE)
+            x, ids, bit = np.stack(rows.v.to_numpy()).astype(np.float64), rows.id.to_numpy(), np.int64(1) << (rows.leaf.to_numpy() % per_bundle).astype(np.int64)
             q_all = np.stack(asks.v.to_numpy()).astype(np.float64)
             for low in range(0, len(asks), 512):
                 scores = q_all[low : low + 512] @ x.T
