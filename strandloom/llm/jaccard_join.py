@@ -44,6 +44,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -126,9 +127,8 @@ def prefix_of(own: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.n
     return own[:length], int(length > early) << 32 | int(own[length - 1]) >> 32
 
 
-def points(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def points(docs: DataFrame, shared: Broadcast, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, _doc, _key (a hash of the text), n_shingles, node and other, two names (null for an empty set), prefix and its end of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, size))  # at most MOST_FREQUENT numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = shared.value
@@ -155,8 +155,8 @@ def points(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Data
     return given.mapInArrow(run, f"doc_id {kind}, _doc long, _key long, n_shingles long, node long, other long, prefix array<long>, end long")
 
 
-def entries(found: DataFrame) -> DataFrame:
-    """key, node, n, place: a row for each shingle of a point's prefix, once per point and batch."""
+def entries(found: DataFrame, shared: Broadcast, frequent: bool) -> DataFrame:
+    """key, node, n, place: a row for each shingle of a point's prefix, once per point and batch; the frequent shingles' or the others'."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,9 +166,14 @@ def entries(found: DataFrame) -> DataFrame:
             keys = lists.flatten()
             n = batch.column(1).to_numpy()[first]
             place = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            yield pa.RecordBatch.from_arrays(
-                [keys, pa.array(np.repeat(nodes, lengths)), pa.array(np.repeat(n << 32, lengths) | place)], names=["key", "node", "packed"]
-            )
+            keys = keys.to_numpy()
+            wanted = np.zeros(len(keys), bool)
+            if len(shared.value):
+                at = np.minimum(np.searchsorted(shared.value, keys.view(np.uint64)), len(shared.value) - 1)
+                wanted = shared.value[at] == keys.view(np.uint64)
+            wanted = wanted == frequent
+            columns = (keys, np.repeat(nodes, lengths), np.repeat(n << 32, lengths) | place)
+            yield pa.RecordBatch.from_arrays([pa.array(c[wanted]) for c in columns], names=["key", "node", "packed"])
 
     return found.filter("node is not null").select("node", "n_shingles", "prefix").mapInArrow(run, "key long, node long, packed long")
 
@@ -398,14 +403,21 @@ def in_cells(of_point: DataFrame, texts: DataFrame, size: int, percent: int) ->
 
 def joined(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """The points of all rows, and of each node its component (a node) and the least id in it."""
-    found = distinct_names(written(points(docs, size, percent), "points"))
     spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(frequent_shingles(docs, size))  # at most MOST_FREQUENT numbers
+    found = distinct_names(written(points(docs, shared, size, percent), "points"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = entries(found).repartition(parts, "key")
-    regions = dealt.groupBy("key").agg(F.min("node").alias("_first"), F.max("node").alias("_last"), F.count(F.lit(1)).alias("_size")).filter("_first < _last")
     # regions that are not large and have one least point are dealt to one batch: most of their pairs are the same
     spot = F.when(F.col("_size") <= ONE_BATCH, F.col("_first")).otherwise(F.col("key")).alias("spot")
-    members = written(dealt.join(regions.select("key", F.col("_size").alias("size"), spot), "key").select("key", "node", "packed", "size", "spot"), "regions")
+
+    def with_regions(rows: DataFrame, sent: bool) -> DataFrame:
+        regions = rows.groupBy("key").agg(F.min("node").alias("_first"), F.max("node").alias("_last"), F.count(F.lit(1)).alias("_size")).filter("_first < _last")
+        regions = regions.select("key", F.col("_size").alias("size"), spot)
+        return rows.join(F.broadcast(regions) if sent else regions, "key").select("key", "node", "packed", "size", "spot")
+
+    # rows of frequent shingles stay where they are: their regions, at most MOST_FREQUENT, are summed up and sent to them
+    often = with_regions(written(entries(found, shared, True), "often"), True)
+    members = written(with_regions(entries(found, shared, False).repartition(parts, "key"), False).union(often), "regions")
     n, place = F.shiftright("packed", 32), F.col("packed").bitwiseAND(0xFFFFFFFF)
 
     shared = members.groupBy("node").agg(F.count(F.lit(1)).alias("_shared"), F.sum("size").alias("_met"))
