@@ -163,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> np.ndarra
             )
 
     def learn(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["doc_id", "slots", "features"]).drop_duplicates("doc_id")  # of rows that share an id, the same one each time
+        frame = frame.sort_values("doc_id")
         w = train_ftrl([(int(y), np.frombuffer(s, np.int32), np.frombuffer(v, np.float32)) for y, s, v in zip(frame.quality, frame.slots, frame.features)])
         used = np.flatnonzero(w).astype(np.int32)
         return pd.DataFrame({"slots": [used.tobytes()], "weights": [w[used].astype(np.float32).tobytes()]})
@@ -173,6 +173,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> np.ndarra
         .join(F.broadcast(chosen), "doc_id")
         .select("doc_id", F.col("quality").cast("int").alias("quality"), "text")
         .mapInArrow(vectors, "doc_id long, quality int, slots binary, features binary")
+        .groupBy("doc_id", "quality")  # of rows that share an id, however many, the same one each time
+        .agg(F.min(F.struct("slots", "features")).alias("_least"))
+        .select("doc_id", "quality", "_least.slots", "_least.features")
     )
     got = examples.groupBy(F.lit(1).alias("all")).applyInPandas(learn, "slots binary, weights binary").collect()
     w = np.zeros((1 << BITS) + 1, np.float32)
