@@ -179,13 +179,14 @@ def entries(found: DataFrame, shared: Broadcast, frequent: bool) -> DataFrame:
 
 
 def texts_of(docs: DataFrame, chosen: DataFrame, size: int) -> DataFrame:
-    """node and its compressed text, for the nodes and their documents in `chosen` (_doc, node)."""
+    """node and its compressed text, for the nodes and their documents in `chosen` (_doc, _key, node). An id that many texts
+    share (null, for one) meets by the text's hash too, so each text is looked at for its own node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3, write_checksum=False)
         for batch in batches:
-            z = [pack.compress(t.as_py() or b"") for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(z, pa.binary())], names=["_doc", "_z"])
+            z = [pack.compress(t.as_py() or b"") for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(z, pa.binary())], names=["_doc", "_key", "_z"])
 
     def fitting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
@@ -198,9 +199,10 @@ def texts_of(docs: DataFrame, chosen: DataFrame, size: int) -> DataFrame:
                     keep[i] = node in (first, first ^ second)
             yield batch.filter(pa.array(keep))
 
-    packed = docs.select(id_key().alias("_doc"), F.col("text").cast("binary").alias("_text")).mapInArrow(run, "_doc long, _z binary")
-    # a doc_id can stand for several texts: the one of the node is kept
-    joined = packed.join(chosen, "_doc").select("node", "_z").mapInArrow(fitting, "node long, _z binary")
+    given = docs.select(id_key().alias("_doc"), F.xxhash64("text").alias("_key"), F.col("text").cast("binary").alias("_text"))
+    packed = given.mapInArrow(run, "_doc long, _key long, _z binary")
+    # a hash can stand for several texts: the one of the node is kept, of repeated rows one
+    joined = packed.join(chosen, ["_doc", "_key"]).select("node", "_z").mapInArrow(fitting, "node long, _z binary")
     return joined.dropDuplicates(["node"])
 
 
@@ -421,11 +423,11 @@ def joined(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFra
     n, place = F.shiftright("packed", 32), F.col("packed").bitwiseAND(0xFFFFFFFF)
 
     shared = members.groupBy("node").agg(F.count(F.lit(1)).alias("_shared"), F.sum("size").alias("_met"))
-    named = found.filter("node is not null").groupBy("node").agg(F.min("_doc").alias("_doc"), F.min("n_shingles").alias("n"), F.min("end").alias("end"))
+    named = found.filter("node is not null").groupBy("node").agg(F.min("_doc").alias("_doc"), F.min_by("_key", "_doc").alias("_key"), F.min("n_shingles").alias("n"), F.min("end").alias("end"))
     length = F.col("n") + 1 - F.ceil(percent * F.col("n") / 100)
     most = F.col("_shared") + F.col("n") - length
-    chosen = written(named.join(shared, "node").select("node", "_doc", "n", "end", most.alias("most"), (F.col("_met") / length).alias("central")), "members")
-    texts = written(texts_of(docs, chosen.select("_doc", "node"), size), "texts")
+    chosen = written(named.join(shared, "node").select("node", "_doc", "_key", "n", "end", most.alias("most"), (F.col("_met") / length).alias("central")), "members")
+    texts = written(texts_of(docs, chosen.select("_doc", "_key", "node"), size), "texts")
     linked = 100 * F.col("common") >= percent * F.col("total")
 
     # some regions of each point, chosen by hash and by a point's size (to a power of two): distances to their pivots

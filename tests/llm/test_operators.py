@@ -1010,3 +1010,23 @@ def test_packing_equals_a_plain_packer(seed):
 def test_large_bins_are_tried_out_with_all_short_pieces():
     _, _, capacity = packing.Shard().pack(np.full(2000, 35))
     assert sum(map(packing.cost, capacity.tolist())) <= 77_280
+
+
+def test_one_id_for_many_texts(spark):
+    """Each text of a shared id meets its own set alone, and repeated rows of it once."""
+    texts = [" ".join(f"w{i}x{j}" for j in range(30)) for i in range(40)]
+    docs = spark.createDataFrame([(None, t) for t in texts] + [(None, texts[0])] * 5, "doc_id long, text string")
+    shared = spark.sparkContext.broadcast(np.zeros(0, np.uint64))
+    chosen = jaccard_join.points(docs, shared).select("_doc", "_key", "node").distinct()
+    got = jaccard_join.texts_of(docs, chosen, 5)
+    assert got.count() == got.select("node").distinct().count() == len(texts)
+    joins = [line for line in got._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line and "_doc" in line]
+    assert joins and all("_key" in line for line in joins)
+
+
+def test_repeated_rows_train_once(spark):
+    rows = [(i, f"{'good plain words' if i % 2 else 'zz qq xx 77'} {i} " * 8) for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    once = quality.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    again = quality.fit(spark.createDataFrame(rows + rows[1:2] * 300, "doc_id long, text string"), labels)
+    assert (once != 0).any() and (once == again).all()
