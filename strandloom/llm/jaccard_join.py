@@ -21,6 +21,8 @@ Jaccard distance is a metric, and the join works in that space, exactly:
    by more than the link's, it goes no further (triangle inequality). Else it is joined with the members
    whose distances to the pivot differ from its own by at most the link's radius, exactly, as in 3.
 5. All links give the final components.
+6. Links are counted per document within components, by sums where distances to the component's pivot tell that two
+   points are linked or are not, and exactly else (`link_counts`); `one_of_each` leaves this out.
 
 In 3 and 4 members of a cell are dealt out in blocks of at most `CELL` shingles and visitors
 in blocks of as many, so a cell with any share of all points falls into many tasks; each member meets
@@ -39,6 +41,7 @@ as the least id. Extra columns are not read. An empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -317,6 +320,38 @@ def crossing_visits(region: np.ndarray, c: dict[str, np.ndarray], percent: int)
 Points = tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]
 
 
+class Joined(NamedTuple):
+    """The points of all rows; of each node its component (a node) and the least id in it; the nodes that share a region; their texts."""
+
+    found: DataFrame
+    of_node: DataFrame
+    chosen: DataFrame
+    texts: DataFrame
+
+
+class Postings:
+    """Which of some sets hold each shingle."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.count = len(sets)
+        owner = np.repeat(np.arange(len(sets)), [len(own) for own in sets])
+        values = np.concatenate([np.zeros(0, np.uint64), *sets])
+        order = np.argsort(values, kind="stable")
+        self.owner, values = owner[order], values[order]
+        first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+        self.known, self.start = values[first], np.append(first, len(values))
+
+    def common(self, mine: np.ndarray) -> np.ndarray:
+        """How many shingles of `mine` each set holds."""
+        if not len(self.known):
+            return np.zeros(self.count, np.int64)
+        at = np.minimum(np.searchsorted(self.known, mine), len(self.known) - 1)
+        at = at[self.known[at] == mine]
+        length = self.start[at + 1] - self.start[at]
+        places = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length) + np.repeat(self.start[at], length)
+        return np.bincount(self.owner[places], minlength=self.count)
+
+
 def cell_links(visitors: Points, members: Points, percent: int) -> list[tuple[int, int]]:
     """Links that join the components of visitors and members of one Voronoi cell, found exactly; of each: node, component,
     distance to the pivot, set.
@@ -334,23 +369,14 @@ def cell_links(visitors: Points, members: Points, percent: int) -> list[tuple[in
     _, label = np.unique(np.concatenate([component[order], visitors[1]]), return_inverse=True)
     own, guest = label[: len(node)], label[len(node) :]
     label = np.arange(len(label))
-    owner = np.repeat(np.arange(len(node)), n)
-    values = np.concatenate([np.zeros(0, np.uint64), *(sets[i] for i in order)])
-    by_value = np.argsort(values, kind="stable")
-    owner, values = owner[by_value], values[by_value]
-    first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
-    known, start = values[first], np.append(first, len(values))
+    postings = Postings([sets[i] for i in order])
     out: list[tuple[int, int]] = []
     for u in range(len(visitors[0])):
         mine = visitors[3][u]
         low, high = (int(np.searchsorted(distance, visitors[2][u] + r, side)) for r, side in ((-radius, "left"), (radius, "right")))
-        if low >= high or not len(known):
+        if low >= high:
             continue
-        at = np.minimum(np.searchsorted(known, mine), len(known) - 1)
-        at = at[known[at] == mine]
-        length = start[at + 1] - start[at]
-        places = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length) + np.repeat(start[at], length)
-        common = np.bincount(owner[places], minlength=len(node))[low:high]
+        common = postings.common(mine)[low:high]
         linked = np.flatnonzero(100 * common >= percent * (len(mine) + n[low:high] - common)) + low
         for v in linked[label[own[linked]] != label[guest[u]]].tolist():
             x, y = label[guest[u]], label[own[v]]
@@ -361,11 +387,9 @@ def cell_links(visitors: Points, members: Points, percent: int) -> list[tuple[in
     return out
 
 
-def joined_in_cells(members: DataFrame, visitors: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links (a, b) of the visitors of cells with members of other components; of each point: home (the cell), node, component, distance, n.
-
-    Members and visitors of a cell are dealt out in blocks of at most CELL shingles each.
-    """
+def in_blocks(members: DataFrame, visitors: DataFrame, texts: DataFrame, columns: list[str]) -> DataFrame:
+    """Members and visitors of cells (home, node, n and the named columns) with their texts, dealt out in blocks of at most
+    CELL shingles each: a member block and a visitor block meet in one group (home, _x, _y)."""
     blocks = F.ceil(F.sum("n") / CELL).cast("int")
     cells = visitors.groupBy("home").agg(blocks.alias("of_visitors")).join(members.groupBy("home").agg(blocks.alias("of_members")), "home")
     cells = written(cells, "cells")
@@ -373,21 +397,99 @@ def joined_in_cells(members: DataFrame, visitors: DataFrame, texts: DataFrame, s
     def dealt(points: DataFrame, own: str, other: str, visitor: bool) -> DataFrame:
         rows = points.join(cells, "home").withColumn("_own", F.pmod(F.xxhash64("node"), F.col(own))).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
         x, y = ("_other", "_own") if visitor else ("_own", "_other")
-        return rows.select("home", F.col(x).cast("int").alias("_x"), F.col(y).cast("int").alias("_y"), "node", "component", "distance", F.lit(visitor).alias("visitor"))
+        return rows.select("home", F.col(x).cast("int").alias("_x"), F.col(y).cast("int").alias("_y"), "node", *columns, F.lit(visitor).alias("visitor"))
 
-    rows = dealt(members, "of_members", "of_visitors", False).union(dealt(visitors, "of_visitors", "of_members", True)).join(texts, "node")
+    return dealt(members, "of_members", "of_visitors", False).union(dealt(visitors, "of_visitors", "of_members", True)).join(texts, "node")
 
-    def run(cell: pa.Table) -> pa.Table:
-        unpack = zstandard.ZstdDecompressor()
-        is_visitor = cell.column("visitor").to_numpy()
-        sides = []
-        for side in (is_visitor, ~is_visitor):
-            part = cell.filter(pa.array(side))
-            sides.append((*(part.column(c).to_numpy() for c in ("node", "component", "distance")), [own for z in part.column("_z") for own in _sets(z, unpack, size)]))
-        links = cell_links(*sides, percent)
+
+def _sides(block: pa.Table, columns: list[str], size: int) -> list[Points]:
+    """Visitors and members of a group of `in_blocks`: node, the named columns, sets."""
+    unpack = zstandard.ZstdDecompressor()
+    is_visitor = block.column("visitor").to_numpy()
+    sides = []
+    for side in (is_visitor, ~is_visitor):
+        part = block.filter(pa.array(side))
+        sides.append((*(part.column(c).to_numpy() for c in ("node", *columns)), [own for z in part.column("_z") for own in _sets(z, unpack, size)]))
+    return sides
+
+
+def joined_in_cells(members: DataFrame, visitors: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) of the visitors of cells with members of other components; of each point: home (the cell), node, component, distance, n."""
+    columns = ["component", "distance"]
+
+    def run(block: pa.Table) -> pa.Table:
+        links = cell_links(*_sides(block, columns, size), percent)
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
-    return rows.groupBy("home", "_x", "_y").applyInArrow(run, "a long, b long")
+    return in_blocks(members, visitors, texts, columns).groupBy("home", "_x", "_y").applyInArrow(run, "a long, b long")
+
+
+def counted_links(visitors: Points, members: Points, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """With how many documents of the members each visitor links, and of the visitors each member, where distances to the pivot do
+    not tell; of each point: node, documents, `far` (as in `link_counts`), set. Members that are visitors elsewhere
+    are not counted for here: they count for themselves."""
+    limit = 10 * (100 - percent)
+    node, documents, far, sets = members
+    order = np.argsort(far, kind="stable")  # a window of distances is a range
+    node, documents, far = node[order], documents[order], far[order]
+    n = np.array([len(sets[i]) for i in order], np.int64)
+    postings = Postings([sets[i] for i in order])
+    inner = 2 * far <= limit
+    of_visitors, of_members = np.zeros(len(visitors[0]), np.int64), np.zeros(len(node), np.int64)
+    for u, (name, count, at, mine) in enumerate(zip(*visitors)):
+        low = int(np.searchsorted(far, max(limit - at + 1, at - limit - 1), "left"))
+        high = int(np.searchsorted(far, at + limit + 1, "right"))
+        if low >= high:
+            continue
+        common = postings.common(mine)[low:high]
+        linked = np.flatnonzero(100 * common >= percent * (len(mine) + n[low:high] - common)) + low
+        linked = linked[node[linked] != name]
+        of_visitors[u] = documents[linked].sum()
+        of_members[linked[inner[linked]]] += count
+    back = np.empty_like(of_members)
+    back[order] = of_members
+    return of_visitors, back
+
+
+def link_counts(join: Joined, size: int, percent: int) -> DataFrame:
+    """node, n_links: with how many other documents each document of a node links, for the nodes that link with any.
+
+    Links lie within components. Each component has a pivot, its most central point, and `far` is a point's distance
+    to it in thousandths, rounded up. Two points whose `far` together is at most the link's radius are linked (triangle inequality): those
+    are counted by sums over distances, without a look at the pair. Two whose distances differ by more than the radius are not. All
+    other pairs have an end beyond half of the radius; these ends visit their component, in blocks, and links are
+    counted exactly. So cost grows with the square of the number of different texts beyond half of the radius, not of copies.
+    """
+    limit = 10 * (100 - percent)
+    documents = join.found.filter("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("documents"))
+    several = join.of_node.groupBy("component").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("component")
+    own = documents.filter("documents > 1").select("node", (F.col("documents") - 1).alias("n_links"))
+    points = join.of_node.select("node", "component").join(several, "component").join(documents, "node").join(join.chosen.select("node", "n", "central"), "node")
+    points = written(points.select("node", F.col("component").alias("home"), "documents", "n", "central"), "linked")
+    pivots = points.groupBy("home").agg(F.max_by("node", F.struct("central", "node")).alias("p"))
+    apart = measured(points.join(pivots, "home").filter("node <> p").select(F.col("p").alias("a"), F.col("node").alias("b")), join.texts, size)
+    apart = apart.select(F.col("b").alias("node"), F.expr("(1000 * (total - common) + total - 1) div total").alias("far"))
+    points = written(points.join(apart, "node", "left").select("home", "node", "documents", "n", F.coalesce("far", F.lit(0).cast("long")).alias("far")), "far")
+
+    # at most limit + 1 sums a component, and as many sums of sums
+    bins = points.filter(F.col("far") <= limit).groupBy("home", "far").agg(F.sum("documents").alias("documents"))
+    others = bins.select("home", F.col("far").alias("_far"), F.col("documents").alias("_documents"))
+    sure = bins.join(others, "home").filter(F.col("far") + F.col("_far") <= limit).groupBy("home", "far").agg(F.sum("_documents").alias("n_links"))
+    itself = F.when(2 * F.col("far") <= limit, F.col("documents")).otherwise(0)
+    sure = points.join(sure, ["home", "far"]).select("node", (F.col("n_links") - itself).alias("n_links"))
+
+    outer = points.filter(2 * F.col("far") > limit)
+    reach = outer.groupBy("home").agg(F.max("far").alias("_most"))
+    members = points.join(reach, "home").filter(F.col("far") + F.col("_most") > limit).drop("_most")
+    columns = ["documents", "far"]
+
+    def run(block: pa.Table) -> pa.Table:
+        visitors, others = _sides(block, columns, size)
+        of_visitors, of_others = counted_links(visitors, others, percent)
+        return pa.table({"node": np.concatenate([visitors[0], others[0]]), "n_links": np.concatenate([of_visitors, of_others])})
+
+    counted = in_blocks(members, outer, join.texts, columns).groupBy("home", "_x", "_y").applyInArrow(run, "node long, n_links long").filter("n_links > 0")
+    return own.union(sure).union(counted).groupBy("node").agg(F.sum("n_links").alias("n_links"))
 
 
 def largest_component(points: DataFrame, key: str) -> DataFrame:
@@ -403,8 +505,7 @@ def in_cells(of_point: DataFrame, texts: DataFrame, size: int, percent: int) ->
     return joined_in_cells(mixed, mixed.filter("component <> _largest"), texts, size, percent)
 
 
-def joined(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """The points of all rows, and of each node its component (a node) and the least id in it."""
+def joined(docs: DataFrame, size: int, percent: int) -> Joined:
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(frequent_shingles(docs, size))  # at most MOST_FREQUENT numbers
     found = distinct_names(written(points(docs, shared, size, percent), "points"))
@@ -499,28 +600,29 @@ def joined(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFra
 
     of_node = written(found.filter("node is not null").groupBy("node").agg(F.min("_doc").alias("_least")).join(labels, "node", "left").select("node", "_least", F.coalesce("component", "node").alias("component")), "nodes")
     least = of_node.groupBy("component").agg(F.min("_least").alias("_id"))
-    return found, written(of_node.join(least, "component").select("node", "component", "_id"), "ids")
+    return Joined(found, written(of_node.join(least, "component").select("node", "component", "_id"), "ids"), chosen, texts)
 
 
 def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row; `_doc` stands for doc_id without nulls."""
-    found, of_node = joined(docs, size, percent)
+    """doc_id, n_shingles, component_id, n_links (other rows that it links with) of every row; `_doc` stands for doc_id without nulls."""
+    join = joined(docs, size, percent)
+    of_node = join.of_node.select("node", "_id").join(link_counts(join, size, percent), "node", "left")
     return (
-        found.select("doc_id", "_doc", "n_shingles", "node")
-        .join(of_node.select("node", "_id"), "node", "left")
-        .select("doc_id", "_doc", "n_shingles", F.coalesce("_id", "_doc").alias("component_id"))
+        join.found.select("doc_id", "_doc", "n_shingles", "node")
+        .join(of_node, "node", "left")
+        .select("doc_id", "_doc", "n_shingles", F.coalesce("_id", "_doc").alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
     )
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = jaccard_components(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_shingles", F.when(F.col("component_id") != NULL_ID, F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", "n_shingles", F.when(F.col("component_id") != NULL_ID, F.col("component_id")).alias("component_id"), "n_links")
 
 
 def one_of_each(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row of every component: that with the least id, of several with that id one text's, of repeated rows one. Rows without
     words link with nothing and all stay. A null doc_id is the least. Other columns, whatever their names, pass through."""
-    found, of_node = joined(docs, size, percent)
+    found, of_node, *_ = joined(docs, size, percent)
     least = found.join(of_node.select("node", "component"), "node").groupBy("component").agg(F.min(F.struct("_doc", "node", "_key")).alias("_k"))
     copies = found.filter("node is not null").groupBy("_doc", "_key").agg(F.count(F.lit(1)).alias("_n"))
     kept = least.select("_k._doc", "_k._key").join(copies, ["_doc", "_key"]).union(found.filter("node is null").select("_doc", "_key", F.lit(1).cast("long")).distinct())

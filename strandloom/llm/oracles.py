@@ -47,8 +47,10 @@ l AS (
   SELECT a.doc_id AS x, b.doc_id AS y FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id
   JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
   GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 80 * (any_value(na.n) + any_value(nb.n) - count(*))),
-r(x, y) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y)
-SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.y) AS component_id FROM d JOIN r ON r.x = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id, n.n
+r(x, y) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y),
+k AS (SELECT x, count(*) AS n_links FROM l GROUP BY x)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.y) AS component_id, coalesce(k.n_links, 0) AS n_links
+FROM d JOIN r ON r.x = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN k ON k.x = d.doc_id GROUP BY d.doc_id, n.n, k.n_links
 """
 
 _SEQUENCES = [(k, label, [w.decode() for w in words(t)]) for k, (label, t) in enumerate(TEMPLATES)]

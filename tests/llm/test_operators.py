@@ -247,12 +247,23 @@ def test_components_of_no_links_and_of_odd_ones(spark):
     assert out == {**{i: 1 for i in range(1, 41)}, 50: 50, 60: 60, 61: 60}
 
 
-def model_components(rows, size=5, percent=80):
+def model_sets(rows, size=5):
     low = {c: c + 32 for c in range(65, 91)}
     sets = []
     for _, t in rows:
         w = [x.decode().translate(low) for x in (t or "").encode().split()]
         sets.append({tuple(w[p : p + size]) for p in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} if w else set())
+    return sets
+
+
+def model_links(rows, size=5, percent=80):
+    sets = model_sets(rows, size)
+    linked = lambda a, b: bool(a & b) and 100 * len(a & b) >= percent * len(a | b)
+    return Counter((i, sum(linked(sets[k], other) for m, other in enumerate(sets) if m != k)) for k, (i, _) in enumerate(rows))
+
+
+def model_components(rows, size=5, percent=80):
+    sets = model_sets(rows, size)
     parent = list(range(len(rows)))
 
     def find(x):
@@ -278,6 +289,7 @@ def test_jaccard_components(docs, rows, percent, block, monkeypatch):
     monkeypatch.setattr(jaccard_join, "CELL", 5 * block)
     out = jaccard_join.jaccard_components(docs, 5, percent)
     assert got(out, "doc_id", "n_shingles", "component_id") == model_components(rows, 5, percent)
+    assert got(out, "doc_id", "n_links") == model_links(rows, 5, percent)
 
 
 def test_near_windows_in_large_regions(spark, monkeypatch):
@@ -294,7 +306,9 @@ def test_near_windows_in_large_regions(spark, monkeypatch):
     for block, cell in ((20_000, 100_000), (10, 500), (7, 10**6)):
         monkeypatch.setattr(jaccard_join, "BLOCK", block)
         monkeypatch.setattr(jaccard_join, "CELL", cell)
-        assert got(jaccard_join.jaccard_components(df), "doc_id", "n_shingles", "component_id") == model_components(rows)
+        out = jaccard_join.jaccard_components(df)
+        assert got(out, "doc_id", "n_shingles", "component_id") == model_components(rows)
+        assert got(out, "doc_id", "n_links") == model_links(rows)
 
 
 def test_boundary_documents_are_replicated(spark, monkeypatch):
@@ -385,6 +399,32 @@ def test_links_within_a_cell():
     assert groups([(place[a], place[b]) for a, b in links]) == groups(every)
 
 
+def test_counted_links_against_every_pair():
+    rng = random.Random(8)
+    sets = []
+    for _ in range(120):
+        own = set(range(100))
+        for _ in range(rng.randint(0, 14)):
+            own.discard(rng.randrange(100))
+            own.add(1000 + rng.randrange(300))
+        sets.append(np.array(sorted(own), np.uint64))
+    like = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+    far = np.array([int(np.ceil(round(1000 * (1 - like(sets[0], s)), 6))) for s in sets])
+    node, documents = np.array(rng.sample(range(9000), 120)), np.array([rng.randint(1, 5) for _ in sets])
+    outer = np.flatnonzero(2 * far > 200)
+    every = (node, documents, far, sets)
+    visitors = (node[outer], documents[outer], far[outer], [sets[i] for i in outer])
+    of_outer, of_all = jaccard_join.counted_links(visitors, every, 80)
+    want = np.zeros(120, int)
+    for i in range(120):
+        for j in range(120):
+            if i != j and like(sets[i], sets[j]) >= 0.8:
+                want[i] += documents[j] if far[i] + far[j] > 200 else 0
+    counted = of_all.copy()
+    counted[outer] += of_outer
+    assert counted.tolist() == want.tolist() and 0 < len(outer) < 120 and of_all.sum() > 0
+
+
 def test_one_of_each(docs, rows, empty):
     kept = jaccard_join.one_of_each(docs)
     assert kept.columns == docs.columns
