@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import KmerConfig
-from ..functions.keys import exploded
+from ..functions.keys import key_totals
 from ..plans.store import ANALYSES, Store
 
 _BYTES_PER_KEY = 64
@@ -50,7 +50,7 @@ def effective_threshold(total_rows: int, config: KmerConfig) -> int:
 
 def key_counts(df: DataFrame, seq_column: str, config: KmerConfig, on_short: str = "empty") -> DataFrame:
     """key and appearance_nrow of all keys."""
-    return exploded(df.select(F.lit(0).alias("_id"), seq_column), "_id", seq_column, config, on_short).groupBy("key").agg(F.count(F.lit(1)).alias("appearance_nrow"))
+    return key_totals(df, seq_column, config, on_short).withColumnRenamed("n", "appearance_nrow")
 
 
 def frequent_keys(df: DataFrame, seq_column: str, config: KmerConfig, on_short: str = "empty") -> DataFrame:

@@ -241,8 +241,7 @@ def _rows(config: KmerConfig, kind: str, out: str) -> str:
 
 
 def _keys_query(spark, sf_dir, config, kind):
-    rows = keys.exploded(documents(spark, sf_dir, kind), "id", "seq", config)
-    return rows.select("id", keys.key_kmer(F.col("key"), config).alias("kmer"), keys.key_occurrence(F.col("key"), config).alias("occ"), "key")
+    return keys.spelled(documents(spark, sf_dir, kind), "id", "seq", config).select("id", "kmer", "occ", "key")
 
 
 @_query(_rows(K8, "dna2", f"id, kmer, occ, {_key_sql('kmer', 'occ', K8)} AS key"))

@@ -1,7 +1,10 @@
 import random
 from collections import Counter
 
+import random
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,3 +72,36 @@ def test_null_short_and_invalid(spark):
 def test_highest_key_is_a_64_bit_pattern():
     top = keys.text_keys("T" * 32, KmerConfig(kmer_size=32, occur_bitlen=0))
     assert top.view(np.uint64).tolist() == [2**64 - 1]
+
+
+def test_batches_are_cut_by_bases_and_hold_the_keys_of_each_row():
+    rng = random.Random(5)
+    for k, b in ((8, 4), (31, 2), (32, 0)):
+        config = KmerConfig(kmer_size=k, occur_bitlen=b)
+        seqs = ["".join(rng.choices("ACGTACGTACGTRN", k=n)) for n in [0, 3, 40, 5000, 900_000, 900_000, 900_000, 70]] + [None, "ACGT" * 30]
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(seqs))), pa.array(seqs, pa.string())], names=["id", "s"])
+        got, sizes = {i: [] for i in range(len(seqs))}, {}
+        for at, (ids, rows, found) in enumerate(keys.chunks_of_keys(iter([batch]), config, "empty", "dna4")):
+            sizes[at] = len(found)
+            for i in set(rows.tolist()):
+                got[ids[i].as_py()] += found[rows == i].tolist()
+        assert max(sizes.values()) <= 3 * keys.CHUNK and len(sizes) > 1
+        for i, s in enumerate(seqs):
+            assert sorted(got[i]) == (sorted(keys.text_keys(s, config).tolist()) if s and len(s) >= k else [])
+
+
+def test_the_plan_of_built_in_functions_has_no_shuffle(spark):
+    df = spark.createDataFrame([(1, "ACGTACGTRACGN"), (2, "AAAAAAAAAA"), (3, None)], "id long, s string")
+    rows = keys.key_rows(df, "id", "s", KmerConfig(kmer_size=4, occur_bitlen=2))
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in rows.filter("id = 2").collect()) == [(2, "AAAA", n) for n in (1, 2, 3, 4)]
+
+
+def test_kmers_are_spelled_where_keys_are_made(spark):
+    df = spark.createDataFrame([(1, "ACGTTGCAAGCTTACGGATCCATGACGTTGCAAGCTTACGG"), (2, "T" * 30)], "id long, s string")
+    for k in (5, 8, 17, 20):
+        config = KmerConfig(kmer_size=k, occur_bitlen=3)
+        want = keys.exploded(df, "id", "s", config).select("id", keys.key_kmer(F.col("key"), config), keys.key_occurrence(F.col("key"), config), "key")
+        assert sorted(keys.spelled(df, "id", "s", config).collect()) == sorted(want.collect())
+        totals = {r.key: r.n for r in keys.key_totals(df, "s", config).collect()}
+        assert totals == {r["key"]: 1 for r in want.collect()}
