@@ -2,6 +2,7 @@ import random
 import re
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -226,3 +227,31 @@ def test_entry(spark):
     q, o = entry.queries(), entry.oracle_sql()
     assert set(o) <= set(q) and len(q) >= 38
     assert entry.entry(spark).count() == 10
+
+
+def test_postings_travel_in_blocks(spark, store):
+    from strandloom.plans import postings
+
+    some = np.concatenate([np.arange(-50, 50), np.array([2**63 - 1, -(2**63), 123456789012345])]).astype(np.int64)
+    for n in (16, 64, 4096):
+        assert [int(b) for b in postings.buckets_of(some, n)] == [index.bucket_of(int(k), n) for k in some]
+    n = np.random.default_rng(1)
+    batch = postings._blocks(n.integers(0, 1 << 20, 400_000), n.integers(0, 3000, 400_000) + 10**12, 16, False)
+    assert sum(batch.column(c).nbytes for c in (5, 6, 7)) < 8 * 400_000 and len(batch) == 16
+    c = KmerConfig(kmer_size=16, occur_bitlen=8)
+    rows = [(i, "".join("ACGT"[i * j * j % 7 % 4] for j in range(60))) for i in (-(2**62), -1, 0, 5, 5, 2**62)] + [(None, "ACGT" * 9), (None, "ACGT" * 9), (7, None)]
+    df = spark.createDataFrame(rows, "id long, s string")
+    built = index.build_index(df, "i", "t", "id", "s", c, store).select("id", "key")
+    text = sorted(str(tuple(r)) for r in built.collect())
+    assert text == sorted(str(tuple(r)) for r in keys.exploded(df, "id", "s", c).collect()) and len(text) > 100
+
+
+def test_a_large_partition_is_dealt_over_tasks(spark, store):
+    tables = partition.Tables(store)
+    tables.save("t", partition.dna_column(spark.range(60_000).select("id", F.translate(F.md5(F.col("id").cast("string")), "0123456789abcdef", "ACGT" * 4).alias("s")).repartition(8), "s", "dna2"))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "200k")
+    try:
+        tables.partition("t", 1)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert len(tables.read("t").inputFiles()) > 1 and tables.read("t").select("id").distinct().count() == 60_000
