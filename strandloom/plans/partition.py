@@ -68,7 +68,7 @@ class Tables:
             raise TableError("partition_count must be at least 1")
         column = self._checked(table)
         df = self.read(table).withColumn(PART, F.pmod(F.xxhash64(column), F.lit(count)).cast("int"))
-        self.store.write(self.path(table), lambda path: df.repartition(count, PART).write.partitionBy(PART).parquet(path))
+        self.store.write(self.path(table), lambda path: df.hint("rebalance", PART).write.partitionBy(PART).parquet(path))
 
     def unpartition(self, table: str) -> None:
         if not self.is_partitioned(table):
